@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import pick, staged, tune
@@ -109,9 +109,8 @@ def _sketch(k: int, rows: int):
     return run
 
 
-def _compare(num: int, den: int, prefix: bool):
-    """Rows (p, x, text of p, text of x) to exact overlaps; prefix: also the shingles of x that a
-    linked partner from the same star must partly share (see the module's plan, step 4)."""
+def _compare(own: bool):
+    """Rows (p, x, text of p, text of x) to exact overlaps; own: also the shingles of x that p lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
@@ -128,27 +127,25 @@ def _compare(num: int, den: int, prefix: bool):
                 n_p.append(len(s))
                 n_x.append(len(x))
                 both.append(int(hit.sum()))
-                if prefix:
-                    own = x[~hit]
-                    least = -(-num * len(x) // den) - both[-1]
-                    rest.append(own[: len(own) - max(least, 1) + 1].view(np.int64))
+                if own:
+                    rest.append(x[~hit].view(np.int64))
             cols = [batch.column(0), batch.column(1), pa.array(n_p, pa.int64()), pa.array(n_x, pa.int64()), pa.array(both, pa.int64())]
             names = ["p", "x", "n_p", "n_x", "both"]
-            if prefix:
+            if own:
                 cols.append(pa.array(rest, pa.list_(pa.int64())))
-                names.append("prefix")
+                names.append("own")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, prefix: bool) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, own: bool) -> DataFrame:
     """Exact overlap of each pair (p, x), from the whole texts."""
     t = texts.select(F.col("doc_id").alias("id"), "text")
     with_x = pairs.join(t, F.col("x") == F.col("id")).select("p", "x", F.col("text").alias("text_x"))
     rows = with_x.join(t, F.col("p") == F.col("id")).select("p", "x", F.col("text").alias("text_p"), "text_x")
-    schema = "p long, x long, n_p long, n_x long, both long" + ", prefix array<long>" * prefix
-    return rows.mapInArrow(_compare(num, den, prefix), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
+    schema = "p long, x long, n_p long, n_x long, both long" + ", own array<long>" * own
+    return rows.mapInArrow(_compare(own), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125, rows: int = 5) -> DataFrame:
@@ -200,21 +197,29 @@ def _rest(checked: DataFrame, label: DataFrame, texts: DataFrame, num: int, den:
     """Links between members of one star of which one at least is not linked to the pivot.
 
     Take members x and y of the star of p with |x & y| >= t * max(|x|, |y|), t the threshold.
-    Either they share a shingle that p lacks: then at least t * |x| - |x & p| of them, so the
-    prefixes that _compare returns meet. Or all they share is in p: then both have t of their
+    Either they share a shingle that p lacks: then at least t * |x| - |x & p| of them, so they
+    meet within the prefixes of their own shingles, the ones rarest in the star first, that
+    leave out one less than that many. Shingles of one member only fill prefixes, but can't
+    meet, so they are counted and not kept. Or all they share is in p: then both have t of their
     size in p, and the smaller of the two overlaps with p bounds theirs.
     """
     open_ = checked.where("not linked").select("p").distinct()
     crowd = checked.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
     stars = checked.join(open_, "p", "left_semi").join(crowd, "p", "left_semi")
-    stars = staged(
-        stars.join(label, F.col("x") == F.col("id"), "left").select("p", "x", "n_x", "both", "linked", "prefix", F.coalesce("component", "x").alias("c")), "open"
+    stars = staged(stars.join(label, F.col("x") == F.col("id"), "left").select("p", "x", "n_x", "both", "linked", "own", F.coalesce("component", "x").alias("c")), "open")
+    own = stars.select("p", "x", F.explode("own").alias("s"))
+    often = own.groupBy("p", "s").agg(F.count("*").alias("n")).where("n > 1")
+    member = Window.partitionBy("p", "x")
+    met = own.join(often, ["p", "s"]).withColumn("turn", F.row_number().over(member.orderBy("n", "s"))).withColumn("shared", F.count("*").over(member))
+    rare = (
+        met.join(stars.drop("own"), ["p", "x"])
+        .where(f"turn <= shared + 1 - greatest(1, ceil({num} * n_x / {den}) - both)")
+        .select("p", "x", "n_x", "both", "linked", "c", "s")
     )
-    rare = stars.select("p", "x", "n_x", "linked", "c", F.explode("prefix").alias("s"))
     left, right = rare.where("not linked").alias("l"), rare.alias("r")
     size = f"{den} * least(l.n_x, r.n_x) >= {num} * greatest(l.n_x, r.n_x)"
-    shared = left.join(right, F.expr(f"l.p = r.p and l.s = r.s and l.c <> r.c and {size}"))
-    inside = stars.where(f"{den} * both >= {num} * n_x").drop("prefix")
+    shared = left.join(right, F.expr(f"l.p = r.p and l.s = r.s and l.c <> r.c and {size} and {num + den} * (least(l.both, r.both) + least(l.n_x - l.both, r.n_x - r.both)) >= {num} * (l.n_x + r.n_x)"))
+    inside = stars.where(f"{den} * both >= {num} * n_x").drop("own")
     under = inside.where("not linked").alias("l").join(
         inside.alias("r"), F.expr(f"l.p = r.p and l.c <> r.c and {size} and {num + den} * least(l.both, r.both) >= {num} * (l.n_x + r.n_x)")
     )
