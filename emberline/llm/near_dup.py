@@ -148,6 +148,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, own: bool)
     return rows.mapInArrow(_compare(own), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
 
 
+def sieve(rows: DataFrame, column: str, wanted: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+    """Rows whose ``column`` may occur among ``wanted``'s keys: a bitmap filter before a shuffle.
+
+    The bitmap has 16 bits a key and ``most_bits`` at most (2 million rows of 64 bits), so what
+    is broadcast is bounded whatever the number of keys; a full bitmap only filters less.
+    """
+    bits = min(most_bits, 1 << max(10, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(place(F.col(key)).alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word"))
+    bitmap = words.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("set"))
+    at = place(rows[column])
+    placed = rows.withColumn("_word", F.floor(at / 64)).withColumn("_bit", F.pmod(at, F.lit(64)).cast("int"))
+    kept = placed.join(F.broadcast(bitmap), F.col("_word") == F.col("word")).where("shiftright(set, _bit) & 1 = 1")
+    return kept.select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -176,7 +192,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125
     stars = staged(placed.join(pivots, "bucket").where("p <> rep").select("p", F.col("rep").alias("x")).distinct(), "stars")
 
     wanted = stars.select(F.col("x").alias("id")).union(stars.select("p")).distinct()
-    texts = staged(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    wanted = staged(wanted, "wanted")
+    texts = staged(sieve(docs, "doc_id", wanted, "id").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     checked = staged(_verified(stars, texts, num, den, True), "checked")
     first = checked.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
 
