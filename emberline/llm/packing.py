@@ -22,40 +22,77 @@ from pyspark.sql import functions as F
 
 from ._store import pick, staged, tune
 
-_CACHE_WORDS = 400_000
-
 
 class WordTokenizer:
     """Token ids of whole texts, as little-endian uint32 bytes.
 
-    The tokenizer turns any run of white space into a cut that no token spans, so the ids of a
-    text are those of its space-separated chunks; each distinct chunk is encoded once and kept
-    in a table of bounded size.
+    The tokenizer turns any run of white space into a cut that no token spans, cuts between a
+    letter or digit and punctuation, and lower-cases. So texts are lower-cased (ASCII only),
+    spaces go before punctuation that follows an ASCII letter or digit, and the chunks between
+    spaces are looked up; new ones are encoded many at a time and kept in a table of bounded
+    size. A text that could hold a special token, or a mark that combines with the letter before
+    it (a composed capital need not have a composed small letter), is cut at white space only.
     """
 
+    #: Most chunks that are kept.
+    KEPT = 600_000
+    _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
+    _SMALL = bytes.maketrans(b"\t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 5 + b"abcdefghijklmnopqrstuvwxyz")
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._encoder = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {b"": b""}
+        self._word, self._mark = np.zeros(256, bool), np.zeros(256, bool)
+        self._word[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+        self._mark[list(b".,;:!?%$&#*)|")] = True
+
+    def _chunks(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
+            return data.translate(self._SPACES).split(b" ")
+        data = data.translate(self._SMALL)
+        b = np.frombuffer(data, np.uint8)
+        at = np.flatnonzero(self._mark[b[1:]] & self._word[b[:-1]])
+        return (np.insert(b, at + 1, 32).tobytes() if len(at) else data).split(b" ")
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks joined by spaces; a token belongs to the chunk that its offset lies in."""
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at : at + 20_000]
+            words = b" ".join(some).decode("utf-8", "replace")
+            got = self._encoder.encode(words, add_special_tokens=False)
+            starts = np.cumsum([0] + [len(w) + 1 for w in words.split(" ")])
+            place = np.fromiter((first for first, _ in got.offsets), np.int64)
+            cut = (4 * np.searchsorted(place, starts)).tolist()
+            data = np.array(got.ids, "<u4").tobytes()
+            self._known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            for space in "\t\n\r\x0b\x0c":
-                text = (text or "").replace(space, " ")
-            chunks = [c for c in text.split(" ") if c]
-            known = self._known
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
+        for at in range(0, len(texts), 200):
+            part = [self._chunks(t) for t in texts[at : at + 200]]
+            need = set().union(*part)
+            new = need - self._known.keys()
             if new:
-                if len(known) + len(new) > _CACHE_WORDS:
-                    known.clear()
-                    new = list(dict.fromkeys(chunks))
-                for at in range(0, len(new), 10_000):
-                    part = new[at : at + 10_000]
-                    for chunk, got in zip(part, self._encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                        known[chunk] = np.array(got.ids, "<u4").tobytes()
-            yield b"".join([known[c] for c in chunks])
+                if len(self._known) + len(new) > self.KEPT:
+                    self._known = {b"": b""}
+                    new = need - self._known.keys()
+                self._learn(list(new))
+            find = self._known.__getitem__
+            for chunks in part:
+                yield b"".join(map(find, chunks))
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for each Python worker, so its tables serve all its tasks."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def _cut(path: str, window: int, end_id: int):
@@ -63,7 +100,7 @@ def _cut(path: str, window: int, end_id: int):
     step = 4 * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
             for k, ids in enumerate(tokenizer.encode(batch.column(1).to_pylist())):
