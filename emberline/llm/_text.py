@@ -47,8 +47,8 @@ class _Powers:
 _powers = _Powers()
 
 
-def _hash_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of ``buf``."""
+def _hash_words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place of the first byte, and last two bytes (as one number) of each word of ``buf``."""
     b = np.frombuffer(buf, np.uint8)
     word = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
@@ -57,7 +57,9 @@ def _hash_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.empty(len(b) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GOLD), start
+    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GOLD)
+    ending = b[end - 1].astype(np.uint32) * np.uint32(256) + np.where(end - start > 1, b[end - 2], 0).astype(np.uint32)
+    return hashes, start, ending
 
 
 def _segments(data: bytes) -> Iterator[bytes]:
@@ -73,9 +75,12 @@ def _segments(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def hash_batch(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text, in order; None counts as empty."""
-    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
+def hash_words(texts: list[str | None], lower: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """64-bit hashes and endings of the words of each text, in order; None counts as empty.
+
+    An ending is a 32-bit mix of a word's last two bytes.
+    """
+    out = [(np.empty(0, np.uint64), np.empty(0, np.uint32))] * len(texts)
     block: list[bytes] = []
     ids: list[int] = []
     size = 0
@@ -85,10 +90,11 @@ def hash_batch(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
         if not block:
             return
         offsets = np.cumsum([0] + [len(x) + 1 for x in block])
-        h, start = _hash_words(b" ".join(block) + b" ")
+        h, start, ending = _hash_words(b" ".join(block) + b" ")
+        ending = ending * np.uint32(0x9E3779B1) >> np.uint32(7)
         cut = np.searchsorted(start, offsets)
         for k, i in enumerate(ids):
-            out[i] = h[cut[k] : cut[k + 1]]
+            out[i] = h[cut[k] : cut[k + 1]], ending[cut[k] : cut[k + 1]]
         block, ids, size = [], [], 0
 
     for i, text in enumerate(texts):
@@ -97,7 +103,8 @@ def hash_batch(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
         data = text.encode("utf-8", "surrogatepass")
         data = data.translate(_LOWER) if lower else data
         if len(data) > _SEGMENT:
-            out[i] = np.concatenate([_hash_words(x)[0] for x in _segments(data)])
+            parts = [_hash_words(x) for x in _segments(data)]
+            out[i] = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts]) * np.uint32(0x9E3779B1) >> np.uint32(7)
             continue
         if size + len(data) > _SEGMENT:
             flush()
@@ -108,6 +115,11 @@ def hash_batch(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
     return out
 
 
+def hash_batch(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, in order; None counts as empty."""
+    return [h for h, _ in hash_words(texts, lower)]
+
+
 _COEF = mix(np.arange(101, 106, dtype=np.uint64) * _GOLD) | np.uint64(1)
 
 
