@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dup, langid, mixing, near_dup, packing
+from . import chat, embed_dup, html_text, langid, lm, mixing, near_dup, packing, quality, secrets
 from ._store import table
 
 
@@ -28,21 +28,55 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+_QUERIES = (
+    op1_language_id,
+    op2_mixing,
+    op3_lm_scoring,
+    op4_packing,
+    op5_html_extraction,
+    op6_chat_formatting,
+    op7_quality_rules,
+    op8_minhash_near_dup,
+    op9_secret_scans,
+    op10_embedding_near_dup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op4_packing, op8_minhash_near_dup, op10_embedding_near_dup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_formatting": chat.ORACLE_SQL}

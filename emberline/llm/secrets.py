@@ -29,7 +29,7 @@ _SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
 def _place(matches: str, gaps: str, kind: int) -> str:
     """SQL for the spans (start, kind, end, match) of matches with the texts between them, in code points."""
     return f"""aggregate(
-        arrays_zip(slice({gaps}, 1, size({matches})) as g, {matches} as m),
+        zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> struct(g as g, m as m)),
         struct(0 as at, cast(array() as {_SPANS}) as out),
         (a, x) -> struct(
             a.at + length(x.g) + length(x.m) as at,
@@ -56,7 +56,7 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     patterns = (ASSIGN, ACCESS, HEX, CANDIDATE)
     d = d.select("*", *[F.expr(f"if(size(_m{k}) > 0, split({text}, {q(p)}), {none}) as _g{k}") for k, p in enumerate(patterns)], F.expr(f"if(size(_m0) > 0, regexp_extract_all({text}, {q(ASSIGN)}, 2), {none}) as _v0"))
     d = d.select("*", *[F.expr(f"if(size(_m{k}) > 0, {_place(f'_m{k}', f'_g{k}', k)}, cast(array() as {_SPANS})) as _s{k}") for k in range(4)])
-    kept = "transform(filter(arrays_zip(_s0 as s, _v0 as v), x -> length(x.v) >= 8), x -> x.s)"
+    kept = "transform(filter(zip_with(_s0, _v0, (s, v) -> struct(s as s, v as v)), x -> length(x.v) >= 8), x -> x.s)"
     d = d.withColumn("base", F.expr(f"if(size(_s0) + size(_s1) + size(_s2) > 0, array_sort(concat({kept}, _s1, _s2)), cast(array() as {_SPANS}))"))
     d = d.withColumn("cands", F.expr("filter(_s3, c -> not exists(base, b -> b.s < c.e and c.s < b.e))"))
     return d.drop("_keyed", "_aws", *[f"_{x}{k}" for x in "mgs" for k in range(4)], "_v0")
