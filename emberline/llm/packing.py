@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ class WordTokenizer:
 
         self._encoder = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {b"": b""}
+        self._last = np.zeros(self._encoder.get_vocab_size(), bool)
+        self._last[[i for t, i in self._encoder.get_vocab().items() if t.endswith("</w>")]] = True
         self._word, self._mark = np.zeros(256, bool), np.zeros(256, bool)
         self._word[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
         self._mark[list(b".,;:!?%$&#*)|")] = True
@@ -59,16 +62,23 @@ class WordTokenizer:
         return (np.insert(b, at + 1, 32).tobytes() if len(at) else data).split(b" ")
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks joined by spaces; a token belongs to the chunk that its offset lies in."""
-        for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
-            words = b" ".join(some).decode("utf-8", "replace")
-            got = self._encoder.encode(words, add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in words.split(" ")])
-            place = np.fromiter((first for first, _ in got.offsets), np.int64)
-            cut = (4 * np.searchsorted(place, starts)).tolist()
-            data = np.array(got.ids, "<u4").tobytes()
-            self._known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
+        """Encode chunks joined by spaces. A chunk of ASCII letters is one word and ends with a
+        word-end token; for any other, a token belongs to the chunk that its offset lies in."""
+        for plain in (True, False):
+            kind = [c for c in chunks if c.isalpha() == plain]
+            for at in range(0, len(kind), 20_000):
+                some = kind[at : at + 20_000]
+                words = b" ".join(some).decode("utf-8", "replace")
+                if plain:
+                    ids = np.array(self._encoder.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
+                    cut = [0, *(4 * np.flatnonzero(self._last[ids]) + 4).tolist()]
+                else:
+                    got = self._encoder.encode(words, add_special_tokens=False)
+                    ids = np.array(got.ids, "<u4")
+                    starts = np.cumsum([0] + [len(w) + 1 for w in words.split(" ")])
+                    cut = (4 * np.searchsorted(np.fromiter((first for first, _ in got.offsets), np.int64), starts)).tolist()
+                data = ids.tobytes()
+                self._known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 200):
@@ -77,7 +87,8 @@ class WordTokenizer:
             new = need - self._known.keys()
             if new:
                 if len(self._known) + len(new) > self.KEPT:
-                    self._known = {b"": b""}
+                    # Words met first are mostly the frequent ones: they stay.
+                    self._known = dict(islice(self._known.items(), self.KEPT // 3))
                     new = need - self._known.keys()
                 self._learn(list(new))
             find = self._known.__getitem__
