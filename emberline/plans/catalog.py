@@ -1,4 +1,8 @@
-"""The registered queries over the reference's operator inventory."""
+"""The registered queries over the operator inventory, each with its SQL where SQL can express it.
+
+Operators take column names; the star-schema tables reach them through the same small views on
+both sides (``_SQL`` for DuckDB, functions here for Spark).
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,777 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr
+from ..operators import clean, cluster, features, learn, metrics, profile, raster, resample, spatial
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, places: int | None = 6) -> Callable[[Query], Query]:
+    """Register a query under its function's name; doubles are rounded on both sides."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[F.round(c, places).alias(c) if k == "double" and places is not None else F.col(c) for c, k in df.dtypes])
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- views -------------------------------------------------------------------------------
+
+DET = """det AS (SELECT l_orderkey AS k, l_linenumber AS ln, 34 + (l_orderkey * 7 % 970) / 1000.0::DOUBLE + 0.0003::DOUBLE AS latitude,
+    2 + (l_partkey * 13 % 1430) / 1000.0::DOUBLE + 0.0003::DOUBLE AS longitude, l_linenumber % 3 AS type, year(l_shipdate) AS year, l_quantity AS v FROM lineitem)"""
+GRID = "grid AS (SELECT 34 + i / 20.0::DOUBLE AS latitude, 2 + j / 20.0::DOUBLE AS longitude FROM range(20) a(i), range(30) b(j))"
+FEAT = "feat AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2, embedding[4]::DOUBLE AS f3, label % 2 AS y, label % 3 AS c FROM embeddings)"
+DIST = "sqrt((a.f0-b.f0)*(a.f0-b.f0) + (a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3))"
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.expr("34 + (l_orderkey * 7 % 970) / 1000D + 0.0003D").alias("latitude"),
+        F.expr("2 + (l_partkey * 13 % 1430) / 1000D + 0.0003D").alias("longitude"), F.expr("l_linenumber % 3").alias("type"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("v"),
+    )
+
+
+def grid(spark: SparkSession) -> DataFrame:
+    return spark.range(600).select(F.expr("34 + (id div 30) / 20D").alias("latitude"), F.expr("2 + (id % 30) / 20D").alias("longitude"))
+
+
+def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, features (four numbers), y (0, 1) and c (0, 1, 2)."""
+    d = _t(spark, sf_dir, "embeddings")
+    return d.select(F.col("vec_id").alias("id"), F.expr("transform(slice(embedding, 1, 4), x -> cast(x as double))").alias("features"), F.expr("label % 2").alias("y"), F.expr("label % 3").alias("c"))
 
+
+def feat_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feats(spark, sf_dir).select("id", *[F.col("features")[i].alias(f"f{i}") for i in range(4)], "y", "c")
+
+
+# ---- statistics --------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT month(l_shipdate) AS m FROM lineitem WHERE l_shipdate IS NOT NULL),
+    s AS (SELECT CASE WHEN m IN (12, 1, 2) THEN 'Winter' WHEN m IN (3, 4, 5) THEN 'Spring' WHEN m IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn/Fall' END AS season, count(*) AS n FROM m GROUP BY 1)
+    SELECT season, n, CAST(round_even(n * 100.0::DOUBLE / sum(n) OVER (), 2) AS VARCHAR) || '%' AS percentage,
+    CASE season WHEN 'Winter' THEN 0 WHEN 'Spring' THEN 1 WHEN 'Summer' THEN 2 ELSE 3 END AS ord FROM s""")
 def season_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.month("l_shipdate")
-    season = F.when(m.isin(12, 1, 2), "Winter").when(m.isin(3, 4, 5), "Spring").when(m.isin(6, 7, 8), "Summer").otherwise("Autumn/Fall")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(season.alias("season")).count()
+    return profile.seasonal_share(_t(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+@query("""SELECT count(*) AS total, 2 AS features, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END)::BIGINT AS n_0, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS n_1,
+    round(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) * 100.0::DOUBLE / count(*), 6) AS pct_0, round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 100.0::DOUBLE / count(*), 6) AS pct_1 FROM lineitem""")
+def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", F.expr("int(l_returnflag = 'R')").alias("fire"))
+    return profile.label_statistics(d, "fire")
+
+
+@query("SELECT l_returnflag AS value, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.value_counts(_t(spark, sf_dir, "lineitem"), "l_returnflag")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM orders GROUP BY 1")
+def category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.share_of_total(_t(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def top_n_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.top_categories(_t(spark, sf_dir, "part"), "p_type")
+
+
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.expr("if(c_custkey % 5 = 0, '', c_mktsegment)").alias("segment"), F.expr("if(c_acctbal < 0, null, c_acctbal)").alias("balance"), F.lit(1).alias("one"))
+
+
+HOLES = "holes AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS segment, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS balance, 1 AS one FROM customer)"
+
+
+@query(f"""WITH {HOLES}, u AS (SELECT 'segment' AS column_name, avg(CASE WHEN segment IS NULL OR segment IN ('', ' ', 'NaN', 'nan', 'NULL', 'null') THEN 1.0::DOUBLE ELSE 0 END) * 100 AS missing_pct FROM holes
+    UNION ALL SELECT 'balance', avg(CASE WHEN balance IS NULL THEN 1.0::DOUBLE ELSE 0 END) * 100 FROM holes) SELECT column_name, round(missing_pct, 6) AS missing_pct FROM u WHERE missing_pct > 0""")
+def missing_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.missing_share(_holes(spark, sf_dir))
+
+
+def _each(columns: list[str], table: str, select: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {select.replace('@', c)} FROM {table}" for c in columns)
+
+
+@query(_each(["l_quantity", "l_extendedprice", "l_discount"], "lineitem", """count(@) AS n, round(avg(@), 4) AS mean, round(stddev_samp(@), 4) AS std, round(min(@)::DOUBLE, 4) AS min,
+    round(quantile_cont(@, 0.25), 4) AS q25, round(quantile_cont(@, 0.5), 4) AS q50, round(quantile_cont(@, 0.75), 4) AS q75, round(max(@)::DOUBLE, 4) AS max"""), places=4)
+def profile_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.describe(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query(_each(["c_acctbal", "c_nationkey"], "customer", "round(skewness(@), 6) AS skew, round(kurtosis(@), 6) AS kurtosis"))
+def skew_kurt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.skew_kurtosis(_t(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
+
+
+@query(f"""WITH {HOLES} SELECT 'c_custkey' AS column_name, 0.0::DOUBLE AS missing_pct, count(DISTINCT c_custkey) AS n_unique, 0.0::DOUBLE AS zeros_pct, 0.0::DOUBLE AS negatives_pct, 'bigint' AS dtype FROM holes
+    UNION ALL SELECT 'segment', 0.0, count(DISTINCT segment), NULL, NULL, 'string' FROM holes
+    UNION ALL SELECT 'balance', round(avg((balance IS NULL)::INT) * 100, 6), count(DISTINCT balance), round(avg(coalesce(balance = 0, false)::INT) * 100, 6), 0.0, 'double' FROM holes
+    UNION ALL SELECT 'one', 0.0, 1, 0.0, 0.0, 'int' FROM holes GROUP BY 1""")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.quality_report(_holes(spark, sf_dir))
+
+
+@query("SELECT 'one' AS column_name, 1::BIGINT AS n_unique")
+def constant_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.constant_columns(_holes(spark, sf_dir))
+
+
+@query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
+    SELECT o_orderkey, o_totalprice FROM orders, q WHERE o_totalprice < q1 - 0.5 * (q3 - q1) OR o_totalprice > q3 + 0.5 * (q3 - q1)""", places=None)
+def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.iqr_outliers(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 0.5)
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, round(avg(coalesce({c} < q1 - 0.5 * (q3 - q1) OR {c} > q3 + 0.5 * (q3 - q1), false)::INT) * 100, 6) AS outlier_pct
+    FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem)""" for c in ("l_quantity", "l_extendedprice")))
+def iqr_outlier_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.iqr_outlier_share(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], 0.5)
+
+
+@query("""WITH q AS (SELECT c_mktsegment AS s, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS q2, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1)
+    SELECT c_mktsegment, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS q2, round(any_value(q3), 6) AS q3, round(min(c_acctbal), 6) AS whisker_low, round(max(c_acctbal), 6) AS whisker_high
+    FROM customer JOIN q ON s = c_mktsegment WHERE c_acctbal BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""")
+def boxplot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.boxplot_stats(_t(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment")
+
+
+@query("""WITH e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)
+    SELECT least(floor((c_acctbal - lo) / ((hi - lo) / 30)), 29)::INT AS bin, count(*) AS n FROM customer, e WHERE c_acctbal IS NOT NULL GROUP BY 1""")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.histogram(_t(spark, sf_dir, "customer"), "c_acctbal")
+
+
+_NUM = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
+_PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, round(corr({a}, {b}), 6) AS corr FROM lineitem" for a, b in _PAIRS))
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.correlations(_t(spark, sf_dir, "lineitem"), _NUM)
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for a, b in _PAIRS) + """),
+    u AS (SELECT a, r FROM c UNION ALL SELECT b, r FROM c), m AS (SELECT a, avg(abs(r)) AS m FROM u GROUP BY 1) SELECT round(avg(m), 6) AS mean_abs_corr FROM m""")
+def mean_abs_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.mean_abs_correlation(_t(spark, sf_dir, "lineitem"), _NUM)
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, round(abs(corr({a}, {b})), 6) AS corr FROM lineitem" for a, b in _PAIRS) + ") WHERE corr >= 0.5")
+def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.correlation_report(_t(spark, sf_dir, "lineitem").select(*_NUM), threshold=0.5)[0]
+
+
+@query(_each(["l_discount", "l_extendedprice", "l_tax"], "lineitem", "round(abs(corr(@, l_quantity)), 6) AS abs_corr"))
+def target_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.target_correlation(_t(spark, sf_dir, "lineitem"), ["l_discount", "l_extendedprice", "l_tax"], "l_quantity")
+
+
+@query(_each(["l_discount", "l_quantity", "l_tax"], "lineitem", "round(var_samp(@), 6) AS var_samp, round(var_pop(@), 6) AS var_pop"))
+def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.variances(_t(spark, sf_dir, "lineitem"), ["l_discount", "l_quantity", "l_tax"])
+
+
+@query("SELECT round(median(p_retailprice), 6) AS median, (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 1) AS mode FROM part")
+def median_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.median_and_mode(_t(spark, sf_dir, "part"), "p_retailprice", "p_brand")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1, 2")
+def repeat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.repeat_summary(_t(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
+
+
+@query(f"""WITH {HOLES}, g AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM holes)) SELECT count(*) AS n_rows, 4 AS n_columns, 1 AS n_constant, 1 AS n_with_missing, count(*) - any_value(n) AS n_duplicates FROM holes, g""")
+def diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.diagnostic(_holes(spark, sf_dir))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(corr(l_quantity, l_extendedprice), 4) AS corr FROM lineitem", places=4)
+def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.regression_line(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("""WITH s AS (SELECT count(c_acctbal) AS n, stddev_samp(c_acctbal) AS sd, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), m AS (SELECT *, sd * pow(n, -0.2) AS h, i::INT AS i2 FROM s, range(50) r(i))
+    SELECT i2 AS i, round(lo + i2 * (hi - lo) / 49, 6) AS x, round(sum(exp(-0.5 * pow((lo + i2 * (hi - lo) / 49 - c_acctbal) / h, 2))) / any_value(n * h * 2.5066282746310002), 9) AS density FROM customer, m GROUP BY i2, lo, hi""", places=None)
+def kde_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = profile.kde_1d(_t(spark, sf_dir, "customer"), "c_acctbal")
+    return d.select("i", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+@query()
+def qq_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.qq_points(_t(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
+
+
+# ---- relational cleaning -----------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT l_partkey % 50 AS a, l_suppkey % 7 AS b, l_linenumber AS c FROM lineitem), g AS (SELECT count(*) AS n FROM d GROUP BY a, b, c)
+    SELECT sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS in_groups, sum(n - 1)::BIGINT AS excess, round_even(coalesce(sum(n) FILTER (WHERE n > 1), 0) * 100.0::DOUBLE / sum(n), 3) AS pct FROM g""")
+def dup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.duplicate_summary(_t(spark, sf_dir, "lineitem").selectExpr("l_partkey % 50 AS a", "l_suppkey % 7 AS b", "l_linenumber AS c"))
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, o_orderpriority AS a, o_orderstatus AS b, o_custkey % 20 AS c FROM orders) SELECT min(id) AS id, a, b, c FROM d GROUP BY a, b, c""")
+def dedup_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderpriority AS a", "o_orderstatus AS b", "o_custkey % 20 AS c")
+    return clean.drop_duplicates(d, ("id",), ["id"])
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, o_orderpriority AS a, o_custkey % 500 AS c FROM orders)
+    SELECT *, count(*) OVER (PARTITION BY a, c) > 1 AS in_group, row_number() OVER (PARTITION BY a, c ORDER BY id) > 1 AS again FROM d""")
+def dup_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.duplicate_flags(_t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderpriority AS a", "o_custkey % 500 AS c"), ("id",), ["id"])
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS v FROM supplier GROUP BY 1)
+    SELECT a.k, round(a.v, 4) AS v, b.v AS v_supplier, n_name FROM a JOIN b ON a.k = b.k JOIN nation ON n_nationkey = a.k""", places=4)
+def progressive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("v"))
+    b = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("v"))
+    return clean.progressive_merge({"customer": a, "supplier": b, "nation": _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "n_name")}, ["k"])
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").where("n_nationkey < 20").selectExpr("n_nationkey AS k", "n_name")
+    return clean.left_lookup(_t(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey AS k"), n, "k").select("c_custkey", "n_name")
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'Unknown' END AS name, '#' || lpad(lower(hex(o_orderkey % 256)), 2, '0') || lpad(lower(hex(o_custkey % 256)), 2, '0') || '0a' AS colour FROM orders""")
+def legend_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = clean.map_values(_t(spark, sf_dir, "orders"), "o_orderstatus", {"F": "final", "O": "open"}, "Unknown", "name")
+    return d.select("o_orderkey", "name", expr.hex_colour(F.col("o_orderkey") % 256, F.col("o_custkey") % 256, F.lit(10)).alias("colour"))
+
+
+@query("SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+def semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.keep_referenced(_t(spark, sf_dir, "nation"), "n_nationkey", _t(spark, sf_dir, "customer").where("c_acctbal > 9000"), "c_nationkey")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, NULL::DOUBLE AS bal FROM nation UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _t(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS bigint) AS k", "n_name AS name")
+    return resample.union_all([a, _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_acctbal AS bal")])
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def except_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").selectExpr("c_nationkey AS k").subtract(_t(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def intersect_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").selectExpr("c_nationkey AS k").intersect(_t(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
+
+
+SOIL = """soil AS (SELECT p_partkey AS id, p_partkey % 900 AS latitude, p_partkey % 3 AS longitude, CASE WHEN p_partkey % 7 = 0 THEN '-' ELSE CAST(p_size - 3 AS VARCHAR) END AS SAND,
+    CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE CAST(p_size % 9 - 1 AS VARCHAR) END AS CLAY, 'A' AS TEXTURE_SOTER FROM part)"""
+
+
+def _soil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "p_partkey % 900 AS latitude", "p_partkey % 3 AS longitude", "if(p_partkey % 7 = 0, '-', cast(p_size - 3 AS string)) AS SAND",
+        "if(p_partkey % 11 = 0, 'x', cast(p_size % 9 - 1 AS string)) AS CLAY", "'A' AS TEXTURE_SOTER",
+    )
+
+
+@query(f"""WITH {SOIL}, n AS (SELECT id, latitude, longitude, TRY_CAST(nullif(SAND, '-') AS DOUBLE) AS SAND, TRY_CAST(nullif(CLAY, '-') AS DOUBLE) AS CLAY FROM soil),
+    f AS (SELECT *, coalesce(SAND < 0, false) OR coalesce(CLAY < 0, false) AS bad, count(*) OVER (PARTITION BY latitude, longitude) AS c FROM n)
+    SELECT id, latitude, longitude, CASE WHEN SAND >= 0 THEN SAND END AS SAND, CASE WHEN CLAY >= 0 THEN CLAY END AS CLAY FROM f WHERE NOT (bad AND c > 1)""")
+def soil_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.repair_sensor_errors(_soil(spark, sf_dir), ["SAND", "CLAY"], ["latitude", "longitude"])
+
+
+@query("""WITH d AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_orderkey % 3)::DOUBLE AS a, (l_partkey % 3)::DOUBLE AS b, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE (l_suppkey % 3)::DOUBLE END AS c FROM lineitem)
+    SELECT k, n, CASE WHEN a = b AND a = c THEN NULL ELSE a END AS a, CASE WHEN a = b AND a = c THEN NULL ELSE b END AS b, CASE WHEN a = b AND a = c THEN NULL ELSE c END AS c FROM d""")
+def constant_row_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", "double(l_orderkey % 3) AS a", "double(l_partkey % 3) AS b", "if(l_suppkey % 4 = 0, null, double(l_suppkey % 3)) AS c")
+    return clean.null_constant_rows(d, ["a", "b", "c"])
+
+
+@query("SELECT p_partkey, TRY_CAST(substr(p_name, 1, 3) AS DOUBLE) AS bad, TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) AS good, nullif(p_brand, 'Brand#1') AS brand FROM part")
+def try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", expr.to_number(F.substring("p_name", 1, 3)).alias("bad"), expr.to_number(F.col("p_size")).alias("good"), expr.sentinel_to_null(F.col("p_brand"), "Brand#1").alias("brand"))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_quantity END AS a, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_tax END AS b, CASE WHEN l_orderkey % 2 = 0 THEN NULL ELSE l_discount END AS c FROM lineitem)
+    SELECT k, n, round(list_median(list_filter([a, b, c], lambda x: x IS NOT NULL)), 6) AS med, round(list_avg(list_filter([a, b, c], lambda x: x IS NOT NULL)), 6) AS mean FROM d""")
+def season_row_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", "if(l_orderkey % 3 = 0, null, l_quantity) AS a", "if(l_orderkey % 5 = 0, null, l_tax) AS b", "if(l_orderkey % 2 = 0, null, l_discount) AS c")
+    cols = [F.col(c) for c in "abc"]
+    return d.select("k", "n", expr.row_median(*cols).alias("med"), expr.row_mean(*cols).alias("mean"))
+
+
+# ---- spatial -----------------------------------------------------------------------------
+
+
+@query("SELECT round(2 + j * 0.05::DOUBLE, 9) AS longitude, round(34 + i * 0.05::DOUBLE, 9) AS latitude FROM range(31) b(j), range(21) a(i)", places=9)
+def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.grid_points(spark, 2.0, 34.0, 3.5, 35.0, 0.05)
+
+
+@query("SELECT round(2 + j * 0.05::DOUBLE, 9) AS longitude, round(34 + i * 0.05::DOUBLE, 9) AS latitude FROM range(31) b(j), range(21) a(i) WHERE 34 + i * 0.05::DOUBLE BETWEEN 34.32 AND 34.68", places=9)
+def grid_lat_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.grid_points(spark, 2.0, 34.0, 3.5, 35.0, 0.05, 34.32, 34.68)
+
+
+@query(f"""WITH {DET}, {GRID}, p AS (SELECT DISTINCT latitude, longitude FROM det WHERE type = 0),
+    n AS (SELECT p.latitude AS y, p.longitude AS x, g.latitude, g.longitude, row_number() OVER (PARTITION BY p.latitude, p.longitude ORDER BY (g.latitude - p.latitude) * (g.latitude - p.latitude) + (g.longitude - p.longitude) * (g.longitude - p.longitude), g.latitude, g.longitude) AS r FROM p, grid g),
+    s AS (SELECT n.latitude, n.longitude, min(year) AS year FROM det d JOIN n ON n.y = d.latitude AND n.x = d.longitude AND r = 1 WHERE type = 0 GROUP BY 1, 2)
+    SELECT g.latitude, g.longitude, (s.year IS NOT NULL)::INT AS fire, coalesce(s.year, 2024)::INT AS year FROM grid g LEFT JOIN s ON g.latitude = s.latitude AND g.longitude = s.longitude""", places=None)
+def fire_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.snap_detections(grid(spark), detections(spark, sf_dir), 0, 0.05, (34.0, 2.0))
+
+
+_RADII = clean.zone_radii(0.02, 0.07)
+
+
+def _impute_sql(fill: str, value: str) -> str:
+    base = f"""WITH {DET}, d AS (SELECT k, ln, latitude, longitude, CASE WHEN k % 10 = 0 THEN NULL ELSE {value} END AS v FROM det WHERE ln <= 2), o AS (SELECT DISTINCT latitude, longitude FROM d WHERE v IS NULL)"""
+    for i, r in enumerate(_RADII):
+        base += f""", j{i} AS (SELECT o.latitude, o.longitude, d.v FROM o JOIN d ON d.v IS NOT NULL AND d.latitude BETWEEN o.latitude - {r}::DOUBLE AND o.latitude + {r}::DOUBLE AND d.longitude BETWEEN o.longitude - {r}::DOUBLE AND o.longitude + {r}::DOUBLE),
+            z{i} AS (SELECT latitude, longitude, count(*) AS n FROM j{i} GROUP BY 1, 2), f{i} AS ({fill.replace('@', f'j{i}')})"""
+    joins = " ".join(f"LEFT JOIN (SELECT z{i}.*, f{i}.f FROM z{i} JOIN f{i} USING (latitude, longitude)) l{i} ON l{i}.latitude = d.latitude AND l{i}.longitude = d.longitude" for i in range(len(_RADII)))
+    picks = ", ".join(f"CASE WHEN l{i}.n >= 6 THEN l{i}.f END" for i in range(len(_RADII) - 1)) + f", l{len(_RADII) - 1}.f"
+    whole = fill.replace("@", "(SELECT 0 AS latitude, 0 AS longitude, v FROM d WHERE v IS NOT NULL)")
+    return f"{base} SELECT d.k, d.ln, coalesce(d.v, {picks}, (SELECT f FROM ({whole}))) AS v FROM d {joins}"
+
+
+@query(_impute_sql("SELECT latitude, longitude, median(v) AS f FROM @ GROUP BY 1, 2", "v"))
+def geo_impute_num(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detections(spark, sf_dir).where("ln <= 2").selectExpr("k", "ln", "latitude", "longitude", "if(k % 10 = 0, null, v) AS v")
+    return clean.impute_by_zones(d, "v", base=0.02, least=6, most=0.07).select("k", "ln", "v")
+
+
+@query(_impute_sql("SELECT latitude, longitude, v AS f FROM (SELECT latitude, longitude, v, row_number() OVER (PARTITION BY latitude, longitude ORDER BY count(*) DESC, v) AS r FROM @ GROUP BY 1, 2, 3) WHERE r = 1", "CAST(v % 5 AS BIGINT)"))
+def geo_impute_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detections(spark, sf_dir).where("ln <= 2").selectExpr("k", "ln", "latitude", "longitude", "if(k % 10 = 0, null, cast(v % 5 AS bigint)) AS v")
+    return clean.impute_by_zones(d, "v", category=True, base=0.02, least=6, most=0.07).select("k", "ln", "v")
+
+
+#: Two polygons: an L shape, and a square with a square hole; they overlap.
+POLY = [(1, [[(2.0, 34.0), (3.0, 34.0), (3.0, 34.4), (2.4, 34.4), (2.4, 34.9), (2.0, 34.9)]]), (2, [[(2.2, 34.2), (3.2, 34.2), (3.2, 34.8), (2.2, 34.8)], [(2.5, 34.5), (2.9, 34.5), (2.9, 34.7), (2.5, 34.7)]])]
+
+
+def polygons(spark: SparkSession) -> DataFrame:
+    rows = [(i, f"zone{i}", [[{"x": x, "y": y} for x, y in r] for r in rings]) for i, rings in POLY]
+    return spark.createDataFrame(rows, f"pid int, name string, rings {spatial.RINGS}")
+
+
+_EDGES = ", ".join(f"({i}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, rings in POLY for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True))
+PIP = f"""e AS (SELECT pid, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (VALUES {_EDGES}) t(pid, x1, y1, x2, y2)),
+    t AS (SELECT latitude, longitude, pid, sum(CASE WHEN (y1 > latitude) <> (y2 > latitude) AND longitude < (x2 - x1) * (latitude - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) AS n,
+    bool_or((x2 - x1) * (latitude - y1) - (y2 - y1) * (longitude - x1) = 0 AND longitude BETWEEN least(x1, x2) AND greatest(x1, x2) AND latitude BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge FROM grid, e GROUP BY 1, 2, 3)"""
+_XY = ["latitude", "longitude"]
+
+
+@query(f"WITH {GRID}, {PIP} SELECT latitude, longitude, pid FROM t WHERE n % 2 = 1 OR edge", places=None)
+def point_in_polygon_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.point_in_polygon(grid(spark), polygons(spark), _XY, "pid")
+
+
+@query(f"WITH {GRID}, {PIP} SELECT g.latitude, g.longitude, CASE WHEN pid IS NULL THEN NULL ELSE 'zone' || pid END AS name FROM grid g LEFT JOIN (SELECT * FROM t WHERE n % 2 = 1 OR edge) t ON t.latitude = g.latitude AND t.longitude = g.longitude", places=None)
+def point_in_polygon_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.spatial_join(grid(spark), polygons(spark), _XY, "pid", ["name"])
+
+
+@query(f"WITH {GRID}, {PIP} SELECT DISTINCT latitude, longitude FROM t WHERE n % 2 = 1 AND NOT edge", places=None)
+def point_in_polygon_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.within_union(grid(spark), polygons(spark), _XY, "pid")
+
+
+@query("SELECT * FROM (VALUES (2.0::DOUBLE, 34.0::DOUBLE, 3.2::DOUBLE, 34.9::DOUBLE)) t(min_x, min_y, max_x, max_y)")
+def total_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.total_bounds(polygons(spark), "pid")
+
+
+@query("SELECT * FROM (VALUES (2::BIGINT, 3::BIGINT, 14::BIGINT, 2.0::DOUBLE, 34.0::DOUBLE, 3.2::DOUBLE, 34.9::DOUBLE)) t(n_polygons, n_rings, n_vertices, min_x, min_y, max_x, max_y)")
+def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.layer_summary(polygons(spark), "pid")
+
+
+@query("SELECT * FROM (VALUES (1, 2.0::DOUBLE, 34.45::DOUBLE, 2.4::DOUBLE, 34.9::DOUBLE), (2, 2.2::DOUBLE, 34.45::DOUBLE, 3.2::DOUBLE, 34.8::DOUBLE)) t(pid, min_x, min_y, max_x, max_y)")
+def clip_north(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.bounds(spatial.north_of(polygons(spark), "pid", 34.45), "pid")
+
+
+@query(f"WITH {GRID} SELECT round(radians(longitude) * 6378137.0, 4) AS longitude, round(ln(tan(0.7853981633974483 + radians(latitude) / 2)) * 6378137.0, 4) AS latitude FROM grid", places=4)
+def reproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.reproject(grid(spark), 4326, 3857).select("longitude", "latitude")
+
+
+CELLS = "cells AS (SELECT 'r' AS raster_id, r::INT AS row, c::INT AS col, CASE WHEN (r * 15 + c) % 17 = 0 THEN -9999 ELSE (r * 31 + c * 7) % 100 END::DOUBLE AS value FROM range(10) a(r), range(15) b(c))"
+HEAD = [("r", 0.1, 0.0, 2.0, 0.0, -0.1, 35.0, 15, 10, -9999.0)]
+
+
+def cells(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    c = spark.range(150).selectExpr("'r' AS raster_id", "cast(id div 15 AS int) AS row", "cast(id % 15 AS int) AS col").withColumn("value", F.expr("double(if((row * 15 + col) % 17 = 0, -9999, (row * 31 + col * 7) % 100))"))
+    return c, spark.createDataFrame(HEAD, "raster_id string, a double, b double, c double, d double, e double, f double, width int, height int, nodata double")
+
+
+@query(f"""WITH {DET}, {CELLS}, p AS (SELECT k, ln, latitude, longitude, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM det)
+    SELECT k, ln, CASE WHEN value <> -9999 THEN value END AS elevation FROM p LEFT JOIN cells USING (row, col)""")
+def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, h = cells(spark)
+    return raster.sample(detections(spark, sf_dir), c, h, "elevation").select("k", "ln", "elevation")
+
+
+@query(f"WITH {CELLS} SELECT row, col, round(2.0::DOUBLE + 0.1::DOUBLE * (col + 0.5), 6) AS longitude, round(35.0::DOUBLE - 0.1::DOUBLE * (row + 0.5), 6) AS latitude, value AS v FROM cells WHERE value <> -9999")
+def raster_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.to_points(*cells(spark), "v").drop("raster_id")
+
+
+@query(f"WITH {CELLS} SELECT row, col, n_name AS name FROM cells LEFT JOIN nation ON value = n_nationkey")
+def raster_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.recode(cells(spark)[0], _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name"), "id", "name").drop("raster_id")
+
+
+@query(f"WITH {CELLS} SELECT row // 3 AS row, col // 3 AS col, round(avg(value), 6) AS value FROM cells GROUP BY 1, 2")
+def raster_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.downsample(cells(spark)[0], 3).drop("raster_id")
+
+
+@query(f"WITH {CELLS} SELECT 15 AS width, 10 AS height, 2.0::DOUBLE AS \"left\", 35.0::DOUBLE AS top, 3.5::DOUBLE AS \"right\", 34.0::DOUBLE AS bottom, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM cells")
+def raster_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.describe_raster(*cells(spark)).drop("raster_id")
+
+
+_CENTRES = "grid AS (SELECT DISTINCT 35.0::DOUBLE + 0.0::DOUBLE * (col + 0.5) + -0.1::DOUBLE * (row + 0.5) AS latitude, 2.0::DOUBLE + 0.1::DOUBLE * (col + 0.5) + 0.0::DOUBLE * (row + 0.5) AS longitude, row, col, value FROM cells)"
+
+
+@query(f"WITH {CELLS}, {_CENTRES}, {PIP}, i AS (SELECT DISTINCT latitude, longitude FROM t WHERE n % 2 = 1 OR edge), k AS (SELECT g.* FROM grid g JOIN i USING (latitude, longitude)) SELECT row - (SELECT min(row) FROM k) AS row, col - (SELECT min(col) FROM k) AS col, CASE WHEN value <> -9999 THEN value END AS value FROM k")
+def raster_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.clip(*cells(spark), polygons(spark), "pid")[0].drop("raster_id")
+
+
+@query(f"""WITH {DET}, p AS (SELECT DISTINCT latitude, longitude, year FROM det WHERE k % 50 = 0 AND year BETWEEN 1996 AND 1998), m AS (SELECT p.*, mo::INT AS mo, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM p, range(1, 13) r(mo) WHERE NOT (year = 1997 AND mo = 7)),
+    v AS (SELECT latitude, longitude, year, mo, CASE WHEN col BETWEEN 0 AND 14 AND row BETWEEN 0 AND 9 AND (row * 15 + col) % 17 <> 0 THEN ((row * 31 + col * 7 + mo * 13 + year) % 100)::DOUBLE END AS v FROM m)
+    SELECT latitude, longitude, year, median(v) FILTER (WHERE mo IN (12, 1, 2)) AS winter_t, median(v) FILTER (WHERE mo IN (3, 4, 5)) AS spring_t, median(v) FILTER (WHERE mo IN (6, 7, 8)) AS summer_t, median(v) FILTER (WHERE mo IN (9, 10, 11)) AS autumn_t FROM v GROUP BY 1, 2, 3""", places=None)
+def seasonal_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = detections(spark, sf_dir).where("k % 50 = 0 and year between 1996 and 1998").select("latitude", "longitude", "year").distinct()
+    m = spark.range(36).selectExpr("cast(1996 + id div 12 AS int) AS year", "cast(id % 12 + 1 AS int) AS month").where("not (year = 1997 and month = 7)").withColumn("raster_id", F.concat_ws("-", "year", "month"))
+    c = m.crossJoin(cells(spark)[0].drop("raster_id")).selectExpr("raster_id", "row", "col", "double(if(value = -9999, value, (row * 31 + col * 7 + month * 13 + year) % 100)) AS value")
+    h = m.select("raster_id").crossJoin(cells(spark)[1].drop("raster_id"))
+    return raster.seasonal_climate(p, m, c, h, "t")
+
+
+@query("SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS c_acctbal FROM customer GROUP BY 1")
+def mean_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.mean_by_unit(_t(spark, sf_dir, "customer").selectExpr("c_nationkey AS k", "c_acctbal", "c_name"), "k")
+
+
+@query(f"""WITH {DET}, a AS (SELECT longitude * (sqrt(3.0::DOUBLE) / 3 / 0.1) - latitude / (3 * 0.1::DOUBLE) AS fq, latitude * (2.0::DOUBLE / 3 / 0.1) AS fr FROM det), b AS (SELECT *, -fq - fr AS fs, floor(fq + 0.5) AS q, floor(fr + 0.5) AS r, floor(-fq - fr + 0.5) AS s FROM a),
+    c AS (SELECT *, abs(q - fq) AS eq, abs(r - fr) AS er, abs(s - fs) AS es FROM b) SELECT CASE WHEN eq > er AND eq > es THEN -r - s ELSE q END::BIGINT AS q, CASE WHEN eq > er AND eq > es THEN r WHEN er > es THEN -q - s ELSE r END::BIGINT AS r, count(*) AS n FROM c GROUP BY 1, 2""")
+def hexbin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.hexbin(detections(spark, sf_dir), "longitude", "latitude", 0.1)
+
+
+@query(f"""WITH {FEAT}, e AS (SELECT min(f0) AS xl, max(f0) AS xh, stddev_samp(f0) AS xs, min(f1) AS yl, max(f1) AS yh, stddev_samp(f1) AS ys, count(*) AS n, pow(count(*), -1.0::DOUBLE / 6) * 0.5 AS b FROM feat),
+    m AS (SELECT i::INT AS i, j::INT AS j, n, xs * b AS hx, ys * b AS hy, xl + i * (xh - xl) / 19 AS mx, yl + j * (yh - yl) / 19 AS my FROM e, range(20) r(i), range(20) s(j))
+    SELECT i, j, round(sum(exp(-0.5 * (pow((mx - f0) / hx, 2) + pow((my - f1) / hy, 2)))) / any_value(n * hx * hy * 6.283185307179586), 6) AS density FROM feat, m GROUP BY 1, 2""")
+def kde_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.kde_2d(feat_columns(spark, sf_dir), "f0", "f1")
+
+
+# ---- features ----------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS id, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS c_acctbal, round((c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER (), 6) AS c_nationkey, c_mktsegment FROM customer")
+def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.standard_scale(_t(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_acctbal", "c_nationkey", "c_mktsegment"), ("id",))
+
+
+_STATUS = ("F", "O", "P")
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"coalesce(o_orderstatus = '{s}', false)::INT AS \"o_orderstatus_{s}\"" for s in _STATUS) + ", o_custkey % 2 AS fire FROM orders")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.one_hot(_t(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 2 AS fire", "o_orderstatus"), ["o_orderstatus"], "fire")
+
+
+@query("""WITH p AS (SELECT avg((l_returnflag = 'R')::INT) AS prior FROM lineitem), s AS (SELECT l_suppkey AS s, count(*) AS n, avg((l_returnflag = 'R')::INT) AS m FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(n - 20) / 10.0::DOUBLE)) * m + (1 - 1 / (1 + exp(-(n - 20) / 10.0::DOUBLE))) * prior, 6) AS supp FROM lineitem JOIN s ON s = l_suppkey, p""")
+def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey AS supp", "int(l_returnflag = 'R') AS y")
+    return features.target_encode(d, ["supp"], "y").drop("y")
+
+
+@query(f"""WITH {FEAT}, t AS (SELECT 'f0' AS column_name, f0 AS v, y FROM feat UNION ALL SELECT 'f1', f1, y FROM feat), e AS (SELECT column_name, min(v) AS lo, max(v) AS hi FROM t GROUP BY 1),
+    c AS (SELECT column_name, least(floor((v - lo) / (hi - lo) * 16), 15) AS x, y, count(*) AS n FROM t JOIN e USING (column_name) GROUP BY 1, 2, 3)
+    SELECT column_name, round(sum(n / tt * ln(n * tt / (nx * ny))), 6) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY column_name, x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY column_name, y)::DOUBLE AS ny, sum(n) OVER (PARTITION BY column_name)::DOUBLE AS tt FROM c) GROUP BY 1""")
+def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.binned_mutual_information(feat_columns(spark, sf_dir), ["f0", "f1"], "y")
+
+
+@query()
+def supervised_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.supervised_reduction(feat_columns(spark, sf_dir).drop("id", "c"), "y", var_threshold=0.0, method="MI", top_k=2)
+
+
+@query()
+def feature_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.unsupervised_reduction(feat_columns(spark, sf_dir).drop("id", "c", "y"), var_threshold=0.0)
+
+
+@query()
+def pca_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.unsupervised_reduction(feat_columns(spark, sf_dir).drop("id", "c", "y"), var_threshold=0.0, components=2)
+
+
+# ---- resampling --------------------------------------------------------------------------
+
+_RANK = "row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42:' || id), id)"
+_LINES = "d AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag FROM lineitem)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_returnflag")
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT l_returnflag AS f, count(*) AS n, 0.2 * count(*) AS e, floor(0.2::DOUBLE * count(*) + 1e-9) AS q FROM d GROUP BY 1), w AS (SELECT ceil(0.2::DOUBLE * sum(n) - 1e-9) - sum(q) AS more FROM c),
+    k AS (SELECT f, q + CASE WHEN row_number() OVER (ORDER BY 0.2::DOUBLE * n - q DESC, f) <= more THEN 1 ELSE 0 END AS q FROM c, w) SELECT id, l_returnflag, {_RANK} <= q AS is_test FROM d JOIN k ON f = l_returnflag""")
+def strat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.stratified_split(_lines(spark, sf_dir), "l_returnflag", "id")
+
+
+@query(f"WITH {_LINES}, c AS (SELECT l_returnflag AS f, greatest(1000 * count(*) // (SELECT count(*) FROM d), 1) AS q FROM d GROUP BY 1), r AS (SELECT *, {_RANK} AS r FROM d) SELECT id, l_returnflag FROM r JOIN c ON f = l_returnflag WHERE r <= q")
+def strat_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.stratified_sample(_lines(spark, sf_dir), "l_returnflag", "id", 1000)
+
+
+@query(f"WITH {_LINES} SELECT id, l_returnflag, (({_RANK} - 1) % 5)::INT AS fold FROM d")
+def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.stratified_folds(_lines(spark, sf_dir), "l_returnflag", "id")
+
+
+@query(f"WITH {_LINES} SELECT id FROM d ORDER BY md5('42:' || id), id LIMIT 500")
+def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.sample_n(_lines(spark, sf_dir).select("id"), "id", 500)
+
+
+@query()
+def bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.bootstrap(feats(spark, sf_dir).select("id", "y"), 500, "id")
+
+
+@query("SELECT 411870::BIGINT AS majority, 138429::BIGINT AS minority, 550299::BIGINT AS \"all\"")
+def resample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = resample.balance_sizes(49_560, 538_826, 0.3)
+    return spark.createDataFrame([(s["majority"], s["minority"], s["majority"] + s["minority"])], "majority long, minority long, all long")
+
+
+_KNN = "n AS (SELECT a.id, b.id AS near, {d} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {d}, b.id) AS r FROM feat a, feat b WHERE {w})"
+
+
+@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.y = 0 AND b.y = 1 AND b.c = 0 AND a.c <> 0')} , m AS (SELECT id, avg(d) AS d FROM n WHERE r <= 3 GROUP BY 1 ORDER BY d, id LIMIT 50) SELECT id FROM m UNION ALL SELECT id FROM feat WHERE y = 1 AND c = 0")
+def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir).where("(y = 0 and c <> 0) or (y = 1 and c = 0)")
+    return resample.near_miss(d, "y", 1, 50).select("id")
+
+
+@query()
+def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.smote(feats(spark, sf_dir).where("c = 0"), "y", 1, 60).select("draw", "base", "near", "u", F.expr("transform(features, x -> round(x, 6))").alias("features"))
+
+
+@query()
+def hybrid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir).withColumn("y", F.expr("int(c = 0 and y = 1)"))
+    return resample.hybrid_balance(d, "y", 1, 0.3).groupBy("y", "synthetic").count()
+
+
+# ---- classification ----------------------------------------------------------------------
+
+
+@query(f"""WITH {FEAT}, {_KNN.format(d=DIST, w='a.id % 4 = 0 AND b.id % 4 <> 0')}, v AS (SELECT n.id, f.y, count(*) AS c FROM n JOIN feat f ON f.id = near WHERE r <= 5 GROUP BY 1, 2),
+    w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, y) AS r, sum(CASE WHEN y = 1 THEN c ELSE 0 END) OVER (PARTITION BY id) / 5.0::DOUBLE AS s FROM v) SELECT id, y AS prediction, round(s, 6) AS score FROM w WHERE r = 1""")
+def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir)
+    return learn.KNeighbours(5, label="y").fit(d.where("id % 4 <> 0")).predict_proba(d.where("id % 4 = 0"))
+
+
+def _h(p: str, n: str) -> str:
+    return f"(-({p}) / ({n}) * log2(({p}) / ({n}) + 1e-9) - (({n}) - ({p})) / ({n}) * log2((({n}) - ({p})) / ({n}) + 1e-9))"
+
+
+@query(f"""WITH {FEAT}, t AS (SELECT 0 AS f, f0 AS v, y FROM feat UNION ALL SELECT 1, f1, y FROM feat UNION ALL SELECT 2, f2, y FROM feat UNION ALL SELECT 3, f3, y FROM feat),
+    b AS (SELECT f, v, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2),
+    c AS (SELECT f, v, sum(p) OVER w AS lp, sum(n) OVER w AS ln, sum(p) OVER (PARTITION BY f) AS tp, sum(n) OVER (PARTITION BY f) AS tn, lead(v) OVER (PARTITION BY f ORDER BY v) AS nx FROM b WINDOW w AS (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING))
+    SELECT f::INT AS feature, round((v + nx) / 2, 6) AS threshold, round({_h('tp', 'tn')} - ln / tn * {_h('lp', 'ln')} - (tn - ln) / tn * {_h('tp - lp', 'tn - ln')}, 6) AS gain FROM c WHERE nx IS NOT NULL""")
+def tree_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.split_table(feats(spark, sf_dir).withColumn("node", F.lit(0)), "node", "features", "y").select("feature", "threshold", "gain")
+
+
+@query()
+def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir)
+    return learn.DecisionTree(3, label="y").fit(d.where("id % 4 <> 0")).predict_proba(d.where("id % 4 = 0"))
+
+
+@query()
+def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir)
+    return learn.RandomForest(3, 2, label="y").fit(d.where("id % 4 <> 0")).predict_proba(d.where("id % 4 = 0"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").selectExpr("int(l_returnflag = 'R') AS label", "int(l_quantity > 25) AS prediction", "l_quantity AS score")
+
+
+SCORED = "s AS (SELECT (l_returnflag = 'R')::INT AS label, (l_quantity > 25)::INT AS prediction, l_quantity AS score FROM lineitem)"
+
+
+@query(f"WITH {SCORED}, c AS (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM s) SELECT round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1, tn, fp, fn, tp FROM c")
+def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.binary_metrics(_scored(spark, sf_dir))
+
+
+@query(f"WITH {SCORED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM s) SELECT round((sum(r) FILTER (WHERE label = 1) - sum(label)::DOUBLE * (sum(label) + 1) / 2) / (sum(label)::DOUBLE * (count(*) - sum(label))), 6) AS auc FROM r")
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.roc_auc(_scored(spark, sf_dir))
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT k AS class, count(*) FILTER (WHERE label = k AND prediction = k)::DOUBLE AS h, count(*) FILTER (WHERE label = k) AS support, count(*) FILTER (WHERE prediction = k) AS said FROM s, (VALUES (0), (1)) v(k) GROUP BY 1),
+    r AS (SELECT class::VARCHAR AS class, h / said AS precision, h / support AS recall, 2 * h / (said + support) AS f1, support FROM c)
+    SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM r UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM r
+    UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM r""")
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.class_report(_scored(spark, sf_dir))
+
+
+# ---- clustering --------------------------------------------------------------------------
+
+CENTRES = [[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, -0.1, 0.1]]
+_CEN = "b AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{x}::DOUBLE' for x in c)})" for i, c in enumerate(CENTRES)) + ") t(k, f0, f1, f2, f3))"
+_ASSIGN = f"s AS (SELECT id, a.f0, a.f1, a.f2, a.f3, k, {DIST} AS d, row_number() OVER (PARTITION BY id ORDER BY {DIST}, k) AS r FROM feat a, b)"
+
+
+@query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT id, k AS cluster, round(d * d, 6) AS d FROM s WHERE r = 1")
+def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.assign(feats(spark, sf_dir), CENTRES).select("id", "cluster", "d")
+
+
+@query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT k AS cluster, round(avg(f0), 6) AS f0, round(avg(f1), 6) AS f1, round(avg(f2), 6) AS f2, round(avg(f3), 6) AS f3 FROM s WHERE r = 1 GROUP BY 1")
+def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = cluster.kmeans_step(feats(spark, sf_dir), CENTRES)
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(new)], "cluster int, f0 double, f1 double, f2 double, f3 double")
+
+
+@query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT round(sum(d), 6) AS medoid_cost, round(avg(d), 6) AS avg_medoid_dist FROM s WHERE r = 1")
+def clara_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.medoid_cost(feats(spark, sf_dir), CENTRES)
+
+
+_CM = "m AS (SELECT c AS mc, avg(f0) AS m0, avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, count(*) AS n FROM feat GROUP BY 1)"
+_TOC = "((f0-m0)*(f0-m0) + (f1-m1)*(f1-m1) + (f2-m2)*(f2-m2) + (f3-m3)*(f3-m3))"
+
+
+@query(f"""WITH {FEAT}, {_CM}, w AS (SELECT sum({_TOC}) AS w FROM feat JOIN m ON c = mc), g AS (SELECT avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3 FROM feat), b AS (SELECT sum(n * {_TOC}) AS b, count(*) AS k, sum(n) AS n FROM m, g)
+    SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS ch FROM b, w""")
+def ch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.calinski_harabasz(feats(spark, sf_dir), "c")
+
+
+@query(f"""WITH {FEAT}, {_CM}, s AS (SELECT mc AS i, avg(sqrt({_TOC})) AS s, any_value(m0) AS f0, any_value(m1) AS f1, any_value(m2) AS f2, any_value(m3) AS f3 FROM feat JOIN m ON c = mc GROUP BY 1),
+    p AS (SELECT a.i, max((a.s + b.s) / {DIST}) AS r FROM s a JOIN s b ON a.i <> b.i GROUP BY 1) SELECT round(avg(r), 6) AS dbi FROM p""")
+def db_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.davies_bouldin(feats(spark, sf_dir), "c")
+
+
+@query(f"""WITH {FEAT}, t AS (SELECT a.id, a.c, b.c AS o, sum({DIST}) AS t, count(*) AS n FROM feat a, feat b GROUP BY 1, 2, 3), s AS (SELECT id, max(CASE WHEN c = o THEN t / nullif(n - 1, 0) END) AS a, min(CASE WHEN c <> o THEN t / n END) AS b FROM t GROUP BY 1)
+    SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.silhouette(feats(spark, sf_dir), "id", "c")
+
+
+@query(f"WITH {FEAT}, {_CM} SELECT round(sum({_TOC}), 6) AS wcss, round(sum({_TOC}) / count(*), 6) AS wcss_per_point FROM feat JOIN m ON c = mc")
+def wcss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.wcss(feats(spark, sf_dir), "c")
+
+
+@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.id <> b.id')} SELECT id, round(d, 6) AS core FROM n WHERE r = 5")
+def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.core_distances(feats(spark, sf_dir), 5)
+
+
+@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.id <> b.id')}, k AS (SELECT id, d AS core FROM n WHERE r = 5) SELECT a.id AS a, b.id AS b, round(greatest({DIST}, ka.core, kb.core), 6) AS w FROM feat a JOIN feat b ON a.id < 20 AND b.id < 20 AND a.id < b.id JOIN k ka ON ka.id = a.id JOIN k kb ON kb.id = b.id")
+def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir)
+    few = d.where("id < 20").select("id", "features")
+    pairs = resample.pair_distances(few, few).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "d")
+    return cluster.mutual_reachability(d, cluster.core_distances(d, 5), pairs)
+
+
+@query(f"""WITH RECURSIVE {FEAT}, e AS (SELECT a.id AS a, b.id AS b FROM feat a JOIN feat b ON a.id <> b.id AND a.id < 150 AND b.id < 150 AND {DIST} <= 0.12), w(id, l) AS (SELECT id, id FROM feat WHERE id < 150 UNION SELECT e.b, l FROM w JOIN e ON e.a = w.id),
+    m AS (SELECT id, min(l) AS l FROM w GROUP BY 1), s AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS c FROM m GROUP BY l HAVING count(*) >= 3) SELECT m.id, coalesce(c, -1)::INT AS cluster FROM m LEFT JOIN s USING (l)""")
+def components_at_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir).where("id < 150").select("id", "features")
+    pairs = resample.pair_distances(d, d).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("w"))
+    return cluster.components_at(pairs, d, 0.12, 3)
+
+
+@query("SELECT count(DISTINCT CASE WHEN l > 0 THEN l END) AS n_clusters, sum((l = 0)::INT)::BIGINT AS n_noise, round(avg((l = 0)::INT), 6) AS noise_ratio FROM (SELECT label AS l FROM embeddings)")
+def noise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.noise_summary(_t(spark, sf_dir, "embeddings").select(F.expr("label - 1").alias("cluster")))
+
+
+RUNS = "runs AS (SELECT s_suppkey AS id, s_acctbal AS ch, s_nationkey::DOUBLE AS dbi, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE (s_suppkey * 37 % 101)::DOUBLE / 100 END AS noise_ratio FROM supplier)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_acctbal AS ch", "double(s_nationkey) AS dbi", "if(s_suppkey % 9 = 0, null, double(s_suppkey * 37 % 101) / 100) AS noise_ratio")
+
+
+@query(f"""WITH {RUNS} SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.ch >= r.ch AND o.dbi <= r.dbi AND coalesce(NOT (r.noise_ratio < o.noise_ratio), true)
+    AND (o.ch > r.ch OR o.dbi < r.dbi OR coalesce(o.noise_ratio < r.noise_ratio, false)))""")
+def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pareto_front(_runs(spark, sf_dir), {"ch": "max", "dbi": "min", "noise_ratio": "min"})
+
+
+@query(f"WITH {RUNS} SELECT * FROM runs WHERE noise_ratio <= 0.2")
+def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.filter_noise(_runs(spark, sf_dir), 0.2)
+
+
+@query()
+def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir)
+    return cluster.KMeans(3, max_iter=5, n_init=1).fit(d).predict(d)
+
+
+@query()
+def clara_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = feats(spark, sf_dir)
+    return cluster.Clara(3, 40, 2).fit(d).predict(d)
+
+
+@query()
+def hdbscan_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.Hdbscan(10, 5).fit_predict(feats(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"season_share": season_share}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
