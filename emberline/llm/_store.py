@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -48,3 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that extra columns can never clash with working ones."""
     return df.select(*[df[c] for c in columns])
+
+
+def shielded(docs: DataFrame, needed: tuple[str, ...], work) -> DataFrame:
+    """``work`` on ``docs`` with all columns but ``needed`` folded into one, and unfolded after.
+
+    So no extra column can clash with a name that the work uses; the column order stays.
+    """
+    extra = [c for c in docs.columns if c not in needed]
+    if not extra:
+        return work(docs)
+    folded = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c in needed], F.struct(*[docs[f"`{c}`"] for c in extra]).alias("__extra"))
+    out = work(folded)
+    return out.select(*[F.col(f"__extra.`{c}`").alias(c) if c in extra else out[f"`{c}`"] for c in docs.columns])

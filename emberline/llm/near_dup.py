@@ -148,9 +148,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, own: bool)
     return rows.mapInArrow(_compare(own), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
 
 
-def sieve(rows: DataFrame, column: str, wanted: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+def sieve(rows: DataFrame, column: str, wanted: DataFrame, key: str, most_bits: int = 1 << 27, inside: bool = True) -> DataFrame:
     """Rows whose ``column`` may occur among ``wanted``'s keys: a bitmap filter before a shuffle.
 
+    Without ``inside``: the other rows, which surely don't occur there, nulls included.
+
     The bitmap has 16 bits a key and ``most_bits`` at most (2 million rows of 64 bits), so what
     is broadcast is bounded whatever the number of keys; a full bitmap only filters less.
     """
@@ -159,9 +161,9 @@ def sieve(rows: DataFrame, column: str, wanted: DataFrame, key: str, most_bits:
     words = wanted.select(place(F.col(key)).alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word"))
     bitmap = words.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("set"))
     at = place(rows[column])
-    placed = rows.withColumn("_word", F.floor(at / 64)).withColumn("_bit", F.pmod(at, F.lit(64)).cast("int"))
-    kept = placed.join(F.broadcast(bitmap), F.col("_word") == F.col("word")).where("shiftright(set, _bit) & 1 = 1")
-    return kept.select(*rows.columns)
+    placed = rows.withColumn("__sieve_word", F.floor(at / 64)).withColumn("__sieve_bit", F.pmod(at, F.lit(64)).cast("int"))
+    hit = placed.join(F.broadcast(bitmap), F.col("__sieve_word") == F.col("word"), "inner" if inside else "left").withColumn("__sieve_hit", F.expr("coalesce(shiftright(set, __sieve_bit) & 1 = 1, false)"))
+    return hit.where("__sieve_hit" if inside else "not __sieve_hit").select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125, rows: int = 5) -> DataFrame:
@@ -243,3 +245,23 @@ def _rest(checked: DataFrame, label: DataFrame, texts: DataFrame, num: int, den:
     pairs = shared.select("l.x", "r.x").union(under.select("l.x", "r.x")).toDF("u", "v")
     pairs = staged(pairs.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("x")).distinct(), "rest")
     return _verified(pairs, texts, num, den, False).where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+
+def deduplicated(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of ``docs`` (all columns) without near-duplicates: of each group the smallest doc_id stays.
+
+    Rows with a null doc_id or without words stay. Of rows that repeat a doc_id one stays (the
+    smallest text). Texts are shuffled only for ids that may go: the bitmap of ``sieve`` lets
+    the others pass in place.
+    """
+    found = staged(near_duplicates(docs, num, den).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    gone = found.where("not kept").select("doc_id").union(found.groupBy("doc_id").count().where("count > 1").select("doc_id")).distinct().withColumnRenamed("doc_id", "gone")
+    gone = staged(gone, "gone")
+    if gone.isEmpty():
+        return docs
+    maybe = sieve(docs, "doc_id", gone, "gone")
+    sure = sieve(docs, "doc_id", gone, "gone", inside=False)
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    single = maybe.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    first = maybe.join(again, F.col("doc_id") == F.col("again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    return sure.unionByName(single).unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns]))
