@@ -148,7 +148,7 @@ def _quotas(sized: DataFrame, weights: tuple[float, ...], share: float, cap: int
 
 def _taken(sized: DataFrame, quotas: DataFrame, cut: bool) -> DataFrame:
     """Adds source_size, target and taken. Only rows of a pattern's edge bucket are put in order."""
-    d = sized.join(quotas, "key")
+    d = sized.join(F.broadcast(quotas), "key")  # a row a pattern, max_patterns at most
     plain = d.where("edge is null or bucket <> edge").withColumn("extra", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
     at = Window.partitionBy("key").orderBy("h", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = d.where("bucket = edge").withColumn("done", F.coalesce(F.sum("size").over(at), F.lit(0)))
