@@ -62,3 +62,10 @@ def shielded(docs: DataFrame, needed: tuple[str, ...], work) -> DataFrame:
     folded = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c in needed], F.struct(*[docs[f"`{c}`"] for c in extra]).alias("__extra"))
     out = work(folded)
     return out.select(*[F.col(f"__extra.`{c}`").alias(c) if c in extra else out[f"`{c}`"] for c in docs.columns])
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the scratch tables; results that have not been written yet can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/emberline")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -165,3 +165,15 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard
     rows = good.join(per_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = v.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return rows.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB SQL for ``embedding_near_duplicates(embeddings)``: every pair of a label.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda t: t * t))) AS norm FROM v
+    WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND list_sum(list_transform(x, lambda t: t * t)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM v JOIN r ON id = vec_id LEFT JOIN n ON a = vec_id GROUP BY vec_id
+"""

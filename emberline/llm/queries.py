@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.ORACLE_SQL}
+    return {"op6_chat_formatting": chat.ORACLE_SQL, "op8_minhash_near_dup": near_dup.ORACLE_SQL, "op10_embedding_near_dup": embed_dup.ORACLE_SQL}
