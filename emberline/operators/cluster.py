@@ -6,11 +6,13 @@ import math
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance, seeded, squared_distance
+from ..session import staged
 from . import metrics
+from .ranks import numbered
 from .resample import nearest, sample_n
 
 
@@ -172,20 +174,19 @@ def components_at(edges: DataFrame, nodes: DataFrame, eps: float, min_size: int
     Minimum labels spread along links with pointer jumping until nothing changes.
     """
     links = edges.where(F.col("w") <= eps).select("a", "b")
-    links = links.union(links.select("b", "a")).distinct()
+    links = staged(links.union(links.select("b", "a")).distinct(), "links")
     label = nodes.select(F.col(key).alias("n"), F.col(key).alias("l"))
     while True:
         near = links.join(label, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
         new = label.join(near, F.col("n") == F.col("a"), "left").select("n", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
         top = label.select(F.col("n").alias("t"), F.col("l").alias("u"))
         new = new.join(top, F.col("l") == F.col("t"), "left").select("n", "old", F.least("l", F.coalesce("u", "l")).alias("l"))
-        new = new.persist()
-        changed = new.where("l <> old").limit(1).count()
+        new = staged(new, "components")
         label = new.select("n", "l")
-        if not changed:
+        if new.where("l <> old").isEmpty():
             break
     size = label.groupBy("l").agg(F.count("*").alias("s")).where(F.col("s") >= min_size)
-    named = size.withColumn("cluster", F.row_number().over(Window.orderBy("l")) - 1).select(F.col("l").alias("_l"), "cluster")
+    named = numbered(size, "l", "cluster").select(F.col("l").alias("_l"), "cluster")
     return label.join(named, F.col("l") == F.col("_l"), "left").select(F.col("n").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 

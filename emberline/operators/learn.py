@@ -73,7 +73,7 @@ def split_table(df: DataFrame, node: str, features: str, label: str, columns: li
         node, "f", "v", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lp"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("ln"),
         F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"), F.lead("v").over(order).alias("next"),
     ).where("next is not null")
-    h = lambda p, n: f"(-({p}) / ({n}) * log2(({p}) / ({n}) + 1e-9) - (({n}) - ({p})) / ({n}) * log2((({n}) - ({p})) / ({n}) + 1e-9))"
+    h = lambda p, n: f"(-({p}) / nullif({n}, 0) * log2(({p}) / nullif({n}, 0) + 1e-9) - (({n}) - ({p})) / nullif({n}, 0) * log2((({n}) - ({p})) / nullif({n}, 0) + 1e-9))"
     gain = F.expr(f"{h('tp', 'tn')} - ln / tn * {h('lp', 'ln')} - (tn - ln) / tn * {h('tp - lp', 'tn - ln')}")
     return d.select(node, F.col("f").alias("feature"), F.expr("(v + next) / 2").alias("threshold"), gain.alias("gain"), "ln", "tn")
 

@@ -29,7 +29,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, column: str) -> DataFrame:
-    return value_counts(df, column).withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    total = df.agg(F.count(column).alias("_total"))  # one row
+    return value_counts(df, column).crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct"))
 
 
 def top_categories(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -41,7 +42,7 @@ def seasonal_share(df: DataFrame, date: str) -> DataFrame:
     """Rows and share of rows by season in calendar order; bad dates are dropped, empty seasons absent."""
     m = F.month(parse_date(F.col(date)))
     counted = df.select(m.alias("month")).where("month is not null").groupBy(season(F.col("month")).alias("season")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = F.sum("n").over(Window.partitionBy())  # over five rows at most
     return counted.select("season", "n", percent_text(F.col("n") * 100.0 / total).alias("percentage"), season_order(F.col("season")).alias("ord")).orderBy("ord")
 
 

@@ -22,3 +22,8 @@ def running_total(df: DataFrame, order: str, weight: str, parts: int = 64) -> Da
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     got = placed.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(F.broadcast(first), "_range")
     return got.withColumn("before", (F.col("_first") + F.col("_in")).cast("long")).drop("_range", "_in", "_first")
+
+
+def numbered(df: DataFrame, key: str, out: str = "_pos") -> DataFrame:
+    """Rows numbered 0, 1, ... by a distinct numeric key."""
+    return running_total(df.withColumn("_one", F.lit(1)), key, "_one").drop("_one").withColumnRenamed("before", out)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance, seeded, seeded_unit
+from .ranks import numbered
 
 
 def _order(seed: int, key: str) -> list[Column]:
@@ -27,9 +28,8 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def bootstrap(df: DataFrame, n: int, order: str, seed: int = 42) -> DataFrame:
     """Exactly n rows drawn with replacement: n seeded positions joined to numbered rows."""
     total = df.count()
-    numbered = df.withColumn("_pos", F.row_number().over(Window.orderBy(order)) - 1)
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(seeded_unit(seed, F.col("id")) * total).cast("int").alias("_pos"))
-    return draws.join(numbered, "_pos").drop("_pos")
+    return draws.join(numbered(df, order), "_pos").drop("_pos")
 
 
 def largest_remainder(counts: dict, share: float) -> dict:
@@ -141,12 +141,12 @@ def smote(df: DataFrame, label: str, minority, extra: int, key: str = "id", vect
     if n < 2 or extra <= 0:
         return df.sparkSession.createDataFrame([], "draw long, base long, near long, u double, features array<double>")
     pairs = nearest(small, small, min(k, n - 1), key, vector, exclude_self=True)
-    numbered = small.withColumn("_pos", F.row_number().over(Window.orderBy(key)) - 1)
+    bases = numbered(small, key)
     draws = df.sparkSession.range(extra).select(
         F.col("id").alias("draw"), F.floor(seeded_unit(seed, F.lit("base"), F.col("id")) * n).cast("int").alias("_pos"),
         (F.floor(seeded_unit(seed, F.lit("near"), F.col("id")) * min(k, n - 1)) + 1).cast("int").alias("rank"), seeded_unit(seed, F.lit("u"), F.col("id")).alias("u"),
     )
-    d = draws.join(numbered, "_pos").join(pairs.select(F.col(key).alias("_b"), "near", "rank").alias("p"), (F.col(key) == F.col("_b")) & (draws["rank"] == F.col("p.rank")))
+    d = draws.join(bases, "_pos").join(pairs.select(F.col(key).alias("_b"), "near", "rank").alias("p"), (F.col(key) == F.col("_b")) & (draws["rank"] == F.col("p.rank")))
     other = small.select(F.col(key).alias("_o"), F.col(vector).alias("_v"))
     d = d.join(other, F.col("near") == F.col("_o"))
     made = F.zip_with(F.zip_with(F.col(vector), F.col("_v"), lambda a, b: b - a), F.col(vector), lambda delta, a: a + F.col("u") * delta)

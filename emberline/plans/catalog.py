@@ -131,7 +131,7 @@ def skew_kurt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.skew_kurtosis(_t(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
 
 
-@query(f"""WITH {HOLES} SELECT 'c_custkey' AS column_name, 0.0::DOUBLE AS missing_pct, count(DISTINCT c_custkey) AS n_unique, 0.0::DOUBLE AS zeros_pct, 0.0::DOUBLE AS negatives_pct, 'bigint' AS dtype FROM holes
+@query(f"""WITH {HOLES} SELECT 'c_custkey' AS column_name, 0.0::DOUBLE AS missing_pct, count(DISTINCT c_custkey) AS n_unique, round(avg((c_custkey = 0)::INT) * 100, 6) AS zeros_pct, 0.0::DOUBLE AS negatives_pct, 'bigint' AS dtype FROM holes
     UNION ALL SELECT 'segment', 0.0, count(DISTINCT segment), NULL, NULL, 'string' FROM holes
     UNION ALL SELECT 'balance', round(avg((balance IS NULL)::INT) * 100, 6), count(DISTINCT balance), round(avg(coalesce(balance = 0, false)::INT) * 100, 6), 0.0, 'double' FROM holes
     UNION ALL SELECT 'one', 0.0, 1, 0.0, 0.0, 'int' FROM holes GROUP BY 1""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +30,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in any float column becomes NULL, the engine's only spelling of a missing number."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
+_FALLBACK: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The scratch folder that all executors share; a temporary one only where none is set (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="emberline_")
+    return _FALLBACK[app]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: the lineage ends here, and a lost
+    executor costs one re-read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/emberline/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
