@@ -7,24 +7,12 @@ recomputation, and no file lives on one machine only.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
+from ..session import shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared scratch folder; a temporary one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="emberline_")
-    return _FALLBACK[app]
+__all__ = ["clear", "pick", "shared_dir", "shielded", "staged", "table", "tune"]
 
 
 def tune(spark: SparkSession, rows: int = 1000) -> None:
@@ -34,14 +22,6 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/emberline/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
