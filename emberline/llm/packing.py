@@ -37,6 +37,8 @@ class WordTokenizer:
 
     #: Most chunks that are kept.
     KEPT = 600_000
+    #: Bytes of text whose new chunks are encoded in one go.
+    BLOCK = 1 << 22
     _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
     _SMALL = bytes.maketrans(b"\t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 5 + b"abcdefghijklmnopqrstuvwxyz")
 
@@ -52,8 +54,7 @@ class WordTokenizer:
         self._word[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
         self._mark[list(b".,;:!?%$&#*)|")] = True
 
-    def _chunks(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode("utf-8", "surrogatepass")
+    def _chunks(self, data: bytes) -> list[bytes]:
         if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
             return data.translate(self._SPACES).split(b" ")
         data = data.translate(self._SMALL)
@@ -61,18 +62,29 @@ class WordTokenizer:
         at = np.flatnonzero(self._mark[b[1:]] & self._word[b[:-1]])
         return (np.insert(b, at + 1, 32).tobytes() if len(at) else data).split(b" ")
 
+    @staticmethod
+    def _one_word(chunk: bytes) -> bool:
+        """Letters only, all below U+0250, where composing changes nothing and (but for U+0130) a small letter is one character."""
+        if chunk.isalpha():
+            return True
+        text = chunk.decode("utf-8", "replace")
+        return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks joined by spaces. A chunk of ASCII letters is one word and ends with a
+        """Encode chunks joined by spaces. A chunk of plain letters is one word and ends with a
         word-end token; for any other, a token belongs to the chunk that its offset lies in."""
-        for plain in (True, False):
-            kind = [c for c in chunks if c.isalpha() == plain]
+        plain, other = [], []
+        for c in chunks:
+            (plain if self._one_word(c) else other).append(c)
+        for kind in (plain, other):
             for at in range(0, len(kind), 20_000):
                 some = kind[at : at + 20_000]
                 words = b" ".join(some).decode("utf-8", "replace")
-                if plain:
+                cut: list[int] = []
+                if kind is plain:
                     ids = np.array(self._encoder.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
                     cut = [0, *(4 * np.flatnonzero(self._last[ids]) + 4).tolist()]
-                else:
+                if len(cut) != len(some) + 1:
                     got = self._encoder.encode(words, add_special_tokens=False)
                     ids = np.array(got.ids, "<u4")
                     starts = np.cumsum([0] + [len(w) + 1 for w in words.split(" ")])
@@ -80,9 +92,16 @@ class WordTokenizer:
                 data = ids.tobytes()
                 self._known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 200):
-            part = [self._chunks(t) for t in texts[at : at + 200]]
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of each text (UTF-8 bytes; None is empty), worked on in blocks of a few megabytes."""
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and size < self.BLOCK:
+                text = texts[at] or b""
+                part.append(self._chunks(text))
+                size += len(text)
+                at += 1
             need = set().union(*part)
             new = need - self._known.keys()
             if new:
@@ -114,7 +133,7 @@ def _cut(path: str, window: int, end_id: int):
         tokenizer = tokenizer_of(path)
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(tokenizer.encode(batch.column(1).to_pylist())):
+            for k, ids in enumerate(tokenizer.encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 data = ids + end
                 for i in range(0, len(data), step):
                     piece = data[i : i + step]
