@@ -155,6 +155,19 @@ def count_words(training: DataFrame) -> DataFrame:
     return staged(training.select("text").mapInArrow(_tally, "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
 
 
+def _frequent(words: DataFrame) -> DataFrame:
+    """The words with the largest counts: all those over the smallest count (on a grid of 16 steps
+    an octave) that at most FREQUENT words reach. Only the grid is summed up on the driver."""
+    step = F.floor(16 * F.log2("n")).cast("int")
+    total, least = 0, None
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):  # a row a step, about 1000 at most
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["step"]
+    return words.where(step >= least) if least is not None else words.limit(0)
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, frequent, logs, class_logs = shared.value
@@ -204,7 +217,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     ends = by_class.get(0, (0, 0))[0]
     class_logs = np.array([np.log10(n + SMOOTH * (v + 1)) for n, v in (by_class.get(k, (0, 0)) for k in range(CLASSES))])
     words = counts.where("word is not null")
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # FREQUENT rows at most
+    top = _frequent(words).toPandas()  # FREQUENT rows at most
     heads, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
     order = np.argsort(heads)
     shared = spark.sparkContext.broadcast((fit(training), heads[order], np.log10(n[order] + SMOOTH), class_logs))
