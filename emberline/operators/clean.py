@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import any_negative, constant_row, sentinel_to_null, to_number
+from ..session import staged
 
 
 def progressive_merge(tables: dict[str, DataFrame], on: list[str], how: str = "inner", collisions: str = "suffix") -> DataFrame:
@@ -121,33 +122,54 @@ def zone_radii(base: float, most: float) -> list[float]:
     return out
 
 
-def impute_by_zones(
-    df: DataFrame, column: str, category: bool = False, lat: str = "latitude", lon: str = "longitude", base: float = 0.1, least: int = 10, most: float = 5.0
-) -> DataFrame:
-    """NULLs of ``column`` from the smallest square zone around the row that holds ``least`` values.
+def zone_fills(df: DataFrame, column: str, category: bool = False, lat: str = "latitude", lon: str = "longitude", base: float = 0.1, least: int = 10, most: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """(lat, lon, fill) for the points where ``column`` is NULL, and the global value (one row).
 
-    The zone grows by half from ``base`` up to ``most``; the last one is used with fewer values
-    too, and the global value where it holds none. Numbers take the median, categories the
-    smallest most frequent value. Level by level, only rows not yet settled are joined, on square
-    buckets as wide as the zone's radius, so a row meets nine buckets and no others. Rows with a
-    NULL coordinate take the global value.
+    Level by level, only points not yet settled are joined, on square buckets as wide as the
+    zone's radius, so a point meets nine buckets and no others. Levels are written to the shared
+    folder, so plans don't grow, and stop as soon as every point is settled.
     """
     pick = F.mode(F.col("_v"), True) if category else F.median("_v")
     values = df.where(F.col(column).isNotNull()).select(F.col(lat).alias("_y"), F.col(lon).alias("_x"), F.col(column).alias("_v"))
-    open_ = df.where(F.col(column).isNull()).select(lat, lon).distinct()
+    open_ = staged(df.where(F.col(column).isNull()).select(lat, lon).dropna().distinct(), "zones")
     radii = zone_radii(base, most)
+    near = F.array(*map(F.lit, (-1, 0, 1)))
     settled: list[DataFrame] = []
     for i, r in enumerate(radii):
         probe = open_.select(lat, lon, *[F.floor(F.col(c) / r).alias(b) for c, b in ((lat, "_i"), (lon, "_j"))])
-        probe = probe.withColumn("_di", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dj", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+        probe = probe.withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(near))
         probe = probe.withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj"))
         placed = values.withColumn("_i", F.floor(F.col("_y") / r)).withColumn("_j", F.floor(F.col("_x") / r))
         inside = probe.join(placed, ["_i", "_j"]).where(F.col("_y").between(F.col(lat) - r, F.col(lat) + r) & F.col("_x").between(F.col(lon) - r, F.col(lon) + r))
         got = inside.groupBy(lat, lon).agg(F.count("*").alias("_n"), pick.alias("_fill"))
-        done = got if i == len(radii) - 1 else got.where(F.col("_n") >= least)
-        settled.append(done.select(lat, lon, "_fill"))
-        open_ = open_.join(done, [lat, lon], "left_anti")
+        done = staged((got if i == len(radii) - 1 else got.where(F.col("_n") >= least)).select(lat, lon, "_fill"), "zones")
+        settled.append(done)
+        if i < len(radii) - 1:
+            open_ = staged(open_.join(done, [lat, lon], "left_anti"), "zones")
+            if open_.isEmpty():
+                break
     fills = reduce(DataFrame.union, settled).select(F.col(lat).alias("_flat"), F.col(lon).alias("_flon"), "_fill")
-    whole = values.agg(pick.alias("_all"))
+    return fills, values.agg(pick.alias("_all"))
+
+
+def impute_by_zones(df: DataFrame, column: str, category: bool = False, lat: str = "latitude", lon: str = "longitude", base: float = 0.1, least: int = 10, most: float = 5.0) -> DataFrame:
+    """NULLs of ``column`` from the smallest square zone around the row that holds ``least`` values.
+
+    The zone grows by half from ``base`` up to ``most``; the last one is used with fewer values
+    too, and the global value where it holds none. Numbers take the median, categories the
+    smallest most frequent value. Rows with a NULL coordinate take the global value.
+    """
+    fills, whole = zone_fills(df, column, category, lat, lon, base, least, most)
     joined = df.join(fills, (F.col(lat) == F.col("_flat")) & (F.col(lon) == F.col("_flon")) & F.col(column).isNull(), "left").crossJoin(F.broadcast(whole))
     return joined.select(*[F.coalesce(F.col(c), F.col("_fill"), F.col("_all")).alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def impute_columns(df: DataFrame, numbers: list[str], classes: list[str] = (), lat: str = "latitude", lon: str = "longitude", **zone) -> DataFrame:
+    """Several columns by zones, each from the table as it came, which is stored once."""
+    df = staged(df, "gaps")
+    out = df
+    for c in (*numbers, *classes):
+        fills, whole = zone_fills(df, c, c in classes, lat, lon, **zone)
+        joined = out.join(fills, (F.col(lat) == F.col("_flat")) & (F.col(lon) == F.col("_flon")) & F.col(c).isNull(), "left").crossJoin(F.broadcast(whole))
+        out = joined.select(*[F.coalesce(F.col(k), F.col("_fill"), F.col("_all")).alias(k) if k == c else F.col(k) for k in df.columns])
+    return out

@@ -236,3 +236,16 @@ def kde_1d(df: DataFrame, column: str, points: int = 50, adjust: float = 1.0) ->
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("corr"))
+
+
+def histogram_by(df: DataFrame, column: str, by: str, bins: int = 30) -> DataFrame:
+    """Histogram of a column for each group, on the bins of the whole table."""
+    ends = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.least(F.when(width > 0, F.floor((F.col(column) - F.col("lo")) / width)).otherwise(0), F.lit(bins - 1)).cast("int")
+    return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(by, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def missing_matrix(df: DataFrame, key: list[str]) -> DataFrame:
+    """Keys with a flag for each other column: is the value missing?"""
+    return df.select(*key, *[F.col(c).isNull().alias(c) for c in df.columns if c not in key])

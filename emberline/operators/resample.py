@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance, seeded, seeded_unit
-from .ranks import numbered
+from .ranks import numbered, smallest
 
 
 def _order(seed: int, key: str) -> list[Column]:
@@ -21,7 +21,16 @@ def random_fraction(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if there are fewer): a top-n by hash, which Spark merges from each partition's own."""
+    """Exactly n rows (all, if there are fewer): the first n by hash.
+
+    Rows over a hash threshold that leaves some more than n are dropped before the ordering, so
+    partitions send about n rows in all, not n each.
+    """
+    total = df.count()
+    if total > 4 * n:
+        few = df.where(seeded_unit(seed, F.col(key)) < (n + 10 * math.sqrt(n) + 100) / total)
+        if few.count() >= n:
+            df = few
     return df.orderBy(*_order(seed, key)).limit(n)
 
 
@@ -126,7 +135,7 @@ def near_miss(df: DataFrame, label: str, minority, keep: int, key: str = "id", v
     """All minority rows and the ``keep`` majority rows with the smallest mean distance to their k nearest minority rows."""
     small, large = df.where(F.col(label) == minority), df.where(F.col(label) != minority)
     mean = nearest(large, small, k, key, vector).groupBy(F.col(key).alias("_id")).agg(F.avg("d").alias("_d"))
-    chosen = mean.orderBy("_d", "_id").limit(keep)
+    chosen = smallest(mean, "_d", "_id", keep)
     return small.unionByName(large.join(chosen, F.col(key) == F.col("_id"), "left_semi"))
 
 

@@ -169,6 +169,17 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histogram(_t(spark, sf_dir, "customer"), "c_acctbal")
 
 
+@query("""WITH e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)
+    SELECT c_mktsegment, least(floor((c_acctbal - lo) / ((hi - lo) / 30)), 29)::INT AS bin, count(*) AS n FROM customer, e WHERE c_acctbal IS NOT NULL GROUP BY 1, 2""")
+def histogram_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.histogram_by(_t(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment")
+
+
+@query(f"WITH {HOLES} SELECT c_custkey, segment IS NULL AS segment, balance IS NULL AS balance, one IS NULL AS one FROM holes")
+def missing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.missing_matrix(_holes(spark, sf_dir), ["c_custkey"])
+
+
 _NUM = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
 _PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
 
