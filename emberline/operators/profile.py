@@ -139,7 +139,7 @@ def iqr_outlier_share(df: DataFrame, columns: list[str], factor: float = 1.5) ->
 def boxplot_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles and whiskers (the last points inside the fences) for each group."""
     f = fences(df, column, by=[by]).withColumnRenamed(by, "_by")
-    inside = df.join(F.broadcast(f), F.col(by).eqNullSafe(F.col("_by"))).where((F.col(column) >= F.col("low")) & (F.col(column) <= F.col("high")))
+    inside = df.join(f, F.col(by).eqNullSafe(F.col("_by"))).where((F.col(column) >= F.col("low")) & (F.col(column) <= F.col("high")))
     return inside.groupBy(by).agg(*[F.first(c).alias(c) for c in ("q1", "q2", "q3")], F.min(column).cast("double").alias("whisker_low"), F.max(column).cast("double").alias("whisker_high"))
 
 

@@ -13,7 +13,12 @@ from .spatial import point_in_polygon
 def _located(points: DataFrame, headers: DataFrame, lat: str, lon: str) -> DataFrame:
     """Adds row and col of the cell that holds the point; NULL outside the raster."""
     col, row = F.floor((F.col(lon) - F.col("c")) / F.col("a")).cast("int"), F.floor((F.col(lat) - F.col("f")) / F.col("e")).cast("int")
-    d = points.join(headers, "raster_id", "left") if "raster_id" in points.columns else points.crossJoin(F.broadcast(headers))
+    if "raster_id" in points.columns:
+        d = points.join(headers, "raster_id", "left")
+    elif headers.limit(2).count() == 1:
+        d = points.crossJoin(F.broadcast(headers))  # one row
+    else:
+        raise ValueError("points without raster_id need exactly one raster")
     inside = col.between(0, F.col("width") - 1) & row.between(0, F.col("height") - 1)
     return d.withColumn("row", F.when(inside, row)).withColumn("col", F.when(inside, col))
 
@@ -53,7 +58,7 @@ def soil_attributes(points: DataFrame, cells: DataFrame, headers: DataFrame, att
 
 def to_points(cells: DataFrame, headers: DataFrame, name: str, keep_null: bool = False) -> DataFrame:
     """Cell centres with their values; rows without a value only on request."""
-    d = cells.join(F.broadcast(headers), "raster_id") if headers.columns else cells
+    d = cells.join(headers, "raster_id")
     value = F.when(F.col("nodata").isNull() | (F.col("value") != F.col("nodata")), F.col("value"))
     x = F.col("c") + F.col("a") * (F.col("col") + 0.5) + F.col("b") * (F.col("row") + 0.5)
     y = F.col("f") + F.col("d") * (F.col("col") + 0.5) + F.col("e") * (F.col("row") + 0.5)
@@ -69,7 +74,7 @@ def clip(cells: DataFrame, headers: DataFrame, polygons: DataFrame, key: str) ->
     centres = to_points(cells, headers, "value", keep_null=True)
     inside = centres.join(point_in_polygon(centres, polygons, ["raster_id", "row", "col"], key).select("raster_id", "row", "col").distinct(), ["raster_id", "row", "col"], "left_semi")
     box = inside.groupBy("raster_id").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
-    out = inside.join(F.broadcast(box), "raster_id").select("raster_id", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "value")
+    out = inside.join(box, "raster_id").select("raster_id", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "value")
     head = headers.join(box, "raster_id").select(
         "raster_id", "a", "b", (F.col("c") + F.col("a") * F.col("c0") + F.col("b") * F.col("r0")).alias("c"), "d", "e", (F.col("f") + F.col("d") * F.col("c0") + F.col("e") * F.col("r0")).alias("f"),
         (F.col("c1") - F.col("c0") + 1).alias("width"), (F.col("r1") - F.col("r0") + 1).alias("height"), F.lit(None).cast("double").alias("nodata"),

@@ -94,18 +94,21 @@ def balance_sizes(n_minority: int, n_majority: int, share: float) -> dict[str, i
     return {"majority": majority, "minority": max(math.ceil(share * final), n_minority), "final": final}
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, blocks: int = 16) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, rows: int = 20_000) -> DataFrame:
     """(key, near, d, rank): the k nearest rows of ``right`` for each row of ``left``, ties by smaller key.
 
-    ``right`` is dealt into blocks; each row of ``left`` meets a block at a time and keeps k
-    candidates of it before candidates meet in the final ranking.
+    Both sides are dealt into blocks of about ``rows`` rows by a hash. A task meets one block of
+    each and keeps k candidates a row, before candidates meet in the final ranking.
     """
     import numpy as np
     import pandas as pd
 
     schema = left.select(key).schema[0].dataType.simpleString()
-    r = right.select(F.lit(1).alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    l = left.select(F.lit(0).alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)).cast("int").alias("part"))
+    parts, blocks = (max(4, -(-d.count() // rows)) for d in (left, right))
+    deal = lambda salt, n: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    r = right.select(F.lit(1).alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), deal(0, blocks).alias("block"), every(parts).alias("part"))
+    l = left.select(F.lit(0).alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), every(blocks).alias("block"), deal(1, parts).alias("part"))
 
     def task(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("k")
