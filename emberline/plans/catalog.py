@@ -271,9 +271,9 @@ def progressive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.progressive_merge({"customer": a, "supplier": b, "nation": _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "n_name")}, ["k"])
 
 
-@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0) ON c_nationkey = n_nationkey")
 def left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _t(spark, sf_dir, "nation").where("n_nationkey < 20").selectExpr("n_nationkey AS k", "n_name")
+    n = _t(spark, sf_dir, "nation").where("n_regionkey <> 0").selectExpr("n_nationkey AS k", "n_name")
     return clean.left_lookup(_t(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey AS k"), n, "k").select("c_custkey", "n_name")
 
 
@@ -367,7 +367,7 @@ _RADII = clean.zone_radii(0.02, 0.07)
 
 
 def _impute_sql(fill: str, value: str) -> str:
-    base = f"""WITH {DET}, d AS (SELECT k, ln, latitude, longitude, CASE WHEN k % 10 = 0 THEN NULL ELSE {value} END AS v FROM det WHERE ln <= 2), o AS (SELECT DISTINCT latitude, longitude FROM d WHERE v IS NULL)"""
+    base = f"""WITH {DET}, d AS (SELECT k, ln, latitude, longitude, CASE WHEN k % 10 = 0 THEN NULL ELSE {value} END AS v FROM det), o AS (SELECT DISTINCT latitude, longitude FROM d WHERE v IS NULL)"""
     for i, r in enumerate(_RADII):
         base += f""", j{i} AS (SELECT o.latitude, o.longitude, d.v FROM o JOIN d ON d.v IS NOT NULL AND d.latitude BETWEEN o.latitude - {r}::DOUBLE AND o.latitude + {r}::DOUBLE AND d.longitude BETWEEN o.longitude - {r}::DOUBLE AND o.longitude + {r}::DOUBLE),
             z{i} AS (SELECT latitude, longitude, count(*) AS n FROM j{i} GROUP BY 1, 2), f{i} AS ({fill.replace('@', f'j{i}')})"""
@@ -379,13 +379,13 @@ def _impute_sql(fill: str, value: str) -> str:
 
 @query(_impute_sql("SELECT latitude, longitude, median(v) AS f FROM @ GROUP BY 1, 2", "v"))
 def geo_impute_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = detections(spark, sf_dir).where("ln <= 2").selectExpr("k", "ln", "latitude", "longitude", "if(k % 10 = 0, null, v) AS v")
+    d = detections(spark, sf_dir).selectExpr("k", "ln", "latitude", "longitude", "if(k % 10 = 0, null, v) AS v")
     return clean.impute_by_zones(d, "v", base=0.02, least=6, most=0.07).select("k", "ln", "v")
 
 
 @query(_impute_sql("SELECT latitude, longitude, v AS f FROM (SELECT latitude, longitude, v, row_number() OVER (PARTITION BY latitude, longitude ORDER BY count(*) DESC, v) AS r FROM @ GROUP BY 1, 2, 3) WHERE r = 1", "CAST(v % 5 AS BIGINT)"))
 def geo_impute_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = detections(spark, sf_dir).where("ln <= 2").selectExpr("k", "ln", "latitude", "longitude", "if(k % 10 = 0, null, cast(v % 5 AS bigint)) AS v")
+    d = detections(spark, sf_dir).selectExpr("k", "ln", "latitude", "longitude", "if(k % 10 = 0, null, cast(v % 5 AS bigint)) AS v")
     return clean.impute_by_zones(d, "v", category=True, base=0.02, least=6, most=0.07).select("k", "ln", "v")
 
 
@@ -484,12 +484,12 @@ def raster_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.clip(*cells(spark), polygons(spark), "pid")[0].drop("raster_id")
 
 
-@query(f"""WITH {DET}, p AS (SELECT DISTINCT latitude, longitude, year FROM det WHERE k % 50 = 0 AND year BETWEEN 1996 AND 1998), m AS (SELECT p.*, mo::INT AS mo, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM p, range(1, 13) r(mo) WHERE NOT (year = 1997 AND mo = 7)),
+@query(f"""WITH {DET}, p AS (SELECT DISTINCT latitude, longitude, year FROM det), m AS (SELECT p.*, mo::INT AS mo, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM p, range(1, 13) r(mo) WHERE NOT (year = 1997 AND mo = 7)),
     v AS (SELECT latitude, longitude, year, mo, CASE WHEN col BETWEEN 0 AND 14 AND row BETWEEN 0 AND 9 AND (row * 15 + col) % 17 <> 0 THEN ((row * 31 + col * 7 + mo * 13 + year) % 100)::DOUBLE END AS v FROM m)
     SELECT latitude, longitude, year, median(v) FILTER (WHERE mo IN (12, 1, 2)) AS winter_t, median(v) FILTER (WHERE mo IN (3, 4, 5)) AS spring_t, median(v) FILTER (WHERE mo IN (6, 7, 8)) AS summer_t, median(v) FILTER (WHERE mo IN (9, 10, 11)) AS autumn_t FROM v GROUP BY 1, 2, 3""", places=None)
 def seasonal_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = detections(spark, sf_dir).where("k % 50 = 0 and year between 1996 and 1998").select("latitude", "longitude", "year").distinct()
-    m = spark.range(36).selectExpr("cast(1996 + id div 12 AS int) AS year", "cast(id % 12 + 1 AS int) AS month").where("not (year = 1997 and month = 7)").withColumn("raster_id", F.concat_ws("-", "year", "month"))
+    p = detections(spark, sf_dir).select("latitude", "longitude", "year").distinct()
+    m = spark.range(120).selectExpr("cast(1994 + id div 12 AS int) AS year", "cast(id % 12 + 1 AS int) AS month").where("not (year = 1997 and month = 7)").withColumn("raster_id", F.concat_ws("-", "year", "month"))
     c = m.crossJoin(cells(spark)[0].drop("raster_id")).selectExpr("raster_id", "row", "col", "double(if(value = -9999, value, (row * 31 + col * 7 + month * 13 + year) % 100)) AS value")
     h = m.select("raster_id").crossJoin(cells(spark)[1].drop("raster_id"))
     return raster.seasonal_climate(p, m, c, h, "t")
@@ -603,15 +603,14 @@ def resample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KNN = "n AS (SELECT a.id, b.id AS near, {d} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {d}, b.id) AS r FROM feat a, feat b WHERE {w})"
 
 
-@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.y = 0 AND b.y = 1 AND b.c = 0 AND a.c <> 0')} , m AS (SELECT id, avg(d) AS d FROM n WHERE r <= 3 GROUP BY 1 ORDER BY d, id LIMIT 50) SELECT id FROM m UNION ALL SELECT id FROM feat WHERE y = 1 AND c = 0")
+@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.y = 0 AND b.y = 1')}, m AS (SELECT id, avg(d) AS d FROM n WHERE r <= 3 GROUP BY 1 ORDER BY d, id LIMIT 50) SELECT id FROM m UNION ALL SELECT id FROM feat WHERE y = 1")
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = feats(spark, sf_dir).where("(y = 0 and c <> 0) or (y = 1 and c = 0)")
-    return resample.near_miss(d, "y", 1, 50).select("id")
+    return resample.near_miss(feats(spark, sf_dir), "y", 1, 50).select("id")
 
 
 @query()
 def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.smote(feats(spark, sf_dir).where("c = 0"), "y", 1, 60).select("draw", "base", "near", "u", F.expr("transform(features, x -> round(x, 6))").alias("features"))
+    return resample.smote(feats(spark, sf_dir), "y", 1, 60).select("draw", "base", "near", "u", F.expr("transform(features, x -> round(x, 6))").alias("features"))
 
 
 @query()
@@ -623,11 +622,11 @@ def hybrid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- classification ----------------------------------------------------------------------
 
 
-@query(f"""WITH {FEAT}, {_KNN.format(d=DIST, w='a.id % 4 = 0 AND b.id % 4 <> 0')}, v AS (SELECT n.id, f.y, count(*) AS c FROM n JOIN feat f ON f.id = near WHERE r <= 5 GROUP BY 1, 2),
+@query(f"""WITH {FEAT}, {_KNN.format(d=DIST, w='true')}, v AS (SELECT n.id, f.y, count(*) AS c FROM n JOIN feat f ON f.id = near WHERE r <= 5 GROUP BY 1, 2),
     w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, y) AS r, sum(CASE WHEN y = 1 THEN c ELSE 0 END) OVER (PARTITION BY id) / 5.0::DOUBLE AS s FROM v) SELECT id, y AS prediction, round(s, 6) AS score FROM w WHERE r = 1""")
 def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = feats(spark, sf_dir)
-    return learn.KNeighbours(5, label="y").fit(d.where("id % 4 <> 0")).predict_proba(d.where("id % 4 = 0"))
+    return learn.KNeighbours(5, label="y").fit(d).predict_proba(d)
 
 
 def _h(p: str, n: str) -> str:
@@ -645,13 +644,13 @@ def tree_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = feats(spark, sf_dir)
-    return learn.DecisionTree(3, label="y").fit(d.where("id % 4 <> 0")).predict_proba(d.where("id % 4 = 0"))
+    return learn.DecisionTree(3, label="y").fit(d).predict_proba(d)
 
 
 @query()
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = feats(spark, sf_dir)
-    return learn.RandomForest(3, 2, label="y").fit(d.where("id % 4 <> 0")).predict_proba(d.where("id % 4 = 0"))
+    return learn.RandomForest(3, 2, label="y").fit(d).predict_proba(d)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -734,18 +733,19 @@ def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.core_distances(feats(spark, sf_dir), 5)
 
 
-@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.id <> b.id')}, k AS (SELECT id, d AS core FROM n WHERE r = 5) SELECT a.id AS a, b.id AS b, round(greatest({DIST}, ka.core, kb.core), 6) AS w FROM feat a JOIN feat b ON a.id < 20 AND b.id < 20 AND a.id < b.id JOIN k ka ON ka.id = a.id JOIN k kb ON kb.id = b.id")
+@query(f"WITH {FEAT}, {_KNN.format(d=DIST, w='a.id <> b.id')}, k AS (SELECT id, d AS core FROM n WHERE r = 5) SELECT a.id, round(min(greatest({DIST}, ka.core, kb.core)), 6) AS least, round(max(greatest({DIST}, ka.core, kb.core)), 6) AS most FROM feat a JOIN feat b ON a.id <> b.id JOIN k ka ON ka.id = a.id JOIN k kb ON kb.id = b.id GROUP BY 1")
 def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest and largest mutual reachability of each row, over all other rows."""
     d = feats(spark, sf_dir)
-    few = d.where("id < 20").select("id", "features")
-    pairs = resample.pair_distances(few, few).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "d")
-    return cluster.mutual_reachability(d, cluster.core_distances(d, 5), pairs)
+    pairs = resample.pair_distances(d, d).where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"), "d")
+    w = cluster.mutual_reachability(d, cluster.core_distances(d, 5), pairs)
+    return w.groupBy(F.col("a").alias("id")).agg(F.min("w").alias("least"), F.max("w").alias("most"))
 
 
-@query(f"""WITH RECURSIVE {FEAT}, e AS (SELECT a.id AS a, b.id AS b FROM feat a JOIN feat b ON a.id <> b.id AND a.id < 150 AND b.id < 150 AND {DIST} <= 0.12), w(id, l) AS (SELECT id, id FROM feat WHERE id < 150 UNION SELECT e.b, l FROM w JOIN e ON e.a = w.id),
+@query(f"""WITH RECURSIVE {FEAT}, e AS (SELECT a.id AS a, b.id AS b FROM feat a JOIN feat b ON a.id <> b.id AND {DIST} <= 0.12), w(id, l) AS (SELECT id, id FROM feat UNION SELECT e.b, l FROM w JOIN e ON e.a = w.id),
     m AS (SELECT id, min(l) AS l FROM w GROUP BY 1), s AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS c FROM m GROUP BY l HAVING count(*) >= 3) SELECT m.id, coalesce(c, -1)::INT AS cluster FROM m LEFT JOIN s USING (l)""")
 def components_at_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = feats(spark, sf_dir).where("id < 150").select("id", "features")
+    d = feats(spark, sf_dir).select("id", "features")
     pairs = resample.pair_distances(d, d).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("w"))
     return cluster.components_at(pairs, d, 0.12, 3)
 
