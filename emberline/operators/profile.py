@@ -64,21 +64,16 @@ def missing_share(df: DataFrame, all_columns: bool = False) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, min, exact linear quartiles, max."""
-    q = lambda p: lambda c: F.percentile(F.col(c).cast("double"), F.lit(p))
-    return per_column(
-        df,
-        columns,
-        {
-            "n": F.count,
-            "mean": F.avg,
-            "std": F.stddev_samp,
-            "min": lambda c: F.min(c).cast("double"),
-            "q25": q(0.25),
-            "q50": q(0.5),
-            "q75": q(0.75),
-            "max": lambda c: F.max(c).cast("double"),
-        },
-    )
+    measures = {
+        "n": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": lambda c: F.min(c).cast("double"),
+        "q": lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))),
+        "max": lambda c: F.max(c).cast("double"),
+    }
+    got = per_column(df, columns, measures)
+    return got.select("column_name", "n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def skew_kurtosis(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -466,7 +466,7 @@ def raster_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.recode(cells(spark)[0], _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name"), "id", "name").drop("raster_id")
 
 
-@query(f"WITH {CELLS} SELECT row // 3 AS row, col // 3 AS col, round(avg(value), 6) AS value FROM cells GROUP BY 1, 2")
+@query(f"WITH {CELLS} SELECT CAST(row // 3 AS BIGINT) AS row, CAST(col // 3 AS BIGINT) AS col, round(avg(value), 6) AS value FROM cells GROUP BY 1, 2")
 def raster_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.downsample(cells(spark)[0], 3).drop("raster_id")
 
@@ -486,7 +486,7 @@ def raster_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {DET}, p AS (SELECT DISTINCT latitude, longitude, year FROM det), m AS (SELECT p.*, mo::INT AS mo, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM p, range(1, 13) r(mo) WHERE NOT (year = 1997 AND mo = 7)),
     v AS (SELECT latitude, longitude, year, mo, CASE WHEN col BETWEEN 0 AND 14 AND row BETWEEN 0 AND 9 AND (row * 15 + col) % 17 <> 0 THEN ((row * 31 + col * 7 + mo * 13 + year) % 100)::DOUBLE END AS v FROM m)
-    SELECT latitude, longitude, year, median(v) FILTER (WHERE mo IN (12, 1, 2)) AS winter_t, median(v) FILTER (WHERE mo IN (3, 4, 5)) AS spring_t, median(v) FILTER (WHERE mo IN (6, 7, 8)) AS summer_t, median(v) FILTER (WHERE mo IN (9, 10, 11)) AS autumn_t FROM v GROUP BY 1, 2, 3""", places=None)
+    SELECT latitude, longitude, CAST(year AS INTEGER) AS year, median(v) FILTER (WHERE mo IN (12, 1, 2)) AS winter_t, median(v) FILTER (WHERE mo IN (3, 4, 5)) AS spring_t, median(v) FILTER (WHERE mo IN (6, 7, 8)) AS summer_t, median(v) FILTER (WHERE mo IN (9, 10, 11)) AS autumn_t FROM v GROUP BY 1, 2, 3""", places=None)
 def seasonal_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = detections(spark, sf_dir).select("latitude", "longitude", "year").distinct()
     m = spark.range(120).selectExpr("cast(1994 + id div 12 AS int) AS year", "cast(id % 12 + 1 AS int) AS month").where("not (year = 1997 and month = 7)").withColumn("raster_id", F.concat_ws("-", "year", "month"))
