@@ -15,11 +15,12 @@ from ..session import shared_dir, staged
 __all__ = ["clear", "pick", "shared_dir", "shielded", "staged", "table", "tune"]
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that batches of long texts fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def tune(spark: SparkSession, rows: int = 1000, size: int = 1 << 24) -> None:
+    """Keep Arrow batches small in rows and bytes, so that batches of long texts fit a Python worker."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if int(spark.conf.get(key).rstrip("b")) > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
