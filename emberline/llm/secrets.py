@@ -18,8 +18,8 @@ from ._store import staged
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Runs of encoding symbols that the test battery looks at.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Runs of encoding symbols that the test battery looks at; a sign before a value is not padding.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 KINDS = ("assign", "access", "hex", "random")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
