@@ -1,7 +1,8 @@
 """HTML extraction by layout-aware rendering: all visible text, with block spacing, lists and tables.
 
 The tree builder closes elements that HTML closes by itself (a paragraph ends at the next
-block, a list item at the next one) and drops what a browser doesn't show. The renderer walks
+block, a list item at the next one), gives stray cells a row, moves what else stands between the
+parts of a table before it, and drops what a browser doesn't show. The renderer walks
 the tree: blocks start lines, paragraphs and headings are set apart by an empty line, list
 items get a bullet or their number, table cells are padded so that columns line up.
 """
@@ -35,6 +36,10 @@ SCOPES = {
     "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"},
     "option": {"select"}, "body": set(),
 }
+#: A table part goes into the nearest of these; what is no part and stands directly in one goes before the table.
+CONTEXT = {t: frozenset(c.split()) for t, c in {"caption": "table", "colgroup": "table", "thead": "table", "tbody": "table", "tfoot": "table", "col": "colgroup table", "tr": "thead tbody tfoot table", "td": "tr thead tbody tfoot table", "th": "tr thead tbody tfoot table"}.items()}
+PARTS = frozenset("table colgroup thead tbody tfoot tr".split())
+CELLS = HIDDEN | frozenset("td th caption".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
@@ -61,7 +66,15 @@ class TreeBuilder(HTMLParser):
             return
         if tag in CLOSES_P:
             self._end("p", {"td", "th", "table", "button"})
-        if tag in IMPLIED:
+        if tag in ("table", "form") and (k := self._within({"table"}, CELLS)) is not None:
+            if tag == "form":  # empty between the parts of a table
+                return
+            del self.open[k:]
+        if tag in CONTEXT and (k := self._within(CONTEXT[tag], HIDDEN)) is not None and self._within({"table"}, HIDDEN) is not None:
+            del self.open[k + 1 :]
+            if tag in ("td", "th") and self.open[-1].tag != "tr":
+                self._add(Node("tr", {}, False))
+        elif tag in IMPLIED:
             while (k := self._within(IMPLIED[tag], SCOPES[tag])) is not None:
                 del self.open[k:]
         if self.open[-1].tag == "head" and tag not in HIDDEN and tag not in ("base", "head"):
@@ -70,13 +83,26 @@ class TreeBuilder(HTMLParser):
             return
         hidden = tag in HIDDEN or "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style") or ""))
         node = Node(tag, attributes, hidden or tag == "input")
-        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._add(node)
+        else:
+            self._put(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _add(self, node: Node) -> None:
+        self._put(node)
+        self.open.append(node)
+
+    def _put(self, item: Node | str) -> None:
+        """Adds a child to the open element; between the parts of a table, before the table."""
+        parent = self.open[-1]
+        if parent.tag in PARTS and (isinstance(item, str) or item.tag not in CONTEXT) and (k := self._within({"table"}, HIDDEN)) is not None:
+            self.open[k - 1].children.insert(-1, item)  # an open table is its parent's last child
+        else:
+            parent.children.append(item)
+
     def _within(self, tags: set[str], stop: set[str]) -> int | None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
@@ -94,10 +120,10 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
         elif tag not in VOID:
-            self._end(tag, {"table"} if tag not in ("table", "body", "html") and tag in ("p", "li", "div", "span", "a", "b", "i", "em", "strong") else set())
+            self._end(tag, {"table"} if tag not in ("table", "body", "html") and tag not in HIDDEN else set())
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        self._put(data)
 
 
 class _Lines:

@@ -301,6 +301,26 @@ def test_html_visible_words_survive():
         assert Counter(re.findall(r"w\d+?(?=w|$)", "".join(got))) == Counter(want)
 
 
+def test_html_stray_table_content():
+    """Cells without a row, wrapped rows, and other content between the parts of a table."""
+    pages = {
+        "<table><td>x</table>": "x",
+        "<table><tbody><td>a<td>b<tr><td>c</table>": "a  b\nc",
+        "<table><form><tr><td>a</td><td>b</td></tr></form></table>": "a  b",
+        "<table><tr><form><td>a</form>z<td>b</table>c": "az  b\n\nc",
+        "<form><table><tr><td>a</form>b</td><td>c</table></form>d": "ab  c\n\nd",
+        "<table>before<tr>mid <b>bold</b> <a>link</a><td>a</table>after": "beforemid bold link\n\na\n\nafter",
+        "<table><div>one</div><tr><td>a</td><p>two</p></tr></table>": "one\n\ntwo\n\na",
+        "<table><div>one<tr><td>a<td>b</table>": "one\n\na  b",
+        "<table><tr><td>a</td><img alt=i></tr></table>": "i\n\na",
+        "<table><table><tr><td>in</table>": "in",
+        "<table><tr><td>a<table><tr></td><td>b</table>c</table>": "a\n\nb\n\nc",
+        "<table><template><tr><td>no</td></tr></template><tr><td>a</table>": "a",
+        "<center><table><tr><td>a</center><td>b</table>": "a  b",
+    }
+    assert {p: html_text.render(p) for p in pages} == pages
+
+
 CHAT = [
     (1, 0, "system", "be\\good <|x|>"), (1, 1, "user", "a </s> [INST] \\ <|im_end|>"), (1, 2, "assistant", "b\n\\\\<|im_sep|>é"), (1, 3, "assistant", ""),
     (2, 1, "assistant", "second"), (2, 0, None, None), (2, 1, "assistant", "second"), (3, None, "us<|er", "<<SYS>>"), (None, 0, "user", "nobody"),
