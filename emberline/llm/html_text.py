@@ -21,34 +21,40 @@ from ._store import pick, tune
 
 # Fixed element sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link object iframe svg math canvas audio video select datalist".split())
+HIDDEN = frozenset("head script style template noscript title meta link object iframe canvas audio video datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body address article aside center dd details dialog div dt figcaption footer form header hgroup legend li main menu nav section summary tr caption option".split())
 CLOSES_P = BLOCKS - frozenset("tr caption option html body".split())
 
 #: A start tag ends these open elements ...
 IMPLIED = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "li": {"li"}, "optgroup": {"option", "optgroup"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "thead": {"tr", "td", "th", "caption", "colgroup"}, "tbody": {"thead", "tbody", "tr", "td", "th", "caption", "colgroup"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
 }
 #: ... unless one of these stands in between.
 SCOPES = {
     "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"},
-    "option": {"select"}, "body": set(),
+    "option": {"select", "optgroup"}, "optgroup": {"select"}, "body": set(),
 }
 #: A table part goes into the nearest of these; what is no part and stands directly in one goes before the table.
 CONTEXT = {t: frozenset(c.split()) for t, c in {"caption": "table", "colgroup": "table", "thead": "table", "tbody": "table", "tfoot": "table", "col": "colgroup table", "tr": "thead tbody tfoot table", "td": "tr thead tbody tfoot table", "th": "tr thead tbody tfoot table"}.items()}
 PARTS = frozenset("table colgroup thead tbody tfoot tr".split())
 CELLS = HIDDEN | frozenset("td th caption".split())
+#: Inside svg only text and foreignobject show text; these show none. Of a formula, the annotations don't show.
+UNDRAWN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker filter".split()), "math": frozenset("annotation annotation-xml".split())}
+HTML_AGAIN = {"svg": frozenset("foreignobject desc title".split()), "text": frozenset(), "math": frozenset("mi mo mn ms mtext".split())}
+#: HTML elements that end an open svg or math element, and parts of formulas that are set apart.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtable mtr".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hidden")
+    __slots__ = ("tag", "attributes", "children", "hidden", "space")
 
-    def __init__(self, tag: str, attributes: dict[str, str | None], hidden: bool) -> None:
-        self.tag, self.attributes, self.hidden = tag, attributes, hidden
+    def __init__(self, tag: str, attributes: dict[str, str | None], hidden: bool, space: str = "html") -> None:
+        self.tag, self.attributes, self.hidden, self.space = tag, attributes, hidden, space  # space: html, svg, text (of svg) or math
         self.children: list[Node | str] = []
 
 
@@ -64,6 +70,9 @@ class TreeBuilder(HTMLParser):
         attributes = dict(attrs)
         if tag == "html":
             return
+        if tag in BREAKOUT:
+            while self.open[-1].space != "html":
+                self.open.pop()
         if tag in CLOSES_P:
             self._end("p", {"td", "th", "table", "button"})
         if tag in ("table", "form") and (k := self._within({"table"}, CELLS)) is not None:
@@ -81,15 +90,25 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
         if tag == "body" and any(n.tag == "body" for n in self.open):
             return
-        hidden = tag in HIDDEN or "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style") or ""))
-        node = Node(tag, attributes, hidden or tag == "input")
+        space = self.open[-1].space
+        hidden = tag in HIDDEN or tag in UNDRAWN.get(space, ()) or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style") or ""))
+        if space == "html":
+            space = tag if tag in ("svg", "math") else "html"
+        elif tag in HTML_AGAIN[space]:
+            space = "html"
+        elif tag == "text":
+            space = "text" if space == "svg" else space
+        node = Node(tag, attributes, hidden or tag == "input", space)
         if tag not in VOID:
             self._add(node)
         else:
             self._put(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        foreign = self.open[-1].space
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and (tag in ("svg", "math") or foreign != "html" and tag not in BREAKOUT):
+            self.open.pop()
 
     def _add(self, node: Node) -> None:
         self._put(node)
@@ -123,7 +142,8 @@ class TreeBuilder(HTMLParser):
             self._end(tag, {"table"} if tag not in ("table", "body", "html") and tag not in HIDDEN else set())
 
     def handle_data(self, data: str) -> None:
-        self._put(data)
+        if self.open[-1].space != "svg":
+            self._put(data)
 
 
 class _Lines:
@@ -224,6 +244,9 @@ def render_lines(root: Node) -> list[str]:
                 out.put(rows)
             out.line(True)
             continue
+        if tag == "select":
+            stack.extend(("in", f" {c} ", depth) for c in reversed(_choices(item)))
+            continue
         if tag == "pre":
             text = "".join(_plain(item)).strip("\n")
             if text:
@@ -251,7 +274,13 @@ def render_lines(root: Node) -> list[str]:
             stack.append(("out", item, depth))
         elif tag in ("td", "th"):
             out.text(" ")
-        stack.extend(("in", c, depth) for c in reversed(item.children))
+        elif item.space == "text" and tag == "text":
+            out.text(" ")
+            stack.append(("in", " ", depth))
+        for c in reversed(item.children):
+            stack.append(("in", c, depth))
+            if item.space == "math" and tag in APART:
+                stack.append(("in", " ", depth))
     out.line()
     while out.lines and not out.lines[-1]:
         out.lines.pop()
@@ -266,12 +295,39 @@ def _plain(node: Node) -> Iterator[str]:
         item = stack.pop()
         if isinstance(item, str):
             yield item
+        elif item.tag == "select" and not item.hidden:
+            yield " ".join(_choices(item))
         elif not item.hidden:
             if item.tag == "br":
                 yield "\n"
             stack.extend(reversed(item.children))
 
 
+def _choices(select: Node) -> list[str]:
+    """Texts that a select shows: the chosen option of a drop-down list, all of a list box."""
+    size = select.attributes.get("size") or "1"
+    listed = "multiple" in select.attributes or size.isdigit() and int(size) > 1
+    found: list[tuple[Node, bool]] = []
+    texts = []
+    stack: list[tuple[Node | str, bool]] = [(c, False) for c in reversed(select.children)]
+    while stack:
+        item, off = stack.pop()
+        if isinstance(item, str) or listed and item.hidden:
+            continue
+        off = off or "disabled" in item.attributes
+        if item.tag == "option":
+            found.append((item, off))
+            texts.append(item.attributes.get("label") or _SPACE.sub(" ", "".join(_plain(item))).strip(" "))
+        else:
+            if item.tag == "optgroup" and listed:
+                texts.append(item.attributes.get("label") or "")
+            stack.extend((c, off) for c in reversed(item.children))
+    if listed:
+        return texts
+    chosen = [k for k, (o, _) in enumerate(found) if "selected" in o.attributes][-1:] or [k for k, (o, off) in enumerate(found) if not off and not o.hidden][:1]
+    return [texts[k] for k in chosen]
+
+
 def render(html: str | None) -> str:
     """Visible text of a page; empty for a null or empty page. Never fails on broken markup."""
     if not html:

@@ -321,6 +321,26 @@ def test_html_stray_table_content():
     assert {p: html_text.render(p) for p in pages} == pages
 
 
+def test_html_shown_without_being_read_out():
+    """What is hidden from screen readers only, formulas, drawn text and chosen options are visible."""
+    pages = {
+        "<span aria-hidden=true>9.99</span> each": "9.99 each",
+        "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>\\frac</annotation></semantics></math><span aria-hidden=true>y</span>": "x= 1 2y",
+        "a<svg><title>no</title><desc>no</desc>no<g><text>one</text><text>two <tspan>three</tspan></text></g></svg>b": "a one two three b",
+        "<svg><foreignObject><div>in</div></foreignObject></svg>": "in",
+        "<p>a<svg viewBox='0'/>b</p>c": "ab\n\nc",
+        "<p>a<svg width='1'/>b<math/>c<svg><path d='1'/><text/></svg>d": "abc d",
+        "<svg><path><p>after": "after",
+        "Size <select><option>S<option selected>M<option>L</select> only": "Size M only",
+        "<select><option disabled>no<option>first<option>no</select>": "first",
+        "<select><option selected hidden>Choose<option>no</select>": "Choose",
+        "<select multiple><optgroup label=g><option>a<option hidden>no<optgroup label=h><option>b</select>": "g a h b",
+        "<pre>x <select><option>a<option selected>b</select></pre>": "x b",
+        "<span hidden>no</span><div aria-hidden=true style='display:none'>no</div>x": "x",
+    }
+    assert {p: html_text.render(p) for p in pages} == pages
+
+
 CHAT = [
     (1, 0, "system", "be\\good <|x|>"), (1, 1, "user", "a </s> [INST] \\ <|im_end|>"), (1, 2, "assistant", "b\n\\\\<|im_sep|>é"), (1, 3, "assistant", ""),
     (2, 1, "assistant", "second"), (2, 0, None, None), (2, 1, "assistant", "second"), (3, None, "us<|er", "<<SYS>>"), (None, 0, "user", "nobody"),
