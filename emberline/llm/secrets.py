@@ -1,9 +1,11 @@
 """Secret scans: keyed assignments, access keys, hex digests, and a randomness test battery.
 
-DataFrame functions only. Candidate strings get an encoding (hex, base32, base64) and three
-tests of the hypothesis that they are uniform random symbols: chi-squared over the alphabet,
-Wald-Wolfowitz runs about its middle, and lag-one serial correlation. The smallest p-value
-(times three) counts; a Benjamini-Hochberg step in each length class, over a fixed grid of
+DataFrame functions only. Candidate strings get an encoding from the kinds of symbols in them
+(hex, base32 and base36 in either case, base62, base64; letters of one small case alone count as
+base64, as words do) and three tests of the hypothesis that they are uniform random symbols:
+chi-squared over the alphabet, Wald-Wolfowitz runs about its middle, and lag-one serial
+correlation; in base32 and base36 also the share of letters that are common in words. The
+smallest p-value (times the number of tests) counts; a Benjamini-Hochberg step in each length class, over a fixed grid of
 p-values, rejects what is not random. Candidates that it cannot reject are secrets.
 """
 
@@ -66,24 +68,32 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: The commonest letters in words of European languages: two thirds of their letters, a third of random ones.
+_COMMON = "AEILNORST"
 _BINS = 256
 
 
 def p_values(cands: DataFrame) -> DataFrame:
     """Adds ``p``, the combined p-value that string ``m`` is random in its encoding, and ``length_class``."""
     d = cands.withColumn("_t", F.regexp_replace("m", "=+$", "")).withColumn("_t", F.translate("_t", "-_", "+/"))
-    code = F.when(F.col("_t").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("_t").rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    d = d.withColumn("_code", code).withColumn("_t", F.when(F.col("_code") == "hex", F.lower("_t")).otherwise(F.col("_t")))
-    symbols = F.when(F.col("_code") == "hex", _ALPHABETS["hex"]).when(F.col("_code") == "base32", _ALPHABETS["base32"]).otherwise(_ALPHABETS["base64"])
+    code = F.when(F.col("_t").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("_t").rlike("^([A-Z2-7]+|(?=.*[2-7])[a-z2-7]+)$"), "base32")
+    code = code.when(F.col("_t").rlike("^([A-Z0-9]+|(?=.*[0-9])[a-z0-9]+)$"), "base36").when(F.col("_t").rlike("^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$"), "base62").otherwise("base64")
+    fold = F.when(F.col("_code") == "hex", F.lower("_t")).when(F.col("_code").isin("base32", "base36"), F.upper("_t")).otherwise(F.col("_t"))
+    d = d.withColumn("_code", code).withColumn("_t", fold)
+    symbols = F.lit(_ALPHABETS["base64"])
+    for name in ("hex", "base32", "base36", "base62"):
+        symbols = F.when(F.col("_code") == name, _ALPHABETS[name]).otherwise(symbols)
     d = d.withColumn("_abc", symbols).withColumn("_k", F.length("_abc")).withColumn("_n", F.length("_t"))
     d = d.withColumn("_x", F.expr("transform(filter(split(_t, ''), c -> c <> ''), c -> cast(instr(_abc, c) - 1 as double))"))
-    # Chi-squared: over symbols for small alphabets, over letter case, digits and signs for base64.
+    # Chi-squared: over symbols for small alphabets, over letter case, digits and signs for base62 and base64.
     per_symbol = "aggregate(sequence(0, _k - 1), 0D, (a, i) -> a + power(size(filter(_x, v -> v = i)) - _n / _k, 2) / (_n / _k))"
-    share = lambda low, high: f"power(size(filter(_x, v -> v >= {low} and v < {high})) - _n * {high - low} / 64D, 2) / (_n * {high - low} / 64D)"
-    d = d.withColumn("_chi", F.expr(f"if(_k = 64, {share(0, 26)} + {share(26, 52)} + {share(52, 62)} + {share(62, 64)}, {per_symbol})"))
-    d = d.withColumn("_df", F.expr("if(_k = 64, 3, _k - 1)"))
+    share = lambda low, high: f"power(size(filter(_x, v -> v >= {low} and v < {high})) - _n * {high - low} / _k, 2) / (_n * {high - low} / _k)"
+    d = d.withColumn("_chi", F.expr(f"if(_k >= 62, {share(0, 26)} + {share(26, 52)} + {share(52, 62)} + if(_k = 64, {share(62, 64)}, 0D), {per_symbol})"))
+    d = d.withColumn("_df", F.expr("case _k when 64 then 3 when 62 then 2 else _k - 1 end"))
     # Runs about the middle of the alphabet.
     d = d.withColumn("_up", F.expr("size(filter(_x, v -> v >= _k / 2))")).withColumn("_down", F.expr("_n - _up"))
     d = d.withColumn("_runs", F.expr("1 + size(filter(sequence(2, greatest(_n, 2)), i -> (_x[i - 1] >= _k / 2) <> (_x[i - 2] >= _k / 2)))"))
@@ -96,7 +106,11 @@ def p_values(cands: DataFrame) -> DataFrame:
     chi = tail("(power(_chi / _df, 1D / 3) - (1 - 2D / (9 * _df))) / sqrt(2D / (9 * _df))")
     runs = f"if(_var > 0, 2 * {tail('abs(_runs - _mu) / sqrt(_var)')}, 0D)"
     serial = f"if(_ss > 0, 2 * {tail('abs(_lag / _ss) * sqrt(_n)')}, 0D)"
-    d = d.withColumn("p", F.expr(f"least(1D, 3 * least({chi}, {runs}, {serial}))")).withColumn("length_class", F.expr("cast(floor(4 * log2(_n)) as int)"))
+    # Common letters, one-sided.
+    d = d.withColumn("_letters", F.expr("length(regexp_replace(_t, '[^A-Z]', ''))")).withColumn("_common", F.expr(f"length(regexp_replace(_t, '[^{_COMMON}]', ''))"))
+    share_of = len(_COMMON) / 26
+    common = f"if(_k in (32, 36) and _letters > 0, {tail(f'(_common - _letters * {share_of}D) / sqrt(greatest(_letters, 1) * {share_of * (1 - share_of)}D)')}, 1D)"
+    d = d.withColumn("p", F.expr(f"least(1D, if(_k in (32, 36), 4, 3) * least({chi}, {runs}, {serial}, {common}))")).withColumn("length_class", F.expr("cast(floor(4 * log2(_n)) as int)"))
     return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 
