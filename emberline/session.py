@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,10 +39,17 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The scratch folder that all executors share; a temporary one only where none is set (tests)."""
+    """The scratch folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets a temporary folder; any other is refused, since
+    a folder of one machine can't be read on the others.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set; with the master {master} it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="emberline_")
@@ -49,10 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+#: Bytes that a Parquet writer of a scratch table holds back, about: tasks of many columns or long texts stay small.
+ROW_GROUP = 16 << 20
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here, and a lost
     executor costs one re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberline/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
