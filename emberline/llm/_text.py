@@ -12,7 +12,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0xD1342543DE82EF95
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

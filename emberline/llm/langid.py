@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import pick, staged, tune
+from ._store import lean, pick, staged, tune
 
 UNKNOWN = "und"
 _ORDERS = (2, 3)
-_BLOCK = 500_000
+_BLOCK = 250_000
 _letters: list[np.ndarray] = []
 
 
@@ -121,7 +121,7 @@ class Model:
 def train(labelled: DataFrame, bits: int = 15, alpha: float = 0.1, max_labels: int = 256) -> Model | None:
     """Fit on all rows of ``labelled`` (text, lang); None where no row has a label and a letter."""
     tune(labelled.sparkSession)
-    counts = pick(labelled, "text", "lang").where("lang is not null").mapInArrow(_count(bits), "lang string, bucket int, n long")
+    counts = pick(labelled, "text", "lang").where("lang is not null").mapInArrow(lean(_count(bits)), "lang string, bucket int, n long")
     counts = staged(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
     names = sorted(r[0] for r in counts.select("lang").distinct().limit(max_labels + 1).collect())
     if len(names) > max_labels:
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], bits: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*columns, "lang_pred", "score"])
 
     schema = d.drop("_text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(lean(run), schema)
 
 
 def remainder(doc_id: Column, by: int) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import pick, staged, tune
+from ._store import lean, pick, staged, tune
 from ._text import _GOLD, hash_batch, mix, shingles
 from .components import components
 
@@ -84,7 +84,7 @@ def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketch(k: int, rows: int):
-    block = 150_000
+    block = 50_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, own: bool)
     with_x = pairs.join(t, F.col("x") == F.col("id")).select("p", "x", F.col("text").alias("text_x"))
     rows = with_x.join(t, F.col("p") == F.col("id")).select("p", "x", F.col("text").alias("text_p"), "text_x")
     schema = "p long, x long, n_p long, n_x long, both long" + ", own array<long>" * own
-    return rows.mapInArrow(_compare(own), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
+    return rows.mapInArrow(lean(_compare(own)), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
 
 
 def sieve(rows: DataFrame, column: str, wanted: DataFrame, key: str, most_bits: int = 1 << 27, inside: bool = True) -> DataFrame:
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125
     spark = docs.sparkSession
     tune(spark)
     docs = pick(docs, "doc_id", "text")
-    sketch = staged(docs.mapInArrow(_sketch(k, rows), "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"), "sketch")
+    sketch = staged(docs.mapInArrow(lean(_sketch(k, rows)), "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = staged(full.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 

@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import pick, staged, tune
+from ._store import lean, pick, staged, tune
 
 
 class WordTokenizer:
@@ -33,12 +35,16 @@ class WordTokenizer:
     spaces are looked up; new ones are encoded many at a time and kept in a table of bounded
     size. A text that could hold a special token, or a mark that combines with the letter before
     it (a composed capital need not have a composed small letter), is cut at white space only.
+
+    All this follows from one kind of vocabulary file (``_cuts_words``); with any other, whole
+    texts are encoded as they are.
     """
 
-    #: Most chunks that are kept.
-    KEPT = 600_000
+    #: Most bytes of chunks that are kept, with what a dictionary entry takes besides.
+    KEPT = 40 << 20
+    ENTRY = 160
     #: Bytes of text whose new chunks are encoded in one go.
-    BLOCK = 1 << 22
+    BLOCK = 1 << 20
     _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
     _SMALL = bytes.maketrans(b"\t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 5 + b"abcdefghijklmnopqrstuvwxyz")
 
@@ -47,7 +53,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._encoder = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self._by_word = _cuts_words(json.load(f))
         self._known: dict[bytes, bytes] = {b"": b""}
+        self._held = 0
         self._last = np.zeros(self._encoder.get_vocab_size(), bool)
         self._last[[i for t, i in self._encoder.get_vocab().items() if t.endswith("</w>")]] = True
         self._word, self._mark = np.zeros(256, bool), np.zeros(256, bool)
@@ -90,10 +99,16 @@ class WordTokenizer:
                     starts = np.cumsum([0] + [len(w) + 1 for w in words.split(" ")])
                     cut = (4 * np.searchsorted(np.fromiter((first for first, _ in got.offsets), np.int64), starts)).tolist()
                 data = ids.tobytes()
+                self._held += len(data) + sum(map(len, some)) + self.ENTRY * len(some)
                 self._known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text (UTF-8 bytes; None is empty), worked on in blocks of a few megabytes."""
+        if not self._by_word:
+            for text in texts:
+                ids = self._encoder.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+                yield np.array(ids, "<u4").tobytes()
+            return
         at = 0
         while at < len(texts):
             part, size = [], 0
@@ -105,9 +120,10 @@ class WordTokenizer:
             need = set().union(*part)
             new = need - self._known.keys()
             if new:
-                if len(self._known) + len(new) > self.KEPT:
+                if self._held > self.KEPT:
                     # Words met first are mostly the frequent ones: they stay.
-                    self._known = dict(islice(self._known.items(), self.KEPT // 3))
+                    self._known = dict(islice(self._known.items(), len(self._known) // 3))
+                    self._held = sum(len(c) + len(i) + self.ENTRY for c, i in self._known.items())
                     new = need - self._known.keys()
                 self._learn(list(new))
             find = self._known.__getitem__
@@ -115,6 +131,23 @@ class WordTokenizer:
                 yield b"".join(map(find, chunks))
 
 
+# Fixed parts of the vocabulary file that cutting by words relies on.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def _cuts_words(file: dict) -> bool:
+    """Whether a tokenizer file lower-cases, cuts at white space and punctuation, and ends words with a mark."""
+    first = ((file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    model = file["model"]
+    return (
+        (file.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", _SPLIT, "Removed", True)
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and all(t["content"].startswith("<|") for t in file.get("added_tokens", ()))
+    )
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -240,12 +273,19 @@ def _assign(shared):
     return run
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], buckets: int = 1024) -> DataFrame:
-    """``rows`` with ``number``: 0, 1, ... within each value of ``key``, without one task for a value."""
-    part = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = part.groupBy(key, "bucket").agg(F.count("*").alias("size"))
+def numbered(rows: DataFrame, key: str, order: list[str], sizes: dict[int, int]) -> DataFrame:
+    """``rows`` with ``number``: 0, 1, ... within each value of ``key``, without one task for a value.
+
+    ``sizes`` has the rows of each value. A value of n rows is dealt by a hash into about sqrt(n)
+    buckets; rows are numbered inside a bucket, and the buckets' counts are added up, so
+    neither step puts more than about sqrt(n) rows of a value into one task.
+    """
+    spark = rows.sparkSession
+    deal = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in sizes.items()], "k long, buckets long")  # a row a length, `window` at most
+    part = rows.join(F.broadcast(deal), F.col(key) == F.col("k")).withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets"))).drop("k", "buckets")
+    counts = part.groupBy(key, "bucket").agg(F.count("*").alias("size"))
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(F.col(key).alias("k"), F.col("bucket").alias("b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    first = counts.select(F.col(key).alias("k"), F.col("bucket").alias("b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
     inside = part.withColumn("inside", F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)) - 1)
     joined = inside.join(first, (F.col(key) == F.col("k")) & (F.col("bucket") == F.col("b")))
     return joined.withColumn("number", (F.col("first") + F.col("inside")).cast("long")).drop("k", "b", "bucket", "first", "inside")
@@ -263,8 +303,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
     tune(spark)
     docs = pick(docs, "doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = staged(docs.mapInArrow(_cut(tokenizer, window, end_id), schema), "pieces")
+    pieces = staged(docs.mapInArrow(lean(_cut(tokenizer, window, end_id)), schema), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
     shared = spark.sparkContext.broadcast(_place(plan_windows(histogram, window)))
-    numbers = numbered(pieces, "length", ["doc_id", "start", "doc_tokens", "ids_crc32"])
-    return numbers.mapInArrow(_assign(shared), schema + ", sequence_id long, offset long")
+    numbers = numbered(pieces, "length", ["doc_id", "start", "doc_tokens", "ids_crc32"], histogram)
+    return numbers.mapInArrow(lean(_assign(shared)), schema + ", sequence_id long, offset long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import pick, staged, tune
+from ._store import lean, pick, staged, tune
 from ._text import _COEF, _GOLD, hash_words, mix
 
 #: Most labelled rows that the trees are fitted on.
@@ -208,7 +208,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     tune(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>"
-    stats = staged(pick(docs, "doc_id", "text").mapInArrow(_measure, schema), "stats")
+    stats = staged(pick(docs, "doc_id", "text").mapInArrow(lean(_measure), schema), "stats")
     known = pick(labels, "doc_id", "quality").dropna()
     share = sample / max(known.count(), 1)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(min(share, 1) * 1_000_003)) if share < 1 else known
@@ -225,7 +225,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
             p = pa.array(t.score(x)) if t is not None else pa.nulls(batch.num_rows, pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], p], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
 
-    judged = stats.mapInArrow(judge, schema.replace("features array<double>", "score double"))
+    judged = stats.mapInArrow(lean(judge), schema.replace("features array<double>", "score double"))
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
