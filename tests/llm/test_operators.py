@@ -511,12 +511,69 @@ def test_embedding_links(spark):
     assert embed_dup.embedding_near_duplicates(d.limit(0)).count() == 0
 
 
-def test_cover_tree_pairs_are_exact():
+def brute_links(rows, threshold=0.98):
+    """Links and smallest reachable id of (id, vector, label) rows, pair by pair."""
+    links, parent = Counter(), {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, u, c) in enumerate(rows):
+        for j, v, e in rows[:k]:
+            if c == e and np.dot(u, v) / math.sqrt(np.dot(u, u) * np.dot(v, v)) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {r[0]: (links[r[0]], find(r[0])) for r in rows}
+
+
+def test_embedding_cells_and_string_ids(spark):
+    """One large label over many centres and blocks: tight groups, copies and lone vectors."""
+    rng = np.random.default_rng(14)
+    heads = rng.normal(size=(30, 8))
+    data = [(f"v{i:04d}", (heads[i % 30] + 0.06 * (i % 5) * rng.normal(size=8)).astype("float32").astype(float), "x" if i % 7 else "y") for i in range(500)]
+    data += [(f"z{i:04d}", data[0][1] * (1 + 1e-3 * i), data[0][2]) for i in range(60)] + [(f"y{i:04d}", data[9][1], data[9][2]) for i in range(40)]
+    d = spark.createDataFrame([(i, v.tolist(), c, "clash", 1) for i, v, c in data], "vec_id string, embedding array<double>, label string, cell string, n int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dup.embedding_near_duplicates(d, shard=20).collect()}
+    assert got == brute_links(data)
+
+
+def test_cover_tree_links_at_the_threshold():
+    """Vectors next to their centre whose partners are a hair inside or outside of the threshold."""
+    rng = np.random.default_rng(2)
+    limit = math.sqrt(2 - 2 * 0.98)
+    for _ in range(40):
+        u = rng.normal(size=6)
+        u /= np.linalg.norm(u)
+        w = rng.normal(size=6)
+        w -= (w @ u) * u
+        w /= np.linalg.norm(w)
+        angle = 2 * math.asin(limit / 2)
+        a = np.array([u + 1e-8 * k * w for k in range(60)])
+        b = np.array([math.cos(angle + e) * u + math.sin(angle + e) * w for e in np.linspace(-6e-7, 6e-7, 61)])
+        ta, tb = (embed_dup.CoverTree(embed_dup._units(x)) for x in (a, b))
+        la, lb, p, q = embed_dup.links_between(ta, tb, a, b, np.ones(60, int), np.ones(61, int), 0.98)
+        hit = a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) >= 0.98
+        near = np.abs(a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) - 0.98) < 1e-15
+        assert (np.abs(la - hit.sum(axis=1)) <= near.sum(axis=1)).all() and (np.abs(lb - hit.sum(axis=0)) <= near.sum(axis=0)).all()
+
+
+def test_cover_tree_links_are_exact():
     rng = np.random.default_rng(6)
-    for n, m, t in ((1, 5, 0.9), (200, 300, 0.9), (150, 150, 0.5)):
+    for n, m, t in ((1, 5, 0.9), (200, 300, 0.9), (150, 150, 0.5), (300, 400, 0.98)):
         a, b = rng.normal(size=(n, 5)), rng.normal(size=(m, 5))
         b[: min(n, m)] = a[: min(n, m)] * 3
-        ta, tb = (embed_dup.CoverTree(x / np.linalg.norm(x, axis=1)[:, None]) for x in (a, b))
-        p, q = embed_dup.close_pairs(ta, tb, a, b, t)
-        cosine = a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-        assert set(zip(p.tolist(), q.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(cosine >= t)), strict=True))
+        if n == 300:
+            a[100:] = a[0] + 1e-3 * rng.normal(size=(200, 5))
+            b[100:] = a[0] + 1e-3 * rng.normal(size=(300, 5))
+        ta, tb = (embed_dup.CoverTree(embed_dup._units(x)) for x in (a, b))
+        wa, wb = rng.integers(1, 5, n), rng.integers(1, 5, m)
+        la, lb, p, q = embed_dup.links_between(ta, tb, a, b, wa, wb, t)
+        hit = a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) >= t
+        assert (la == hit @ wb).all() and (lb == wa @ hit).all()
+        assert hit[p, q].all()
+        want, got = (embed_dup._roots(n + m, x, n + y) for x, y in (np.nonzero(hit), (p, q)))
+        assert (want == got).all()
