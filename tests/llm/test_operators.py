@@ -341,6 +341,60 @@ def test_html_shown_without_being_read_out():
     assert {p: html_text.render(p) for p in pages} == pages
 
 
+def test_html_broken_pages_keep_all_words():
+    """Tags in any order, unclosed, crossed or stray: each shown word comes out once, no hidden one does."""
+    rng = random.Random(17)
+    tags = "p div b i a li ul ol dl dt dd h1 table tr td th tbody thead tfoot caption form center pre blockquote section button body head html font em".split()
+    odd = ["rowspan=2", "colspan='3'", "rowspan=0", "colspan='²'", "start='²'", "rowspan=999999", "colspan=-1", 'x="<"', "y='>'", "value=٣", "/", "=", "colspan=" + "9" * 50]
+    hide = ["<span hidden>{}</span>", "<span style='color:red; display : none'>{}</span>", "<script>{}</script>", "<style>{}<b></style>", "<!-- {} -->", "<span style='visibility:hidden'>{}</span>", "<!x {}>", "<template>{}</template>"]
+    for _ in range(400):
+        parts, shown, k = [], [], 0
+        for _ in range(rng.randint(1, 60)):
+            what = rng.random()
+            if what < 0.4:
+                parts.append(f"<{rng.choice(tags)}{' ' + rng.choice(odd) if rng.random() < 0.3 else ''}>")
+            elif what < 0.6:
+                parts.append(f"</{rng.choice(tags)}>")
+            elif what < 0.7:
+                parts.append(rng.choice(hide).format(f"h{k}h"))
+            else:
+                parts.append(f" w{k}w ")
+                shown.append(f"w{k}w")
+            k += 1
+        page = "".join(parts)
+        got = re.findall(r"[wh]\d+[wh]", html_text.render(page))
+        assert Counter(got) == Counter(shown), page
+
+
+def test_html_visibility_spans_and_odd_markup():
+    pages = {
+        "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>": "yes",
+        "<div style='display:none'><b style='visibility:visible'>no</b></div>x": "x",
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+        "<table><tr><td colspan=2>wide cell<td>k<tr><td>a<td>b<td>c</table>": "wide cell  k\na  b       c",
+        "<ol start='²'><li>x<li value=7>y<li>z</ol>": "1. x\n7. y\n8. z",
+        "<pre><table><tr><td>a<td>b</table> x\n  y</pre>": "a  b\n\n x\n  y",
+        "<textarea><b>x</b></textarea>": "<b>x</b>",
+        "<![foo bar]>x<!--a-->y<!-->z": "xyz",
+        "&#" + "9" * 5000 + ";&lt;&eacute": "\ufffd<é",
+        "a < b <3": "a < b <3",
+        "<input value=v><input type=hidden value=no><input type=submit value='Go'>": "v Go",
+        "x<a b='": "x",
+        "<object data=x>no</object><object>yes</object>": "yes",
+    }
+    assert {p: html_text.render(p) for p in pages} == pages
+
+
+def test_html_deep_and_long_pages():
+    assert html_text.render("<ul><li>x" * 5000).count("x") == 5000
+    assert html_text.render("<table><tr><td>x" * 2000).count("x") == 2000
+    assert html_text.render("<div><p>x" * 5000 + "</div>" * 5000).count("x") == 5000
+    assert html_text.render("<div hidden>" + "<div>x" * 5000 + "</div>" * 5001 + "y") == "y"
+    assert html_text.render("<p>word <b>bold</b></p>" * 50_000).count("bold") == 50_000
+    wide = html_text.render("<table>" + "<tr><td colspan=1000>a<td>b" * 2000 + "</table>")
+    assert wide.count("a") == wide.count("b") == 2000 and len(wide) < 20_000
+
+
 CHAT = [
     (1, 0, "system", "be\\good <|x|>"), (1, 1, "user", "a </s> [INST] \\ <|im_end|>"), (1, 2, "assistant", "b\n\\\\<|im_sep|>é"), (1, 3, "assistant", ""),
     (2, 1, "assistant", "second"), (2, 0, None, None), (2, 1, "assistant", "second"), (3, None, "us<|er", "<<SYS>>"), (None, 0, "user", "nobody"),
