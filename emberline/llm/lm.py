@@ -1,12 +1,14 @@
 """Language-model scoring: hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is P(class | context) * P(token | class). Classes are word endings,
-hashed to a fixed number, plus one for the end of the text. The class factor is a softmax over
-hashed context features: the previous word, the word before it (a skip feature) and the pair
-of both (an n-gram feature). It is trained by stochastic gradient steps inside each partition,
-whose weights are averaged by Spark between rounds; each round sees another part of the
-training texts, all of them once. The word factor is the maximum-entropy solution for one
-feature a word, (c + 0.1) / (N_k + 0.1 * (V_k + 1)) within class k, so it needs exact counts:
+A token's probability is P(class | context) * P(digit | class, context) * P(digit | class and digit,
+context) * P(word | leaf). Class and first digit come from the word's ending, the second digit from the
+word itself, so frequent words have a leaf nearly to themselves; the end of the text is a class
+of its own. Each of the three factors is a softmax over hashed features of the context joined
+with the path so far: the word before (n-gram), the one before that (skip), both together, and
+the endings of the last three words. They are trained by stochastic gradient steps inside each
+partition, whose weights are averaged by Spark between rounds; each round sees another part of the
+training texts, all of them once. The last factor is the maximum-entropy solution for one
+feature a word, (c + 0.1) / (N_k + 0.1 * (V_k + 1)) within leaf k, so it needs exact counts:
 those of frequent words are broadcast (a fixed number), those of all others are joined.
 """
 
@@ -19,109 +21,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import pick, staged, tune
+from ._store import lean, pick, staged, tune
 from ._text import hash_words
 from .langid import remainder
 
 SMOOTH = 0.1
-CLASSES = 64
-BUCKETS = 1 << 13
+#: Branches of each factor; rows of the weights (features are hashed into them).
+WIDTH = 16
+ROWS = 1 << 16
+LEAVES = WIDTH**3
 FREQUENT = 1 << 17
+#: Words whose endings are features, at all and for each factor; tokens of one gradient step, at last and at first.
+REACH = 3
+_NEAR = (3, 3, 1)
 _STEP = 4096
+_FIRST_STEP = 256
 _START = np.uint64(0x5851F42D4C957F2D)
 _MERGE = 1_500_000
+#: Rows 0 to _PATHS - 1 are the biases of the paths; then those of endings, then those of words.
+_PATHS = 1 + WIDTH + WIDTH**2
+_ENDINGS = ROWS // 2
 
 
-def _contexts(words: np.ndarray) -> np.ndarray:
-    """Feature buckets (previous word, word before it, both) of each word and of the end: (n + 1, 3)."""
-    padded = np.concatenate((np.array([_START, _START], np.uint64), words))
-    one, two = padded[1:], padded[:-1]
-    pair = (one * np.uint64(0x9E3779B97F4A7C15)) ^ (two * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
-    out = np.empty((len(words) + 1, 3), np.int32)
-    third = BUCKETS // 4
-    out[:, 0] = one >> np.uint64(40)
-    out[:, 1] = two >> np.uint64(41)
-    out[:, 2] = pair >> np.uint64(42)
-    out[:, 0] %= third
-    out[:, 1] = third + out[:, 1] % third
-    out[:, 2] = 2 * third + out[:, 2] % (2 * third - 1)
+def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and leaves of each text; leaves have one entry more, the end's, which is 0."""
+    for words, ending in hash_words(texts):
+        first = 1 + ending % np.uint32(WIDTH - 1)
+        second = (ending * np.uint32(0x85EBCA6B) >> np.uint32(13)) % np.uint32(WIDTH)
+        third = (words >> np.uint64(59)).astype(np.uint32) % np.uint32(WIDTH)
+        yield words, np.append((first * WIDTH + second) * WIDTH + third, 0).astype(np.int32)
+
+
+def _hashed(x: np.ndarray, path: np.ndarray | int, low: int, high: int) -> np.ndarray:
+    """Rows from low to high - 1 for a feature joined with a path."""
+    h = (x ^ (path + np.uint64(0x9E3779B9))) * np.uint64(0xD6E8FEB86659FD93)
+    h >>= np.uint64(40)
+    h *= np.uint64(high - low)
+    h >>= np.uint64(24)
+    h += np.uint64(low)
+    return h.astype(np.uint16)
+
+
+def _features(words: np.ndarray, leaf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each factor: weight rows (tokens x features) and the branch taken. The end has only the first factor."""
+    n = len(words)
+    before = np.concatenate((np.full(REACH, _START), words))
+    one, two = before[REACH - 1 :], before[REACH - 2 : -1]
+    ending = np.concatenate((np.zeros(REACH, np.uint64), (leaf[:-1] // WIDTH + 1).astype(np.uint64))) << np.uint64(20)
+    recent = [ending[REACH - d : REACH - d + n + 1] for d in range(1, REACH + 1)]
+    out = []
+    for level in range(3):
+        k = n + 1 if level == 0 else n
+        path = (np.zeros(k, np.uint64), 1 + leaf[:k] // WIDTH**2, 1 + WIDTH + leaf[:k] // WIDTH)[level].astype(np.uint64)
+        columns = [path.astype(np.uint16), *(_hashed(e[:k], path, _PATHS, _ENDINGS) for e in recent[: _NEAR[level]]), _hashed(one[:k], path, _ENDINGS, ROWS)]
+        if level == 0:
+            columns += [_hashed(two, np.uint64(3 << 40), _ENDINGS, ROWS), _hashed(one ^ two >> np.uint64(7), np.uint64(5 << 40), _ENDINGS, ROWS)]
+        out.append((np.stack(columns, axis=1), (leaf[:k] // WIDTH ** (2 - level) % WIDTH).astype(np.int64)))
     return out
 
 
-def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word hashes and classes (0 is the end) of each text; classes have one entry more, the end's."""
-    for words, ending in hash_words(texts):
-        yield words, np.append(1 + ending % np.uint32(CLASSES - 1), 0).astype(np.int32)
+def _joined(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], list[np.ndarray]]:
+    """``_features`` of all texts of a batch together, with the words and leaves of each."""
+    words, leaves, parts = [], [], []
+    for w, leaf in _tokens(texts):
+        words.append(w)
+        leaves.append(leaf)
+        parts.append(_features(w, leaf))
+    return [(np.concatenate([p[k][0] for p in parts]), np.concatenate([p[k][1] for p in parts])) for k in range(3)] if parts else [], words, leaves
 
 
 def _probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Class probabilities; the last row of ``weights`` is the bias."""
-    logits = weights[features[:, 0]]
-    logits += weights[features[:, 1]]
-    logits += weights[features[:, 2]]
-    logits += weights[-1]
+    """Probabilities of the branches of one factor."""
+    logits = weights.take(features[:, 0], axis=0, mode="clip")
+    for k in range(1, features.shape[1]):
+        logits += weights.take(features[:, k], axis=0, mode="clip")
     np.clip(logits, -40, 40, out=logits)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
 
 
+def _step(weights: np.ndarray, squares: np.ndarray, tokens: np.ndarray, f: np.ndarray, y: np.ndarray, rate: float) -> None:
+    """One adaptive gradient step on the rows that the tokens' features touch."""
+    g = _probabilities(weights, f)
+    g[np.arange(len(y)), y] -= 1
+    flat = f.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    rows = flat[order]
+    first = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
+    sums, hit = np.add.reduceat(g.take(order // f.shape[1], axis=0, mode="clip"), first, axis=0), rows[first]
+    now = squares[hit] + np.einsum("ij,ij->i", sums, sums)
+    squares[hit] = now
+    sums *= (rate / np.sqrt(now))[:, None]
+    weights[hit] -= sums
+    tokens[hit] += np.diff(first, append=len(rows))
+
+
 def _train(shared, rate: float):
-    """One pass of adaptive gradient steps over a partition, from the shared weights."""
+    """One pass of adaptive gradient steps over a partition, from the shared weights.
+
+    Yields each touched row's weights, multiplied by the number of features that touched it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.copy()
-        squares = np.full(weights.shape, 1e-2, np.float32)
-        seen = 0
+        squares = np.ones(len(weights), np.float32)
+        tokens = np.zeros(len(weights), np.int64)
+        size = _FIRST_STEP
         for batch in batches:
-            contexts, classes = [], []
-            for words, klass in _tokens(batch.column(0).to_pylist()):
-                contexts.append(_contexts(words))
-                classes.append(klass)
-            if not classes:
-                continue
-            features, target = np.concatenate(contexts), np.concatenate(classes)
-            for at in range(0, len(target), _STEP):
-                f, y = features[at : at + _STEP], target[at : at + _STEP]
-                g = _probabilities(weights, f)
-                g[np.arange(len(y)), y] -= 1
-                for column in range(3):
-                    order = np.argsort(f[:, column].astype(np.int16), kind="stable")
-                    rows = f[order, column]
-                    first = np.flatnonzero(np.diff(rows, prepend=-1))
-                    sums, hit = np.add.reduceat(g[order], first, axis=0), rows[first]
-                    squares[hit] += sums * sums
-                    weights[hit] -= rate * sums / np.sqrt(squares[hit])
-                sums = g.sum(axis=0)
-                squares[-1] += sums * sums
-                weights[-1] -= rate * sums / np.sqrt(squares[-1])
-            seen += len(target)
-        if seen:
-            moved = np.flatnonzero((squares > 1.5e-2).any(axis=1))
-            columns = [pa.array(weights[moved, k].astype(np.float64) * seen) for k in range(CLASSES)]
-            yield pa.RecordBatch.from_arrays([pa.array(moved.astype(np.int32)), pa.array(np.full(len(moved), seen, np.int64)), *columns], ["row", "seen", *(f"w{k}" for k in range(CLASSES))])
+            factors, _, _ = _joined(batch.column(0).to_pylist())
+            at = 0
+            while factors and at < len(factors[0][1]):
+                for f, y in factors:
+                    if at < len(y):
+                        _step(weights, squares, tokens, f[at : at + size], y[at : at + size], rate)
+                at += size
+                size = min(_STEP, size * 9 // 8)
+        moved = np.flatnonzero(tokens)
+        for at in range(0, len(moved), 1 << 13):
+            some = moved[at : at + (1 << 13)]
+            part = weights[some] * tokens[some][:, None].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(tokens[some]), *(pa.array(part[:, k]) for k in range(WIDTH))], ["row", "seen", *(f"w{k}" for k in range(WIDTH))])
 
     return run
 
 
-def fit(training: DataFrame, rounds: int = 2, rate: float = 0.3) -> np.ndarray:
-    """Weights (BUCKETS x CLASSES) of the class factor after ``rounds`` averaged rounds over ``training`` (doc_id, text)."""
+def fit(training: DataFrame, rounds: int = 2, rate: float = 1.0) -> np.ndarray:
+    """Weights (ROWS x WIDTH) of the factors after ``rounds`` averaged rounds over ``training`` (doc_id, text).
+
+    Each row is averaged over the partitions that met it, by how often they did.
+    """
     spark = training.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    schema = "row int, seen long, " + ", ".join(f"w{k} double" for k in range(CLASSES))
+    weights = np.zeros((ROWS, WIDTH), np.float32)
+    schema = "row int, seen long, " + ", ".join(f"w{k} float" for k in range(WIDTH))
     for r in range(rounds):
         part = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
-        moved = part.mapInArrow(_train(spark.sparkContext.broadcast(weights), rate), schema)
-        total = moved.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(CLASSES)]).toPandas()  # BUCKETS rows at most
-        new = weights.copy()
-        if len(total):
-            new[total["row"].to_numpy()] = total.iloc[:, 2:].to_numpy() / total["seen"].to_numpy()[:, None]
-        weights = new
+        moved = part.mapInArrow(lean(_train(spark.sparkContext.broadcast(weights), rate)), schema)
+        mean = moved.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(WIDTH)])
+        table = mean.select("row", *[(F.col(f"w{k}") / F.col("seen")).cast("float").alias(f"w{k}") for k in range(WIDTH)]).toArrow()  # ROWS rows at most
+        weights = weights.copy()
+        weights[table["row"].to_numpy()] = np.stack([table[f"w{k}"].to_numpy() for k in range(WIDTH)], axis=1)
     return weights
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words with class and count, merged over a bounded number of tokens."""
+    """Distinct words with leaf (class) and count, merged over a bounded number of tokens."""
     words: list[np.ndarray] = []
     kinds: list[np.ndarray] = []
     held, docs = 0, 0
@@ -152,7 +196,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_words(training: DataFrame) -> DataFrame:
     """(word, class, n) over all rows of ``training`` (text); word is a 64-bit hash, null stands for the end."""
     tune(training.sparkSession)
-    return staged(training.select("text").mapInArrow(_tally, "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
+    return staged(training.select("text").mapInArrow(lean(_tally), "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
 
 
 def _frequent(words: DataFrame) -> DataFrame:
@@ -170,30 +214,28 @@ def _frequent(words: DataFrame) -> DataFrame:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, frequent, logs, class_logs = shared.value
+        weights, frequent, logs, leaf_logs = shared.value
         for batch in batches:
-            size, known, base, factor, rare = [], [], [], [], []
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            tokens = list(_tokens(batch.column(1).to_pylist()))
-            for words, klass in tokens:
-                at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1) if len(frequent) else np.zeros(len(words), int)
-                hit = frequent[at] == words if len(frequent) else np.zeros(len(words), bool)
-                size.append(len(words) + 1)
+            factors, words, leaves = _joined(batch.column(1).to_pylist())
+            size = np.array([len(x) for x in leaves], np.int64)
+            chosen = np.zeros(int(size.sum()))
+            word = np.concatenate(leaves) > 0 if len(leaves) else np.empty(0, bool)
+            places = (np.arange(len(chosen)), np.flatnonzero(word), np.flatnonzero(word))
+            for (f, y), place in zip(factors, places, strict=False):
+                for at in range(0, len(y), _STEP):
+                    p = _probabilities(weights, f[at : at + _STEP])
+                    chosen[place[at : at + _STEP]] += np.log10(p[np.arange(len(p)), y[at : at + _STEP]])
+            known, base, factor, rare = [], [], [], []
+            starts = np.cumsum(size) - size
+            for i, w in enumerate(words):
+                at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1) if len(frequent) else np.zeros(len(w), int)
+                hit = frequent[at] == w if len(frequent) else np.zeros(len(w), bool)
                 known.append(int(hit.sum()))
                 base.append(float(logs[at[hit]].sum()))
-                rare.append(words[~hit].view(np.int64))
-                factor.append(-float(class_logs[klass[:-1]].sum()))
-                held.append((_contexts(words), klass))
-            features, target = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty((0, 3), np.int32), np.empty(0, np.int32))
-            chosen = np.empty(len(target))
-            for at in range(0, len(target), _STEP):
-                f, y = features[at : at + _STEP], target[at : at + _STEP]
-                chosen[at : at + _STEP] = np.log10(_probabilities(weights, f)[np.arange(len(y)), y])
-            if held:
-                starts = np.cumsum([0] + size[:-1])
-                factor = (np.array(factor) + np.add.reduceat(chosen, starts)).tolist()
+                rare.append(w[~hit].view(np.int64))
+                factor.append(float(chosen[starts[i] : starts[i] + size[i]].sum() - leaf_logs[leaves[i][:-1]].sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(factor, pa.float64()), pa.array(rare, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(size), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(factor, pa.float64()), pa.array(rare, pa.list_(pa.int64()))],
                 ["doc_id", "n_tokens", "known", "base", "factor", "rare"],
             )
 
@@ -212,18 +254,18 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     tune(spark)
     training, docs = pick(training, "doc_id", "text"), pick(docs, "doc_id", "text")
     counts = count_words(training)
-    by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # LEAVES rows at most
     n_all, v_all = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     ends = by_class.get(0, (0, 0))[0]
-    class_logs = np.array([np.log10(n + SMOOTH * (v + 1)) for n, v in (by_class.get(k, (0, 0)) for k in range(CLASSES))])
+    leaf_logs = np.array([np.log10(n + SMOOTH * (v + 1)) for n, v in (by_class.get(k, (0, 0)) for k in range(LEAVES))])
     words = counts.where("word is not null")
     top = _frequent(words).toPandas()  # FREQUENT rows at most
     heads, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
     order = np.argsort(heads)
-    shared = spark.sparkContext.broadcast((fit(training), heads[order], np.log10(n[order] + SMOOTH), class_logs))
+    shared = spark.sparkContext.broadcast((fit(training), heads[order], np.log10(n[order] + SMOOTH), leaf_logs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = staged(
-        docs.mapInArrow(_score(shared), f"doc_id {kind}, n_tokens long, known long, base double, factor double, rare array<long>").withColumn("row", F.monotonically_increasing_id()), "scored"
+        docs.mapInArrow(lean(_score(shared)), f"doc_id {kind}, n_tokens long, known long, base double, factor double, rare array<long>").withColumn("row", F.monotonically_increasing_id()), "scored"
     )
     rare = scored.select("row", F.explode("rare").alias("w"))
     log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))
