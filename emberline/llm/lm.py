@@ -5,7 +5,7 @@ context) * P(word | leaf). Class and first digit come from the word's ending, th
 word itself, so frequent words have a leaf nearly to themselves; the end of the text is a class
 of its own. Each of the three factors is a softmax over hashed features of the context joined
 with the path so far: the word before (n-gram), the one before that (skip), both together, and
-the endings of the last three words. They are trained by stochastic gradient steps inside each
+the endings of the last two words. They are trained by stochastic gradient steps inside each
 partition, whose weights are averaged by Spark between rounds; each round sees another part of the
 training texts, all of them once. The last factor is the maximum-entropy solution for one
 feature a word, (c + 0.1) / (N_k + 0.1 * (V_k + 1)) within leaf k, so it needs exact counts:
@@ -32,8 +32,8 @@ ROWS = 1 << 16
 LEAVES = WIDTH**3
 FREQUENT = 1 << 17
 #: Words whose endings are features, at all and for each factor; tokens of one gradient step, at last and at first.
-REACH = 3
-_NEAR = (3, 3, 1)
+REACH = 2
+_NEAR = (2, 2, 1)
 _STEP = 4096
 _FIRST_STEP = 256
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -62,32 +62,41 @@ def _hashed(x: np.ndarray, path: np.ndarray | int, low: int, high: int) -> np.nd
     return h.astype(np.uint16)
 
 
-def _features(words: np.ndarray, leaf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each factor: weight rows (tokens x features) and the branch taken. The end has only the first factor."""
-    n = len(words)
-    before = np.concatenate((np.full(REACH, _START), words))
-    one, two = before[REACH - 1 :], before[REACH - 2 : -1]
-    ending = np.concatenate((np.zeros(REACH, np.uint64), (leaf[:-1] // WIDTH + 1).astype(np.uint64))) << np.uint64(20)
-    recent = [ending[REACH - d : REACH - d + n + 1] for d in range(1, REACH + 1)]
+def _features(words: list[np.ndarray], leaves: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each factor: weight rows (tokens x features) and the branch taken, over all texts of a batch.
+
+    The end of a text has only the first factor.
+    """
+    # Texts one after the other, each behind REACH starts; ``here`` are the places of its tokens.
+    start = np.full(REACH, _START)
+    before = np.concatenate([x for w in words for x in (start, w)])
+    ending = np.zeros(len(before) + 1, np.uint64)
+    sizes = np.array([len(x) for x in leaves])
+    first = np.cumsum(sizes + REACH - 1) - (sizes + REACH - 1)
+    here = np.repeat(first + REACH - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    leaf = np.concatenate(leaves)
+    ending[here] = (leaf // WIDTH + 1).astype(np.uint64) << np.uint64(20)
+    word = np.ones(len(leaf), bool)
+    word[np.cumsum(sizes) - 1] = False
+    ending[here[~word]] = 0  # the place of an end is the next text's first start
     out = []
     for level in range(3):
-        k = n + 1 if level == 0 else n
-        path = (np.zeros(k, np.uint64), 1 + leaf[:k] // WIDTH**2, 1 + WIDTH + leaf[:k] // WIDTH)[level].astype(np.uint64)
-        columns = [path.astype(np.uint16), *(_hashed(e[:k], path, _PATHS, _ENDINGS) for e in recent[: _NEAR[level]]), _hashed(one[:k], path, _ENDINGS, ROWS)]
+        at, y = (here, leaf) if level == 0 else (here[word], leaf[word])
+        path = (np.zeros(len(at), np.uint64), 1 + y // WIDTH**2, 1 + WIDTH + y // WIDTH)[level].astype(np.uint64)
+        one = before[at - 1]
+        columns = [path.astype(np.uint16), *(_hashed(ending[at - d], path, _PATHS, _ENDINGS) for d in range(1, _NEAR[level] + 1)), _hashed(one, path, _ENDINGS, ROWS)]
         if level == 0:
+            two = before[at - 2]
             columns += [_hashed(two, np.uint64(3 << 40), _ENDINGS, ROWS), _hashed(one ^ two >> np.uint64(7), np.uint64(5 << 40), _ENDINGS, ROWS)]
-        out.append((np.stack(columns, axis=1), (leaf[:k] // WIDTH ** (2 - level) % WIDTH).astype(np.int64)))
+        out.append((np.stack(columns, axis=1), (y // WIDTH ** (2 - level) % WIDTH).astype(np.int64)))
     return out
 
 
 def _joined(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], list[np.ndarray]]:
-    """``_features`` of all texts of a batch together, with the words and leaves of each."""
-    words, leaves, parts = [], [], []
-    for w, leaf in _tokens(texts):
-        words.append(w)
-        leaves.append(leaf)
-        parts.append(_features(w, leaf))
-    return [(np.concatenate([p[k][0] for p in parts]), np.concatenate([p[k][1] for p in parts])) for k in range(3)] if parts else [], words, leaves
+    """``_features`` of all texts of a batch, with the words and leaves of each."""
+    pairs = list(_tokens(texts))
+    words, leaves = [w for w, _ in pairs], [x for _, x in pairs]
+    return _features(words, leaves) if pairs else [], words, leaves
 
 
 def _probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:

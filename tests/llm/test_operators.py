@@ -261,7 +261,7 @@ def test_lm_is_a_distribution():
     for next_leaf in [0, *range(lm.WIDTH**2, lm.LEAVES)]:
         w, path = (words, leaf[:-1]) if next_leaf == 0 else (np.append(words, np.uint64(7)), np.append(leaf[:-1], next_leaf))
         last = 1.0
-        for (f, y), level in zip(lm._features(w, np.append(path, 0).astype(np.int32)), range(3), strict=True):
+        for (f, y), level in zip(lm._features([w], [np.append(path, 0).astype(np.int32)]), range(3), strict=True):
             at = len(words)
             if at < len(y):
                 row = weights[f[at]].sum(axis=0, dtype=np.float64)
@@ -289,7 +289,7 @@ def test_lm_scores_match_a_dense_model(spark):
     for i, text in rows:
         (w, leaf), *_ = lm._tokens([text])
         want = 0.0
-        for f, y in lm._features(w, leaf):
+        for f, y in lm._features([w], [leaf]):
             for k in range(len(y)):
                 row = weights[f[k]].sum(axis=0)
                 want += (row[y[k]] - math.log(np.exp(row).sum())) / math.log(10)
