@@ -37,6 +37,15 @@ LAYOUTS: dict[tuple[str, ...], str] = {
 }
 
 
+#: Layouts of a row that is one turn: the fields that are there, and the SQL for its (role, text).
+TURN_LAYOUTS: dict[tuple[str, ...], str] = {
+    ("role", "text"): "struct(role as role, text as text)",
+    ("role",): "struct(role as role, '' as text)",
+    ("text",): "struct('' as role, text as text)",
+    (): "struct('' as role, '' as text)",
+}
+
+
 def fingerprint(paths: tuple[str, ...] | list[str] | set[str]) -> str:
     """Hash of a set of nested field paths, whatever their order."""
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
@@ -46,6 +55,12 @@ MAPPINGS = {fingerprint(paths): turns for paths, turns in LAYOUTS.items()}
 _KNOWN = sorted({p for paths in LAYOUTS for p in paths})
 
 
+def _fingerprint_of(tests: dict[str, str]) -> str:
+    """SQL for the fingerprint of a record: the hash of the paths whose test (SQL) holds."""
+    present = ", ".join(f"if({test}, '{path}', null)" for path, test in sorted(tests.items()))
+    return f"sha2(array_join(array({present}), '\\n'), 256)"
+
+
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     """Paths of the leaves of a schema; ``[]`` marks array elements."""
     if isinstance(kind, T.StructType):
@@ -80,12 +95,11 @@ def canonical_json(records: DataFrame, column: str, keep: tuple[str, ...]) -> Da
         nested.setdefault(head, []).extend([leaf] if leaf else [])
     schema = ", ".join(f"`{h}` " + (f"array<struct<{','.join(f'`{x}`:string' for x in leaves)}>>" if leaves else "string") for h, leaves in nested.items())
     d = records.select(*[records[c] for c in keep], F.from_json(records[column], schema).alias("_r"))
-    present = []
+    tests = {}
     for p in _KNOWN:
         head, _, leaf = p.partition("[].")
-        test = f"exists(_r.`{head}`, m -> m.`{leaf}` is not null)" if leaf else f"_r.`{head}` is not null"
-        present.append(f"if({test}, '{p}', null)")
-    d = d.withColumn("fingerprint", F.expr(f"sha2(array_join(array({', '.join(present)}), '\\n'), 256)")).select(*keep, "fingerprint", "_r.*")
+        tests[p] = f"exists(_r.`{head}`, m -> m.`{leaf}` is not null)" if leaf else f"_r.`{head}` is not null"
+    d = d.withColumn("fingerprint", F.expr(_fingerprint_of(tests))).select(*keep, "fingerprint", "_r.*")
     case = "case fingerprint " + " ".join(f"when '{f}' then cast({turns} as {_TURNS})" for f, turns in MAPPINGS.items()) + " end"
     return d.select(*keep, "fingerprint", F.expr(case).alias("turns"))
 
@@ -131,12 +145,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns) from rows by turn (conv_id, turn, role, text).
 
-    Turns are in order of turn, null first, then role and text, so ties and repeated rows have a
+    Each row's fingerprint, over the fields that it has, selects its mapping in TURN_LAYOUTS. Turns are in order of turn, null first, then role and text, so ties and repeated rows have a
     fixed order; a null role or text is empty; rows with a null conv_id are one conversation.
     """
     d = pick(rows, "conv_id", "turn", "role", "text")
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    which = _fingerprint_of({"role": "role is not null", "text": "text is not null"})
+    case = f"case {which} " + " ".join(f"when '{fingerprint(paths)}' then {turn}" for paths, turn in TURN_LAYOUTS.items()) + " end"
+    d = d.select("conv_id", "turn", F.expr(case).alias("said"))
+    listed = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said.role", "said.text"))).alias("turns"))
     return canonical(listed.select("conv_id", F.expr("transform(turns, t -> struct(t.role as role, t.text as text))").alias("turns")), ("conv_id",))
 
 

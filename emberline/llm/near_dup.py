@@ -139,11 +139,22 @@ def _compare(own: bool):
     return run
 
 
+#: Pairs of one pivot that are verified together; a pivot with more is sent to several tasks.
+FAN = 64
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, own: bool) -> DataFrame:
-    """Exact overlap of each pair (p, x), from the whole texts."""
+    """Exact overlap of each pair (p, x), from the whole texts.
+
+    The pairs of one pivot are dealt over as many salts as keep them to about FAN each, so the
+    texts of a large star do not meet in one task; the pivot's text goes to each salt.
+    """
     t = texts.select(F.col("doc_id").alias("id"), "text")
-    with_x = pairs.join(t, F.col("x") == F.col("id")).select("p", "x", F.col("text").alias("text_x"))
-    rows = with_x.join(t, F.col("p") == F.col("id")).select("p", "x", F.col("text").alias("text_p"), "text_x")
+    fans = pairs.groupBy("p").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
+    salted = pairs.join(fans, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("fan")).cast("int"))
+    with_x = salted.join(t, F.col("x") == F.col("id")).select("p", "salt", "x", F.col("text").alias("text_x"))
+    pivots = fans.join(t, F.col("p") == F.col("id")).select("p", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("text").alias("text_p"))
+    rows = with_x.join(pivots, ["p", "salt"]).select("p", "x", "text_p", "text_x")
     schema = "p long, x long, n_p long, n_x long, both long" + ", own array<long>" * own
     return rows.mapInArrow(lean(_compare(own)), schema).withColumn("linked", F.expr(f"{den} * both >= {num} * (n_p + n_x - both)"))
 
@@ -153,10 +164,10 @@ def sieve(rows: DataFrame, column: str, wanted: DataFrame, key: str, most_bits:
 
     Without ``inside``: the other rows, which surely don't occur there, nulls included.
 
-    The bitmap has 16 bits a key and ``most_bits`` at most (2 million rows of 64 bits), so what
+    The bitmap has 32 bits a key and ``most_bits`` at most (2 million rows of 64 bits), so what
     is broadcast is bounded whatever the number of keys; a full bitmap only filters less.
     """
-    bits = min(most_bits, 1 << max(10, (16 * wanted.count()).bit_length()))
+    bits = min(most_bits, 1 << max(10, (32 * wanted.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = wanted.select(place(F.col(key)).alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word"))
     bitmap = words.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("set"))
@@ -183,7 +194,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125
     docs = pick(docs, "doc_id", "text")
     sketch = staged(docs.mapInArrow(lean(_sketch(k, rows)), "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(full.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = staged(full.groupBy("n_shingles", "set_1", "set_2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
     placed = staged(classes.select("rep", F.explode("bands").alias("bucket")).distinct(), "placed")
     crowded = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -201,7 +212,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = 125
 
     label = components(first)
     links = first.union(_rest(checked, label, texts, num, den))
-    twins = full.join(classes.select("set_1", "set_2", "rep"), ["set_1", "set_2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    twins = full.join(classes.select("n_shingles", "set_1", "set_2", "rep"), ["n_shingles", "set_1", "set_2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     label = components(links)
     member = twins.join(label, F.col("a") == F.col("id"), "left").select(F.col("b").alias("member"), F.coalesce("component", "a").alias("component"))
     found = staged(label.select(F.col("id").alias("member"), "component").union(member).groupBy("member").agg(F.min("component").alias("component")), "found")
@@ -259,12 +270,19 @@ def deduplicated(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     gone = staged(gone, "gone")
     if gone.isEmpty():
         return docs
-    maybe = sieve(docs, "doc_id", gone, "gone")
-    sure = sieve(docs, "doc_id", gone, "gone", inside=False)
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    single = maybe.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    first = maybe.join(again, F.col("doc_id") == F.col("again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return sure.unionByName(single).unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns]))
+    # Of the rows that the bitmap holds back, only those whose id is not gone at all move their texts.
+    stay = sieve(docs, "doc_id", gone, "gone", inside=False)
+    spare = staged(sieve(docs.select("doc_id"), "doc_id", gone, "gone").distinct().join(gone, F.col("doc_id") == F.col("gone"), "left_anti").withColumnRenamed("doc_id", "spare"), "spare")
+    again = staged(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "again")
+    nameless = sieve(docs, "doc_id", gone, "gone").where("doc_id is null")
+    single = sieve(docs, "doc_id", spare, "spare").join(spare, F.col("doc_id") == F.col("spare"), "left_semi")
+    out = stay.unionByName(nameless).unionByName(single)
+    if again.isEmpty():
+        return out
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = sieve(docs, "doc_id", again, "again").join(again, F.col("doc_id") == F.col("again"), "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return out.unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns]))
 
 
 #: DuckDB SQL for ``near_duplicates(documents, 85, 100)``: shingles as texts, every pair that shares one.

@@ -28,15 +28,25 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
+#: Matches that are placed one after the other; a text's matches are cut into blocks of as many.
+_BLOCK = 64
+
+
+def _blocks(spans: str) -> str:
+    """SQL for the array ``spans`` as blocks of _BLOCK elements; adding to an array copies it, so long ones are built by block."""
+    return f"transform(sequence(0, cast((size({spans}) - 1) / {_BLOCK} as int)), b -> slice({spans}, b * {_BLOCK} + 1, {_BLOCK}))"
+
+
 def _place(matches: str, gaps: str, kind: int) -> str:
     """SQL for the spans (start, kind, end, match) of matches with the texts between them, in code points."""
-    return f"""aggregate(
-        zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> struct(g as g, m as m)),
-        struct(0 as at, cast(array() as {_SPANS}) as out),
-        (a, x) -> struct(
-            a.at + length(x.g) + length(x.m) as at,
-            concat(a.out, array(struct(a.at + length(x.g) as s, {kind} as k, a.at + length(x.g) + length(x.m) as e, x.m as m))) as out),
-        a -> a.out)"""
+    pairs = f"zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> struct(length(g) as g, m as m))"
+    starts = "aggregate(bs, cast(array(0) as array<int>), (a, b) -> concat(a, array(a[size(a) - 1] + aggregate(b, 0, (n, x) -> n + x.g + length(x.m)))))"
+    block = f"""aggregate(b, struct(at as at, cast(array() as {_SPANS}) as out), (a, x) -> struct(
+        a.at + x.g + length(x.m) as at,
+        concat(a.out, array(struct(a.at + x.g as s, {kind} as k, a.at + x.g + length(x.m) as e, x.m as m))) as out), a -> a.out)"""
+    # A transform of a one-element array names a value that is used more than once.
+    blocks = f"transform(array({pairs}), ps -> {_blocks('ps')})"
+    return f"transform({blocks}, bs -> flatten(zip_with(bs, slice({starts}, 1, size(bs)), (b, at) -> {block})))[0]"
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,7 +70,9 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select("*", *[F.expr(f"if(size(_m{k}) > 0, {_place(f'_m{k}', f'_g{k}', k)}, cast(array() as {_SPANS})) as _s{k}") for k in range(4)])
     kept = "transform(filter(zip_with(_s0, _v0, (s, v) -> struct(s as s, v as v)), x -> length(x.v) >= 8), x -> x.s)"
     d = d.withColumn("base", F.expr(f"if(size(_s0) + size(_s1) + size(_s2) > 0, array_sort(concat({kept}, _s1, _s2)), cast(array() as {_SPANS}))"))
-    d = d.withColumn("cands", F.expr("filter(_s3, c -> not exists(base, b -> b.s < c.e and c.s < b.e))"))
+    # Candidates are in order and apart: a block of them meets only the base spans in its range.
+    free = "transform(array(filter(base, s -> s.s < b[size(b) - 1].e and b[0].s < s.e)), near -> filter(b, c -> not exists(near, s -> s.s < c.e and c.s < s.e)))[0]"
+    d = d.withColumn("cands", F.expr(f"if(size(_s3) = 0 or size(base) = 0, _s3, flatten(transform({_blocks('_s3')}, b -> {free})))"))
     return d.drop("_keyed", "_aws", *[f"_{x}{k}" for x in "mgs" for k in range(4)], "_v0")
 
 
