@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import statistics as _st
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -146,13 +149,47 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _products(means: np.ndarray):
+    """Sums over a partition of all pairs of columns: rows where both are there, each one's values
+    and squares (about its mean) there, and their products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(means)
+        n, s, q, p = (np.zeros((d, d)) for _ in range(4))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64)
+            there = ~np.isnan(x)
+            z, m = np.where(there, x - means, 0.0), there.astype(np.float64)
+            n += m.T @ m
+            s += z.T @ m
+            q += (z * z).T @ m
+            p += z.T @ z
+        i, j = np.triu_indices(d, 1)
+        parts = (i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in parts], ["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+
+    return run
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair c1 < c2 (pairwise complete) in one pass."""
-    pairs = list(combinations(sorted(columns), 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    row = df.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    packed = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(packed).alias("r")).select("r.*")
+    """Pearson correlation of every pair c1 < c2 (pairwise complete): NULL where either is constant.
+
+    Matrix products inside each partition, so the plan does not grow with the pairs; a partition
+    hands on one row a pair.
+    """
+    names = sorted(columns)
+    spark = df.sparkSession
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    one = numbers.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in names]).first()
+    means = np.array([one[c] if one[c] is not None else 0.0 for c in names])
+    sums = numbers.mapInArrow(_products(means), "i long, j long, n double, sa double, sb double, qa double, qb double, p double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    va, vb = (F.col(f"q{k}") - F.col(f"s{k}") ** 2 / F.col("n") for k in "ab")
+    varied = (F.col("n") > 0) & (va > 1e-12 * F.col("qa")) & (vb > 1e-12 * F.col("qb"))
+    corr = F.when(varied, (F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va * vb))
+    pairs = [(i, j, a, b) for (i, a), (j, b) in combinations(enumerate(names), 2)]
+    named = spark.createDataFrame(pairs, "i long, j long, col1 string, col2 string")
+    return named.join(total, ["i", "j"], "left").select("col1", "col2", corr.alias("corr"))
 
 
 def mean_abs_correlation(df: DataFrame, columns: list[str]) -> DataFrame:

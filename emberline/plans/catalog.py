@@ -45,8 +45,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DET = """det AS (SELECT l_orderkey AS k, l_linenumber AS ln, 34 + (l_orderkey * 7 % 970) / 1000.0::DOUBLE + 0.0003::DOUBLE AS latitude,
     2 + (l_partkey * 13 % 1430) / 1000.0::DOUBLE + 0.0003::DOUBLE AS longitude, l_linenumber % 3 AS type, year(l_shipdate) AS year, l_quantity AS v FROM lineitem)"""
 GRID = "grid AS (SELECT 34 + i / 20.0::DOUBLE AS latitude, 2 + j / 20.0::DOUBLE AS longitude FROM range(20) a(i), range(30) b(j))"
-FEAT = "feat AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2, embedding[4]::DOUBLE AS f3, label % 2 AS y, label % 3 AS c FROM embeddings)"
-DIST = "sqrt((a.f0-b.f0)*(a.f0-b.f0) + (a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3))"
+#: Components of an embedding: the columns f0, f1, ... of the feature queries.
+WIDTH = 64
+_F = [f"f{i}" for i in range(WIDTH)]
+FEAT = f"feat AS (SELECT vec_id AS id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS {c}' for i, c in enumerate(_F))}, label % 2 AS y, label % 3 AS c FROM embeddings)"
+DIST = "sqrt(" + " + ".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in _F) + ")"
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +64,13 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, features (four numbers), y (0, 1) and c (0, 1, 2)."""
+    """id, features (the whole embedding), y (0, 1) and c (0, 1, 2)."""
     d = _t(spark, sf_dir, "embeddings")
-    return d.select(F.col("vec_id").alias("id"), F.expr("transform(slice(embedding, 1, 4), x -> cast(x as double))").alias("features"), F.expr("label % 2").alias("y"), F.expr("label % 3").alias("c"))
+    return d.select(F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> cast(x as double))").alias("features"), F.expr("label % 2").alias("y"), F.expr("label % 3").alias("c"))
 
 
 def feat_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feats(spark, sf_dir).select("id", *[F.col("features")[i].alias(f"f{i}") for i in range(4)], "y", "c")
+    return feats(spark, sf_dir).select("id", *[F.col("features")[i].alias(f"f{i}") for i in range(WIDTH)], "y", "c")
 
 
 # ---- statistics --------------------------------------------------------------------------
@@ -536,11 +539,11 @@ def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.target_encode(d, ["supp"], "y").drop("y")
 
 
-@query(f"""WITH {FEAT}, t AS (SELECT 'f0' AS column_name, f0 AS v, y FROM feat UNION ALL SELECT 'f1', f1, y FROM feat), e AS (SELECT column_name, min(v) AS lo, max(v) AS hi FROM t GROUP BY 1),
+@query(f"""WITH {FEAT}, t AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v, y FROM feat" for c in _F)}), e AS (SELECT column_name, min(v) AS lo, max(v) AS hi FROM t GROUP BY 1),
     c AS (SELECT column_name, least(floor((v - lo) / (hi - lo) * 16), 15) AS x, y, count(*) AS n FROM t JOIN e USING (column_name) GROUP BY 1, 2, 3)
     SELECT column_name, round(sum(n / tt * ln(n * tt / (nx * ny))), 6) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY column_name, x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY column_name, y)::DOUBLE AS ny, sum(n) OVER (PARTITION BY column_name)::DOUBLE AS tt FROM c) GROUP BY 1""")
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.binned_mutual_information(feat_columns(spark, sf_dir), ["f0", "f1"], "y")
+    return features.binned_mutual_information(feat_columns(spark, sf_dir), _F, "y")
 
 
 @query()
@@ -633,7 +636,7 @@ def _h(p: str, n: str) -> str:
     return f"(-({p}) / ({n}) * log2(({p}) / ({n}) + 1e-9) - (({n}) - ({p})) / ({n}) * log2((({n}) - ({p})) / ({n}) + 1e-9))"
 
 
-@query(f"""WITH {FEAT}, t AS (SELECT 0 AS f, f0 AS v, y FROM feat UNION ALL SELECT 1, f1, y FROM feat UNION ALL SELECT 2, f2, y FROM feat UNION ALL SELECT 3, f3, y FROM feat),
+@query(f"""WITH {FEAT}, t AS ({" UNION ALL ".join(f"SELECT {i} AS f, {c} AS v, y FROM feat" for i, c in enumerate(_F))}),
     b AS (SELECT f, v, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2),
     c AS (SELECT f, v, sum(p) OVER w AS lp, sum(n) OVER w AS ln, sum(p) OVER (PARTITION BY f) AS tp, sum(n) OVER (PARTITION BY f) AS tn, lead(v) OVER (PARTITION BY f ORDER BY v) AS nx FROM b WINDOW w AS (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING))
     SELECT f::INT AS feature, round((v + nx) / 2, 6) AS threshold, round({_h('tp', 'tn')} - ln / tn * {_h('lp', 'ln')} - (tn - ln) / tn * {_h('tp - lp', 'tn - ln')}, 6) AS gain FROM c WHERE nx IS NOT NULL""")
@@ -680,9 +683,9 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- clustering --------------------------------------------------------------------------
 
-CENTRES = [[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, -0.1, 0.1]]
-_CEN = "b AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{x}::DOUBLE' for x in c)})" for i, c in enumerate(CENTRES)) + ") t(k, f0, f1, f2, f3))"
-_ASSIGN = f"s AS (SELECT id, a.f0, a.f1, a.f2, a.f3, k, {DIST} AS d, row_number() OVER (PARTITION BY id ORDER BY {DIST}, k) AS r FROM feat a, b)"
+CENTRES = [[0.05 * ((7 * i + 3 * k * i + k) % 5 - 2) for i in range(WIDTH)] for k in range(3)]
+_CEN = "b AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{x}::DOUBLE' for x in c)})" for i, c in enumerate(CENTRES)) + f") t(k, {', '.join(_F)}))"
+_ASSIGN = f"s AS (SELECT id, {', '.join(f'a.{c}' for c in _F)}, k, {DIST} AS d, row_number() OVER (PARTITION BY id ORDER BY {DIST}, k) AS r FROM feat a, b)"
 
 
 @query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT id, k AS cluster, round(d * d, 6) AS d FROM s WHERE r = 1")
@@ -690,10 +693,10 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.assign(feats(spark, sf_dir), CENTRES).select("id", "cluster", "d")
 
 
-@query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT k AS cluster, round(avg(f0), 6) AS f0, round(avg(f1), 6) AS f1, round(avg(f2), 6) AS f2, round(avg(f3), 6) AS f3 FROM s WHERE r = 1 GROUP BY 1")
+@query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT k AS cluster, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _F)} FROM s WHERE r = 1 GROUP BY 1")
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = cluster.kmeans_step(feats(spark, sf_dir), CENTRES)
-    return spark.createDataFrame([(i, *c) for i, c in enumerate(new)], "cluster int, f0 double, f1 double, f2 double, f3 double")
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(new)], "cluster int, " + ", ".join(f"{c} double" for c in _F))
 
 
 @query(f"WITH {FEAT}, {_CEN}, {_ASSIGN} SELECT round(sum(d), 6) AS medoid_cost, round(avg(d), 6) AS avg_medoid_dist FROM s WHERE r = 1")
@@ -701,17 +704,17 @@ def clara_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.medoid_cost(feats(spark, sf_dir), CENTRES)
 
 
-_CM = "m AS (SELECT c AS mc, avg(f0) AS m0, avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, count(*) AS n FROM feat GROUP BY 1)"
-_TOC = "((f0-m0)*(f0-m0) + (f1-m1)*(f1-m1) + (f2-m2)*(f2-m2) + (f3-m3)*(f3-m3))"
+_CM = f"m AS (SELECT c AS mc, {', '.join(f'avg({c}) AS m{c[1:]}' for c in _F)}, count(*) AS n FROM feat GROUP BY 1)"
+_TOC = "(" + " + ".join(f"(f{i}-m{i})*(f{i}-m{i})" for i in range(WIDTH)) + ")"
 
 
-@query(f"""WITH {FEAT}, {_CM}, w AS (SELECT sum({_TOC}) AS w FROM feat JOIN m ON c = mc), g AS (SELECT avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3 FROM feat), b AS (SELECT sum(n * {_TOC}) AS b, count(*) AS k, sum(n) AS n FROM m, g)
+@query(f"""WITH {FEAT}, {_CM}, w AS (SELECT sum({_TOC}) AS w FROM feat JOIN m ON c = mc), g AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in _F)} FROM feat), b AS (SELECT sum(n * {_TOC}) AS b, count(*) AS k, sum(n) AS n FROM m, g)
     SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS ch FROM b, w""")
 def ch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.calinski_harabasz(feats(spark, sf_dir), "c")
 
 
-@query(f"""WITH {FEAT}, {_CM}, s AS (SELECT mc AS i, avg(sqrt({_TOC})) AS s, any_value(m0) AS f0, any_value(m1) AS f1, any_value(m2) AS f2, any_value(m3) AS f3 FROM feat JOIN m ON c = mc GROUP BY 1),
+@query(f"""WITH {FEAT}, {_CM}, s AS (SELECT mc AS i, avg(sqrt({_TOC})) AS s, {', '.join(f'any_value(m{i}) AS f{i}' for i in range(WIDTH))} FROM feat JOIN m ON c = mc GROUP BY 1),
     p AS (SELECT a.i, max((a.s + b.s) / {DIST}) AS r FROM s a JOIN s b ON a.i <> b.i GROUP BY 1) SELECT round(avg(r), 6) AS dbi FROM p""")
 def db_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.davies_bouldin(feats(spark, sf_dir), "c")
@@ -742,12 +745,12 @@ def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.col("a").alias("id")).agg(F.min("w").alias("least"), F.max("w").alias("most"))
 
 
-@query(f"""WITH RECURSIVE {FEAT}, e AS (SELECT a.id AS a, b.id AS b FROM feat a JOIN feat b ON a.id <> b.id AND {DIST} <= 0.12), w(id, l) AS (SELECT id, id FROM feat UNION SELECT e.b, l FROM w JOIN e ON e.a = w.id),
+@query(f"""WITH RECURSIVE {FEAT}, e AS (SELECT a.id AS a, b.id AS b FROM feat a JOIN feat b ON a.id <> b.id AND {DIST} <= 1.1), w(id, l) AS (SELECT id, id FROM feat UNION SELECT e.b, l FROM w JOIN e ON e.a = w.id),
     m AS (SELECT id, min(l) AS l FROM w GROUP BY 1), s AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS c FROM m GROUP BY l HAVING count(*) >= 3) SELECT m.id, coalesce(c, -1)::INT AS cluster FROM m LEFT JOIN s USING (l)""")
 def components_at_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = feats(spark, sf_dir).select("id", "features")
     pairs = resample.pair_distances(d, d).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("w"))
-    return cluster.components_at(pairs, d, 0.12, 3)
+    return cluster.components_at(pairs, d, 1.1, 3)
 
 
 @query("SELECT count(DISTINCT CASE WHEN l > 0 THEN l END) AS n_clusters, sum((l = 0)::INT)::BIGINT AS n_noise, round(avg((l = 0)::INT), 6) AS noise_ratio FROM (SELECT label AS l FROM embeddings)")
