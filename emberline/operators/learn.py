@@ -136,12 +136,16 @@ class DecisionTree:
     def _leaf_map(self, of) -> dict:
         return {i: of(n.counts) for i, n in enumerate(self.nodes) if n.feature is None}
 
-    def predict_proba(self, rows: DataFrame) -> DataFrame:
+    def said(self):
+        """Columns with the label and the score of the leaf that a row falls into."""
         label = self._leaf_map(lambda c: max(sorted(c), key=lambda y: c[y]) if c else 0)
         share = self._leaf_map(lambda c: c.get(1, 0) / sum(c.values()) if c else 0.0)
-        look = lambda m, node: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), node)
-        d = rows.withColumn("_leaf", self.node_of(self.features))
-        return d.select(self.key, look(label, F.col("_leaf")).alias("prediction"), look(share, F.col("_leaf")).alias("score"))
+        look = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), self.node_of(self.features))
+        return look(label), look(share)
+
+    def predict_proba(self, rows: DataFrame) -> DataFrame:
+        label, share = self.said()
+        return rows.select(self.key, label.alias("prediction"), share.alias("score"))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         return self.predict_proba(rows).drop("score")
@@ -186,14 +190,11 @@ class RandomForest:
         return self
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
-        d = rows
-        for i, t in enumerate(self.trees):
-            one = t.predict_proba(rows).select(F.col(self.key).alias(f"_k{i}"), F.col("prediction").alias(f"p{i}"), F.col("score").alias(f"s{i}"))
-            d = d.join(one, F.col(self.key) == F.col(f"_k{i}"))
-        votes = F.array(*[F.col(f"p{i}") for i in range(len(self.trees))])
-        mean = sum((F.col(f"s{i}") for i in range(len(self.trees))), F.lit(0.0)) / len(self.trees)
+        said = [t.said() for t in self.trees]
+        votes = F.array(*[label for label, _ in said])
+        mean = sum((share for _, share in said), F.lit(0.0)) / len(said)
         ones = F.size(F.filter(votes, lambda v: v == 1))
-        return d.select(self.key, F.when(2 * ones > len(self.trees), 1).otherwise(0).alias("prediction"), mean.alias("score"))
+        return rows.select(self.key, F.when(2 * ones > len(said), 1).otherwise(0).alias("prediction"), mean.alias("score"))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         return self.predict_proba(rows).drop("score")

@@ -52,7 +52,18 @@ def largest_remainder(counts: dict, share: float) -> dict:
 
 
 def _ranked(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*_order(seed, key))))
+    """Adds ``_rank``, 1, 2, ... in hash order inside each class.
+
+    A class is cut into 4096 ranges of the hash, so a window task holds one range of a class; the
+    counts of the ranges (a row each) say where a range begins. Both joins and windows use the
+    same keys, so rows are shuffled once.
+    """
+    d = df.withColumn("_class", F.struct(F.col(by).alias("c"))).withColumn("_range", F.substring(seeded(seed, F.col(key)), 1, 3))
+    earlier = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = d.groupBy("_class", "_range").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_class", "_range").orderBy(*_order(seed, key)))
+    got = d.withColumn("_in", inside).join(first, ["_class", "_range"])
+    return got.withColumn("_rank", F.col("_first") + F.col("_in")).select(*[F.col(f"`{c}`") for c in df.columns], "_rank")
 
 
 def class_counts(df: DataFrame, by: str, most: int = 10_000) -> dict:
