@@ -72,13 +72,73 @@ class KMeans:
         return assign(df, self.centres, self.key, self.vector).select(self.key, "cluster")
 
 
-def library_kmeans(df: DataFrame, k: int, seed: int = 42, vector: str = "features", fraction: float | None = None):
-    """MLlib k-means||; with ``fraction`` it is fitted on a seeded sample, as mini-batches would."""
+class MiniBatchKMeans:
+    """Mini-batch k-means over all rows; the best of ``n_init`` starts by inertia.
+
+    In an epoch each partition moves its own copy of the centres batch by batch, by the share of
+    a batch in the rows seen so far; the copies are then averaged by their rows. What leaves a
+    partition is k x dimensions numbers, and every row counts in every epoch. Rows without a
+    vector are ignored; an empty cluster keeps its centre.
+    """
+
+    def __init__(self, n_clusters: int = 8, batch_size: int = 1024, max_iter: int = 100, n_init: int = 3, random_state: int = 42, key: str = "id", vector: str = "features") -> None:
+        self.n_clusters, self.batch_size, self.max_iter, self.n_init, self.random_state, self.key, self.vector = n_clusters, batch_size, max_iter, n_init, random_state, key, vector
+
+    def _epoch(self, d: DataFrame, centres: list[list[float]]) -> list[list[float]]:
+        import pandas as pd
+
+        size, vector = self.batch_size, self.vector
+
+        def task(frames):
+            at, seen = np.array(centres, float), np.zeros(len(centres))
+            for frame in frames:
+                for s in range(0, len(frame), size):
+                    x = np.stack(frame[vector].iloc[s : s + size].to_numpy()).astype(float)
+                    label = ((x[:, None, :] - at[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+                    for c in np.unique(label):
+                        mine = x[label == c]
+                        seen[c] += len(mine)
+                        at[c] += (mine.sum(axis=0) - len(mine) * at[c]) / seen[c]
+            c, i = (v.ravel() for v in np.indices(at.shape, np.int32))
+            got = pd.DataFrame({"c": c, "i": i, "v": at.ravel(), "n": np.repeat(seen, at.shape[1])})
+            yield got[got["n"] > 0]
+
+        rows = d.select(vector).mapInPandas(task, "c int, i int, v double, n double").groupBy("c", "i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
+        new = [list(c) for c in centres]
+        for r in rows.collect():  # k x dimensions rows
+            new[r["c"]][r["i"]] = r["v"]
+        return new
+
+    def fit(self, df: DataFrame) -> MiniBatchKMeans:
+        d = df.select(self.key, self.vector).where(F.col(self.vector).isNotNull()).cache()
+        best = math.inf
+        for i in range(self.n_init):
+            centres = [[float(x) for x in r[self.vector]] for r in sample_n(d, self.key, self.n_clusters, self.random_state + i).orderBy(self.key).collect()]
+            if len(centres) < self.n_clusters:
+                raise ValueError("fewer rows than clusters")
+            for _ in range(self.max_iter):
+                new = self._epoch(d, centres)
+                done = np.allclose(new, centres, rtol=1e-4, atol=1e-6)
+                centres = new
+                if done:
+                    break
+            inertia = assign(d, centres, self.key, self.vector).agg(F.sum("d")).first()[0]
+            if inertia < best:
+                best, self.centres, self.inertia = inertia, centres, inertia
+        d.unpersist()
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return assign(df, self.centres, self.key, self.vector).select(self.key, "cluster")
+
+
+def library_kmeans(df: DataFrame, k: int, seed: int = 42, vector: str = "features"):
+    """MLlib k-means|| over all rows."""
     from pyspark.ml.clustering import KMeans as Library
     from pyspark.ml.functions import array_to_vector
 
     d = df.select(array_to_vector(vector).alias("features"))
-    return Library(k=k, maxIter=300, seed=seed).fit(d.sample(fraction, seed) if fraction else d)
+    return Library(k=k, maxIter=300, seed=seed).fit(d)
 
 
 def pam(x: np.ndarray, k: int, rounds: int = 100) -> list[int]:
@@ -336,18 +396,21 @@ class Hdbscan:
         return made
 
 
-def cluster(df: DataFrame, algorithm: str, key: str = "id", vector: str = "features", evaluate: bool = True, **params) -> tuple[DataFrame, dict]:
-    """Rows with their cluster, and the metrics: the drivers of maps and grids."""
+def cluster(df: DataFrame, algorithm: str, key: str = "id", vector: str = "features", evaluate: bool = True, sampling: str = "stratified", silhouette_size: int = 50_000, silhouette_repeats: int = 5, **params) -> tuple[DataFrame, dict]:
+    """Rows with their cluster, and the metrics: the drivers of maps and grids.
+
+    The silhouette is that of samples (``metrics.sampled_silhouette``); medoid clusters also get
+    the mean distance to their medoid.
+    """
+    distances = None
     if algorithm == "kmeans":
         model = KMeans(key=key, vector=vector, **params).fit(df)
         labels = model.predict(df)
     elif algorithm == "minibatch":
-        from pyspark.ml.functions import array_to_vector
-
-        fitted = library_kmeans(df, params.get("n_clusters", 8), params.get("random_state", 42), vector, params.get("fraction", 0.5))
-        labels = fitted.transform(df.select(key, array_to_vector(vector).alias("features"))).select(key, F.col("prediction").alias("cluster"))
+        labels = MiniBatchKMeans(key=key, vector=vector, **params).fit(df).predict(df)
     elif algorithm == "clara":
-        labels = Clara(key=key, vector=vector, **params).fit(df).predict(df)
+        medoids = Clara(key=key, vector=vector, **params).fit(df)
+        labels, distances = medoids.predict(df), medoid_cost(df, medoids.medoids, key, vector)
     elif algorithm == "hdbscan":
         labels = Hdbscan(key=key, vector=vector, **params).fit_predict(df).select(key, "cluster")
     else:
@@ -355,30 +418,43 @@ def cluster(df: DataFrame, algorithm: str, key: str = "id", vector: str = "featu
     out = df.join(labels.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).drop("_k")
     if not evaluate:
         return out, {}
-    scored = out if algorithm != "hdbscan" else out.where("cluster <> -1")
+    rows = staged(out.select(key, "cluster", vector), "clustered")
+    scored = rows if algorithm != "hdbscan" else rows.where("cluster <> -1")
     got = {"ch": metrics.calinski_harabasz(scored, "cluster", vector).first()[0], "dbi": metrics.davies_bouldin(scored, "cluster", vector).first()[0]}
-    got |= metrics.noise_summary(out).first().asDict()
+    got |= metrics.sampled_silhouette(scored, key, "cluster", vector, silhouette_size, silhouette_repeats, sampling=sampling)
+    got["avg_medoid_dist"] = distances.first()["avg_medoid_dist"] if distances is not None else None
+    got |= metrics.noise_summary(rows).first().asDict()
     if got["n_clusters"] < 2:
         got |= {"ch": None, "dbi": None}
-    return out, got | metrics.wcss(out, "cluster", vector).first().asDict()
+    return out, got | metrics.wcss(rows, "cluster", vector).first().asDict()
 
 
 def run_grid(df: DataFrame, algorithm: str, grid: dict[str, list], path: str | None = None, **fixed) -> DataFrame:
-    """One row of metrics for each parameter set; with ``path`` each row is appended as it is done."""
+    """One row of metrics for each parameter set of a grid; with ``path``, all rows of the file, earlier runs included."""
+    got = run_list(df, algorithm, [dict(zip(grid, values, strict=True)) for values in product(*grid.values())], path, **fixed)
+    return df.sparkSession.read.schema(GRID_SCHEMA).parquet(path) if path else got
+
+
+def run_list(df: DataFrame, algorithm: str, sets: list[dict], path: str | None = None, **fixed) -> DataFrame:
+    """One row of metrics for each of the given parameter sets, those of this run only; with ``path`` each is appended as it is done."""
     spark = df.sparkSession
     rows = []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
+    for params in sets:
         _, m = cluster(df, algorithm, **params, **fixed)
-        row = (algorithm, str(params), *[float(m[k]) if m.get(k) is not None else None for k in ("ch", "dbi", "n_clusters", "n_noise", "noise_ratio", "wcss_per_point")])
-        rows.append(row)
-        one = spark.createDataFrame([row], GRID_SCHEMA)
+        rows.append((algorithm, str(params), *[float(m[k]) if m.get(k) is not None else None for k in GRID_METRICS]))
         if path:
-            one.coalesce(1).write.mode("append").parquet(path)
-    return spark.read.parquet(path) if path else spark.createDataFrame(rows, GRID_SCHEMA)
+            spark.createDataFrame(rows[-1:], GRID_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return spark.createDataFrame(rows, GRID_SCHEMA)
+
+
+def map_rows(df: DataFrame, x: str = "longitude", y: str = "latitude", cluster: str = "cluster") -> DataFrame:
+    """(x, y, label) of a cluster map; noise is named so, rows without a place are left out."""
+    label = F.when(F.col(cluster) == -1, "Noise").otherwise(F.concat(F.lit("Cluster "), F.col(cluster).cast("string")))
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), label.alias("label"))
 
 
-GRID_SCHEMA = "algorithm string, params string, ch double, dbi double, n_clusters double, n_noise double, noise_ratio double, wcss_per_point double"
+GRID_METRICS = ("ch", "dbi", "silhouette", "silhouette_std", "avg_medoid_dist", "n_clusters", "n_noise", "noise_ratio", "wcss_per_point")
+GRID_SCHEMA = "algorithm string, params string, " + ", ".join(f"{m} double" for m in GRID_METRICS)
 
 
 def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance, squared_distance
-from .resample import stratified_sample
+from .resample import sample_n, stratified_sample
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -128,13 +130,22 @@ def silhouette(df: DataFrame, key: str = "id", cluster: str = "cluster", vector:
     return s.agg(F.when(F.count("*") > 0, F.avg(F.coalesce("s", F.lit(0.0)))).alias("silhouette"))
 
 
-def sampled_silhouette(df: DataFrame, key: str = "id", cluster: str = "cluster", vector: str = "features", size: int = 50_000, repeats: int = 5, seed: int = 42, include_noise: bool = True) -> dict[str, float | None]:
-    """Mean and population deviation of the silhouette over stratified samples of at most ``size`` rows."""
+def sampled_silhouette(df: DataFrame, key: str = "id", cluster: str = "cluster", vector: str = "features", size: int = 50_000, repeats: int = 5, seed: int = 42, include_noise: bool = True, sampling: str = "stratified") -> dict[str, float | None]:
+    """Mean and population deviation of the silhouette over samples of at most ``size`` rows.
+
+    ``sampling``: stratified by cluster, uniform by seed, or unseeded (uniform, other rows at each call).
+    """
+    if sampling not in ("stratified", "uniform", "unseeded"):
+        raise ValueError(f"unknown sampling {sampling}")
+    if sampling == "unseeded":
+        seed = secrets.randbits(31)
     d = df if include_noise else df.where(F.col(cluster) != -1)
     total = d.count()
     if d.select(cluster).distinct().limit(2).count() < 2:
         return {"silhouette": None, "silhouette_std": None}
-    values = [silhouette(stratified_sample(d, cluster, key, min(size, total), seed + r), key, cluster, vector).first()[0] for r in range(repeats if size < total else 1)]
+    n = min(size, total)
+    draw = (lambda r: stratified_sample(d, cluster, key, n, seed + r)) if sampling == "stratified" else (lambda r: sample_n(d, key, n, seed + r))
+    values = [silhouette(draw(r), key, cluster, vector).first()[0] for r in range(repeats if size < total else 1)]
     return {"silhouette": float(np.mean(values)), "silhouette_std": float(np.std(values))}
 
 

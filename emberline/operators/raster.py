@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import row_mean, row_median
 from .clean import null_constant_rows
-from .spatial import point_in_polygon
+from .spatial import point_in_polygon, reproject
 
 
 def _located(points: DataFrame, headers: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -66,6 +66,13 @@ def to_points(cells: DataFrame, headers: DataFrame, name: str, keep_null: bool =
     return got if keep_null else got.where(F.col(name).isNotNull())
 
 
+def to_points_inside(cells: DataFrame, headers: DataFrame, polygons: DataFrame, key: str, name: str, source: int | None = None) -> DataFrame:
+    """Cell centres in degrees that lie in a polygon, those without a value included; ``source`` is the rasters' EPSG code."""
+    at = ["raster_id", "row", "col"]
+    centres = reproject(to_points(cells, headers, name, keep_null=True), source)
+    return centres.join(point_in_polygon(centres, polygons, at, key).select(*at).distinct(), at, "left_semi")
+
+
 def clip(cells: DataFrame, headers: DataFrame, polygons: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Cells whose centre lies in a polygon, renumbered from the crop's corner, and the new headers.
 

@@ -6,6 +6,8 @@ A polygon layer is a table with an id and ``rings``: array of rings, each an arr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,14 +171,53 @@ def web_mercator(x: Column, y: Column, inverse: bool = False) -> tuple[Column, C
     return F.radians(x) * radius, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(y) / 2)) * radius
 
 
+def utm(x: Column, y: Column, code: int, inverse: bool = False) -> tuple[Column, Column]:
+    """Degrees to metres of a UTM zone of WGS 84, or back: the transverse Mercator series in the third flattening, to its third power."""
+    flat = 1 / 298.257223563
+    n = flat / (2 - flat)
+    scale = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    middle, north = math.radians(6 * (code % 100) - 183), 1e7 if code // 100 == 327 else 0.0
+    k = 2 * math.sqrt(n) / (1 + n)
+    if not inverse:
+        s, far = F.sin(F.radians(y)), F.radians(x) - middle
+        t = F.sinh(F.atanh(s) - k * F.atanh(k * s))
+        u, v = F.atan2(t, F.cos(far)), F.atanh(F.sin(far) / F.sqrt(1 + t * t))
+        terms = list(enumerate((n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3, 13 / 48 * n**2 - 3 / 5 * n**3, 61 / 240 * n**3), 1))
+        east = v + sum(a * F.cos(2 * j * u) * F.sinh(2 * j * v) for j, a in terms)
+        up = u + sum(a * F.sin(2 * j * u) * F.cosh(2 * j * v) for j, a in terms)
+        return scale * east + 500000.0, scale * up + north
+    u, v = (y - north) / scale, (x - 500000.0) / scale
+    terms = list(enumerate((n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3), 1))
+    up = u - sum(b * F.sin(2 * j * u) * F.cosh(2 * j * v) for j, b in terms)
+    east = v - sum(b * F.cos(2 * j * u) * F.sinh(2 * j * v) for j, b in terms)
+    chi = F.asin(F.sin(up) / F.cosh(east))
+    lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate((2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3), 1))
+    return F.degrees(F.atan2(F.sinh(east), F.cos(up)) + middle), F.degrees(lat)
+
+
+def by_country(polygons: DataFrame, codes: list[str], column: str = "ISO3") -> DataFrame:
+    """Polygons of some countries, by their ISO 3166 alpha-3 code in a column or among the attributes; letter case does not matter."""
+    code = F.col(column) if column in polygons.columns else F.col("attributes")[column]
+    return polygons.where(F.upper(F.trim(code)).isin([c.strip().upper() for c in codes]))
+
+
 def reproject(df: DataFrame, source: int | None, target: int = 4326, x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """Coordinates from one EPSG code to another; a missing code counts as 4326; others than 4326 and 3857 are refused."""
+    """Coordinates from one EPSG code to another, by way of degrees; a missing code counts as 4326.
+
+    Known are 4326, 3857 and the UTM zones of WGS 84 (32601 to 32660 and 32701 to 32760); others are refused.
+    """
     source = source or 4326
-    if {source, target} - {4326, 3857}:
-        raise ValueError(f"no conversion from {source} to {target}")
+    for code in (source, target):
+        if code not in (4326, 3857) and not (code // 100 in (326, 327) and 1 <= code % 100 <= 60):
+            raise ValueError(f"no conversion from {source} to {target}")
     if source == target:
         return df
-    cx, cy = web_mercator(F.col(x), F.col(y), inverse=source == 3857)
+    cx, cy = F.col(x), F.col(y)
+    for code, inverse in ((source, True), (target, False)):
+        if code == 3857:
+            cx, cy = web_mercator(cx, cy, inverse)
+        elif code != 4326:
+            cx, cy = utm(cx, cy, code, inverse)
     return df.select(*[cx.alias(c) if c == x else cy.alias(c) if c == y else F.col(c) for c in df.columns])
 
 

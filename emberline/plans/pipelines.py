@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, cluster, features, learn, metrics, raster, resample, spatial
 from ..session import staged
+from ..sources import geotiff
+from ..sources.tables import list_files
 
 KEYS = ["latitude", "longitude"]
 
@@ -84,3 +86,22 @@ def clustering_search(table: DataFrame, algorithm: str, grid: dict[str, list], p
     runs = cluster.run_grid(table, algorithm, grid, path)
     quiet = metrics.filter_noise(runs.distinct(), max_noise)
     return metrics.pareto_front(quiet, {"ch": "max", "dbi": "min"})
+
+
+def clip_folder(spark: SparkSession, pattern: str, polygons: DataFrame, key: str, folder: str) -> list[str]:
+    """Clips all GeoTIFFs of a pattern in one job and writes those that meet a polygon; broken files are skipped."""
+    cells, headers = geotiff.read_geotiff(spark, list_files(spark, pattern), skip_broken=True)
+    out, head = raster.clip(cells, headers, polygons, key)
+    return geotiff.write_geotiffs(out, head.join(headers.select("raster_id", "crs"), "raster_id"), folder)
+
+
+def report(results: dict[str, DataFrame], rows: int = 20, out=print) -> None:
+    """Prints the first rows of named results; says so where there are more."""
+    for name, d in results.items():
+        got = d.limit(rows + 1).collect()
+        out(f"== {name}")
+        out(" | ".join(d.columns))
+        for r in got[:rows]:
+            out(" | ".join("" if v is None else str(v) for v in r))
+        if len(got) > rows:
+            out(f"(more than {rows} rows)")

@@ -5,6 +5,7 @@ Files are read by Spark (binaryFile), so any store will do; parsing runs on the
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -77,6 +78,100 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     return one.mapInPandas(parse, POLYGONS).withColumn("crs", F.lit(crs))
 
 
+def crs_code(text: str | None) -> int | None:
+    """EPSG code of a .prj side file, well-known text or the keyword lines of a grid's prj.adf; None where it is not known.
+
+    The authority of the outermost system counts; without one, WGS 84 degrees, Web Mercator and
+    the UTM zones of WGS 84 are known by name.
+    """
+    if not text or not text.strip():
+        return None
+    outer = re.search(r'(?:AUTHORITY\["EPSG",\s*"?(\d+)"?\]|ID\["EPSG",\s*(\d+)\])\s*\]\s*$', text.strip())
+    if outer:
+        return int(outer[1] or outer[2])
+    flat = re.sub(r"[\s_]+", "", text).upper()
+    if "WGS84" not in flat and "WGS1984" not in flat:
+        return None
+    name = re.match(r'(?:PROJCS|PROJCRS)\["([^"]*)"', flat)
+    if name and ("MERCATORAUXILIARYSPHERE" in name[1] or "PSEUDO-MERCATOR" in name[1]):
+        return 3857
+    zone = re.search(r"UTMZONE(\d{1,2})([NS])", name[1]) if name else None
+    lines = dict(p for line in text.upper().splitlines() if len(p := line.split(None, 1)) == 2)
+    if lines.get("PROJECTION", "").strip() == "UTM" and lines.get("ZONE", "").strip().lstrip("-").isdecimal():
+        number = int(lines["ZONE"])
+        return (32700 if number < 0 else 32600) + abs(number)
+    if zone:
+        return (32600 if zone[2] == "N" else 32700) + int(zone[1])
+    return 4326 if flat.startswith(("GEOGCS[", "GEOGCRS[")) or lines.get("PROJECTION", "").strip() == "GEOGRAPHIC" else None
+
+
+def repair_crs(headers: DataFrame, prj: str | None) -> DataFrame:
+    """Raster headers whose missing ``crs`` is taken from the text of a side file; a known one stays."""
+    code = crs_code(prj)
+    return headers.withColumn("crs", F.coalesce("crs", F.lit(f"EPSG:{code}" if code else None).cast("string")))
+
+
+def encode_shapefile(shapes: list[tuple[list, dict]]) -> tuple[bytes, bytes, bytes]:
+    """(.shp, .shx, .dbf) of polygons (rings of x and y, attributes); a shape without rings is a null shape.
+
+    Attributes are texts of at most 254 bytes in Latin-1, and names are cut to ten bytes: values or names
+    that do not fit, or that collide once cut, are refused.
+    """
+    at, index, whole, records = 100, b"", [], []
+    for number, (rings, _) in enumerate(shapes, 1):
+        xy = [p for ring in rings for p in ring]
+        if xy:
+            box = (min(p[0] for p in xy), min(p[1] for p in xy), max(p[0] for p in xy), max(p[1] for p in xy))
+            whole.append(box)
+            starts = [sum(len(r) for r in rings[:i]) for i in range(len(rings))]
+            record = struct.pack("<i4d2i", 5, *box, len(rings), len(xy)) + struct.pack(f"<{len(starts)}i", *starts) + struct.pack(f"<{2 * len(xy)}d", *[v for p in xy for v in p])
+        else:
+            record = struct.pack("<i", 0)
+        index += struct.pack(">ii", at // 2, len(record) // 2)
+        records.append(struct.pack(">ii", number, len(record) // 2) + record)
+        at += 8 + len(record)
+    body = b"".join(records)
+    bounds = (min(b[0] for b in whole), min(b[1] for b in whole), max(b[2] for b in whole), max(b[3] for b in whole)) if whole else (0.0,) * 4
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, 5, *bounds, *[0.0] * 4)
+    names = sorted({n for _, a in shapes for n in a}) or ["id"]
+    cut = [n.encode("latin-1")[:10] for n in names]
+    if len(set(cut)) < len(cut):
+        raise ValueError("attribute names collide in their first ten bytes")
+    values = [[(a.get(n) or ("" if n != "id" or a else str(i))).encode("latin-1") for n in names] for i, (_, a) in enumerate(shapes, 1)]
+    widths = [max([1, *[len(row[k]) for row in values]]) for k in range(len(names))]
+    if max(widths) > 254:
+        raise ValueError("an attribute is longer than 254 bytes")
+    fields = b"".join(n.ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w, 0]) + b"\0" * 14 for n, w in zip(cut, widths, strict=True))
+    dbf = bytes([3, 100, 1, 1]) + struct.pack("<IHH", len(shapes), 33 + len(fields), 1 + sum(widths)) + b"\0" * 20 + fields + b"\r"
+    dbf += b"".join(b" " + b"".join(v.ljust(w) for v, w in zip(row, widths, strict=True)) for row in values) + b"\x1a"
+    return head(100 + len(body)) + body, head(100 + len(index)) + index, dbf
+
+
+def write_shapefile(polygons: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A layer (rings, attributes, crs) as .shp, .shx, .dbf and .prj, rows by shape_id.
+
+    The format is one file written in order, so its points pass the driver: layers of more than
+    ``most`` points are refused; ``write_polygons`` has no such limit.
+    """
+    points = polygons.agg(F.sum(F.expr("aggregate(rings, 0L, (a, r) -> a + size(r))")), F.count("*")).first()
+    if max(points[0] or 0, points[1]) > most:
+        raise ValueError(f"more than {most} points; write the layer as Parquet")
+    rows = polygons.orderBy("shape_id").collect()
+    made = encode_shapefile([([[(p["x"], p["y"]) for p in ring] for ring in r["rings"] or []], r["attributes"] or {}) for r in rows])
+    stem = path[:-4] if path.lower().endswith(".shp") else path
+    files = dict(zip((".shp", ".shx", ".dbf"), made, strict=True))
+    crs = next((r["crs"] for r in rows if r["crs"]), None) if "crs" in polygons.columns else None
+    if crs:
+        files[".prj"] = crs.encode()
+    spark = polygons.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for ending, data in files.items():
+        at = jvm.org.apache.hadoop.fs.Path(stem + ending)
+        stream = at.getFileSystem(conf).create(at, True)
+        stream.write(data)
+        stream.close()
+
+
 def write_polygons(polygons: DataFrame, path: str) -> None:
     """Polygon layers are stored as Parquet: rings, attributes and crs."""
     polygons.write.mode("overwrite").parquet(path)

@@ -143,20 +143,30 @@ def encode(values: np.ndarray, header: dict) -> bytes:
     return b"II*\0" + struct.pack("<I", place) + body + struct.pack("<H", len(fields)) + entries + b"\0" * 4 + extra
 
 
-def read_geotiff(spark: SparkSession, paths: str | list[str], band: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(cells, headers) of all files of some paths or patterns; raster_id is the path."""
+def _decoded(frame: pd.DataFrame, band: int, skip_broken: bool) -> Iterator[tuple[str, np.ndarray, dict]]:
+    for path, data in zip(frame["path"], frame["content"], strict=True):
+        try:
+            yield path, *decode(bytes(data), band)
+        except (ValueError, KeyError, IndexError, struct.error, zlib.error):
+            if not skip_broken:
+                raise
+
+
+def read_geotiff(spark: SparkSession, paths: str | list[str], band: int = 1, skip_broken: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cells, headers) of all files of some paths or patterns; raster_id is the path.
+
+    With ``skip_broken`` files that can't be decoded give no rows instead of an error.
+    """
     files = spark.read.format("binaryFile").load(paths)
 
     def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                grid, h = decode(bytes(data), band)
+            for path, grid, h in _decoded(frame, band, skip_broken):
                 yield pd.DataFrame([{"raster_id": path, **h, "width": grid.shape[1], "height": grid.shape[0]}])[["raster_id", *"abcdef", "width", "height", "nodata", "crs"]]
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                grid, _ = decode(bytes(data), band)
+            for path, grid, _ in _decoded(frame, band, skip_broken):
                 for y in range(0, len(grid), 256):
                     part = grid[y : y + 256]
                     r, c = np.indices(part.shape, np.int32)

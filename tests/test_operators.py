@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions import expr
 from emberline.operators import clean, cluster, features, learn, metrics, profile, raster, resample, spatial
+from emberline.plans import pipelines
 from emberline.session import nan_to_null
-from emberline.sources import geo, tables
+from emberline.sources import geo, geotiff, tables
 from emberline.streaming import seasons
 
 
@@ -112,7 +113,39 @@ def test_reprojection(spark):
     back = spatial.reproject(spatial.reproject(d, 4326, 3857), 3857).first()
     assert math.isclose(back[0], 3.0, abs_tol=1e-9) and math.isclose(back[1], 36.0, abs_tol=1e-9)
     with pytest.raises(ValueError):
-        spatial.reproject(d, 32631)
+        spatial.reproject(d, 2154)
+
+
+def test_utm(spark):
+    d = spark.createDataFrame([(2.2945, 48.8582), (3.0, 0.0), (5.9, -33.2), (3.0, 36.0)], "longitude double, latitude double")
+    there = spatial.reproject(d, 4326, 32631)
+    got = rows(there)
+    # on the central meridian the northing is the scaled arc of the ellipsoid, here summed numerically
+    flat = 1 / 298.257223563
+    e2, steps = flat * (2 - flat), np.radians((np.arange(100_000) + 0.5) * 36 / 100_000)
+    arc = (6378137.0 * (1 - e2) / (1 - e2 * np.sin(steps) ** 2) ** 1.5).mean() * math.radians(36)
+    assert math.isclose(got[3][0], 500000, abs_tol=1e-6) and math.isclose(got[3][1], 0.9996 * arc, abs_tol=1e-3)
+    assert math.isclose(got[0][0], 448251.8, abs_tol=1) and math.isclose(got[0][1], 5411932.7, abs_tol=1)
+    assert math.isclose(got[1][0], 500000, abs_tol=1e-6) and math.isclose(got[1][1], 0, abs_tol=1e-6)
+    south = rows(spatial.reproject(d, 4326, 32731))
+    assert math.isclose(south[2][1] - got[2][1], 1e7, abs_tol=1e-6)
+    for back in (rows(spatial.reproject(there, 32631)), rows(spatial.reproject(spatial.reproject(d, 4326, 32731), 32731))):
+        assert np.allclose(back, rows(d), atol=1e-8)
+
+
+def test_by_country(spark):
+    d = spark.createDataFrame([(1, {"ISO3": "DZA"}), (2, {"ISO3": "tun "}), (3, {"ISO3": None}), (4, {})], "shape_id int, attributes map<string,string>")
+    assert [r[0] for r in rows(spatial.by_country(d, ["dza", "TUN"]), "shape_id")] == [1, 2]
+    assert spatial.by_country(spark.createDataFrame([("MAR",)], "ISO3 string"), ["MAR"]).count() == 1
+
+
+def test_cells_inside_keep_nulls(spark):
+    square = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]]
+    poly = spark.createDataFrame([(1, square)], f"id int, rings {spatial.RINGS}")
+    cells = spark.createDataFrame([("r", 0, 0, 7.0), ("r", 0, 1, -1.0), ("r", 0, 2, 9.0)], "raster_id string, row int, col int, value double")
+    heads = spark.createDataFrame([("r", 1.0, 0.0, 0.0, 0.0, -1.0, 2.0, 3, 1, -1.0, None)], "raster_id string, a double, b double, c double, d double, e double, f double, width int, height int, nodata double, crs string")
+    got = rows(raster.to_points_inside(cells, heads, poly, "id", "v"), "col")
+    assert [(r[2], r[-1]) for r in got] == [(0, 7.0), (1, None)]
 
 
 def test_raster_manifest_names(spark):
@@ -157,6 +190,17 @@ def test_split_and_sample_sizes(spark):
             resample.balance_sizes(*bad)
 
 
+def test_ranks_within_classes_follow_the_hash(spark):
+    d = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("y"), F.lit(1).alias("_in"))
+    ordered = {}
+    for r in d.withColumn("h", expr.seeded(42, F.col("id"))).orderBy("h", "id").collect():
+        ordered.setdefault(r["y"], []).append(r["id"])
+    want = {i: n % 5 for ids in ordered.values() for n, i in enumerate(ids)}
+    got = resample.stratified_folds(d, "y", "id", 5)
+    assert got.columns == ["id", "y", "_in", "fold"]
+    assert {r["id"]: r["fold"] for r in got.collect()} == want
+
+
 def test_knn_ties_and_few_rows(spark):
     train = spark.createDataFrame([(1, [0.0], 1), (2, [2.0], 0)], "id long, features array<double>, label int")
     probe = spark.createDataFrame([(9, [1.0])], "id long, features array<double>")
@@ -225,6 +269,39 @@ def test_grid_appends(spark, blobs, tmp_path):
     assert cluster.run_grid(blobs, "kmeans", {"n_clusters": [4]}, path, n_init=1).count() == 3
 
 
+def test_list_of_parameter_sets(spark, blobs, tmp_path):
+    path = str(tmp_path / "runs")
+    sets = [{"n_clusters": 3}, {"n_clusters": 2, "n_sampling": 20}]
+    got = cluster.run_list(blobs, "clara", sets, path)
+    assert [r["params"] for r in got.collect()] == [str(s) for s in sets]
+    assert cluster.run_list(blobs, "clara", sets[:1], path).count() == 1 and spark.read.parquet(path).count() == 3
+    one = got.first()
+    assert one["silhouette"] > 0.9 and one["silhouette_std"] == 0 and 0 < one["avg_medoid_dist"] < 0.5
+
+
+def test_silhouette_samplings(blobs):
+    d = blobs.withColumn("cluster", (F.col("id") / 30).cast("int"))
+    whole = metrics.sampled_silhouette(d)["silhouette"]
+    for how in ("stratified", "uniform", "unseeded"):
+        got = metrics.sampled_silhouette(d, size=60, repeats=2, sampling=how)
+        assert abs(got["silhouette"] - whole) < 0.05
+    with pytest.raises(ValueError):
+        metrics.sampled_silhouette(d, sampling="nope")
+
+
+def test_minibatch_uses_every_row(blobs):
+    model = cluster.MiniBatchKMeans(3, batch_size=16).fit(blobs)
+    full = cluster.KMeans(3, n_init=3).fit(blobs)
+    assert np.allclose(sorted(model.centres), sorted(full.centres), atol=1e-6)
+    with pytest.raises(ValueError):
+        cluster.MiniBatchKMeans(91).fit(blobs)
+
+
+def test_map_rows(spark):
+    d = spark.createDataFrame([(1.0, 2.0, -1), (3.0, 4.0, 0), (None, 4.0, 0)], "longitude double, latitude double, cluster int")
+    assert rows(cluster.map_rows(d), "x") == [(1.0, 2.0, "Noise"), (3.0, 4.0, "Cluster 0")]
+
+
 def test_spanning_tree_weight(spark, blobs):
     d = blobs.limit(25)
     tree = cluster.minimum_spanning_tree(d, cluster.core_distances(d, 2))
@@ -273,6 +350,65 @@ def test_shapefile(spark, tmp_path):
     assert d["shape_id"] == 1 and d["attributes"] == {"CODE": "AB"} and d["crs"] == "GEOGCS" and len(d["rings"][0]) == 4
 
 
+def test_shapefile_round_trip(spark, tmp_path):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 0.0, "y": 2.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 0.0}]
+    layer = spark.createDataFrame(
+        [(1, [ring, ring], {"CODE": "AB", "NAME": "é"}, "GEOGCS"), (2, [], {"CODE": None}, "GEOGCS")], "shape_id int, rings array<array<struct<x:double,y:double>>>, attributes map<string,string>, crs string"
+    )
+    path = str(tmp_path / "out.shp")
+    geo.write_shapefile(layer, path)
+    got = geo.read_shapefile(spark, path).orderBy("shape_id").collect()
+    assert [len(r["rings"]) for r in got] == [2, 0] and got[0]["crs"] == "GEOGCS"
+    assert got[0]["attributes"] == {"CODE": "AB", "NAME": "é"} and got[1]["attributes"] == {"CODE": None, "NAME": None}
+    assert [(p["x"], p["y"]) for p in got[0]["rings"][1]] == [(p["x"], p["y"]) for p in ring]
+    with pytest.raises(ValueError):
+        geo.write_shapefile(layer, path, most=7)
+    with pytest.raises(ValueError):
+        geo.encode_shapefile([([], {"long_name_1": "a", "long_name_2": "b"})])
+
+
+@pytest.mark.parametrize(
+    "text, code",
+    [
+        (None, None), (" ", None), ("nonsense", None),
+        ('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],UNIT["Degree",0.0174532925199433]]', 4326),
+        ('GEOGCS["NAD83",DATUM["North_American_Datum_1983"],UNIT["degree",0.0174,AUTHORITY["EPSG","9122"]],AUTHORITY["EPSG","4269"]]', 4269),
+        ('GEOGCS["NAD83",DATUM["North_American_Datum_1983"],UNIT["degree",0.0174,AUTHORITY["EPSG","9122"]]]', None),
+        ('PROJCS["WGS_1984_UTM_Zone_31N",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]],UNIT["Meter",1.0]]', 32631),
+        ('PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]]', 3857),
+        ("Projection    GEOGRAPHIC\nDatum         WGS84\nUnits         DD\n", 4326),
+        ("Projection    UTM\nDatum         WGS84\nZone          -33\n", 32733),
+    ],
+)
+def test_crs_of_side_files(text, code):
+    assert geo.crs_code(text) == code
+
+
+def test_missing_crs_is_filled(spark):
+    d = spark.createDataFrame([("a", None), ("b", "EPSG:3857")], "raster_id string, crs string")
+    assert rows(geo.repair_crs(d, "Projection GEOGRAPHIC\nDatum WGS84"), "raster_id") == [("a", "EPSG:4326"), ("b", "EPSG:3857")]
+    assert rows(geo.repair_crs(d, None), "raster_id")[0] == ("a", None)
+
+
+def test_folder_clip_skips_broken_files(spark, tmp_path):
+    cells = spark.range(16).selectExpr("'x' AS raster_id", "int(id div 4) AS row", "int(id % 4) AS col", "double(id) AS value")
+    heads = spark.createDataFrame([("x", 1.0, 0.0, 0.0, 0.0, -1.0, 4.0, 4, 4, None, "EPSG:4326")], geotiff.HEADER)
+    geotiff.write_geotiffs(cells, heads, str(tmp_path / "in"))
+    (tmp_path / "in" / "bad.tif").write_bytes(b"not a raster")
+    square = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]]
+    poly = spark.createDataFrame([(1, square)], f"id int, rings {spatial.RINGS}")
+    made = pipelines.clip_folder(spark, str(tmp_path / "in" / "*.tif"), poly, "id", str(tmp_path / "out"))
+    got, head = geotiff.read_geotiff(spark, made)
+    assert len(made) == 1 and [r["value"] for r in got.orderBy("row", "col").collect()] == [8.0, 9.0, 12.0, 13.0]
+    assert (head.first()["f"], head.first()["crs"]) == (2.0, "EPSG:4326")
+
+
+def test_report(spark):
+    lines = []
+    pipelines.report({"a": spark.range(3)}, 2, lines.append)
+    assert lines == ["== a", "id", "0", "1", "(more than 2 rows)"]
+
+
 def test_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("2024-01-01 10:00:00",), ("2024-01-03 10:00:00",)], "t string").select(F.to_timestamp("t").alias("ts")).write.parquet(src)
