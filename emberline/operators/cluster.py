@@ -14,6 +14,7 @@ from ..session import staged
 from . import metrics
 from .ranks import numbered
 from .resample import nearest, sample_n
+from .tiles import exact, run_position, squares, tiled
 
 
 def _points(df: DataFrame, rows: list[list[float]]) -> DataFrame:
@@ -228,6 +229,40 @@ def mutual_reachability(df: DataFrame, core: DataFrame, pairs: DataFrame, key: s
     return pairs.join(ca, F.col("a") == F.col("_a")).join(cb, F.col("b") == F.col("_b")).select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
 
 
+def links_within(df: DataFrame, eps: float, key: str = "id", vector: str = "features") -> DataFrame:
+    """(a, b, w): links between rows at most ``eps`` apart, enough of them to join all rows that links join.
+
+    A tile returns a spanning forest of its links, at most one a row, not all pairs.
+    """
+    import pandas as pd
+
+    def kernel(ak, x, _, bk, y, __):
+        found = [(np.empty(0, int), np.empty(0, int))]
+        root = np.arange(len(y))  # of the rows of one side, as the links so far join them
+        for at, sq, error in squares(x, y):
+            error += 4 * np.finfo(float).eps * eps * eps
+            r, c = np.nonzero((sq <= eps * eps + error) & (eps >= 0))
+            close = np.flatnonzero(sq[r, c] >= eps * eps - error)
+            keep = np.ones(len(r), bool)
+            keep[close] = exact(x[at + r[close]], y[c[close]]) <= eps
+            r, c = r[keep], c[keep]
+            first = np.flatnonzero(run_position(r) == 0)
+            for i, linked in zip(r[first], np.split(c, first[1:]), strict=False):
+                top = root[linked]
+                while (root[top] != top).any():
+                    top = root[top]
+                root[linked] = top
+                tops, one = np.unique(top, return_index=True)
+                root[tops] = tops[0]
+                found.append((np.full(len(one), at + i), linked[one]))
+        r, c = (np.concatenate(t) for t in zip(*found, strict=True))
+        r, c = (t[ak[r] != bk[c]] for t in (r, c))
+        return pd.DataFrame({"a": ak[r], "b": bk[c], "w": exact(x[r], y[c])})
+
+    kind = dict(df.dtypes)[key]
+    return tiled(df, df, kernel, f"a {kind}, b {kind}, w double", key, vector, mirrored=True)
+
+
 def components_at(edges: DataFrame, nodes: DataFrame, eps: float, min_size: int = 1, key: str = "id") -> DataFrame:
     """(key, cluster) by links of weight at most eps: 0, 1, ... by smallest member, -1 under min_size.
 
