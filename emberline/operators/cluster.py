@@ -13,8 +13,8 @@ from ..functions.expr import distance, seeded, squared_distance
 from ..session import staged
 from . import metrics
 from .ranks import numbered
-from .resample import nearest, sample_n
-from .tiles import exact, run_position, squares, tiled
+from .resample import sample_n
+from .tiles import exact, near_lists, run_position, squares, tiled
 
 
 def _points(df: DataFrame, rows: list[list[float]]) -> DataFrame:
@@ -216,9 +216,13 @@ def medoid_cost(df: DataFrame, medoids: list[list[float]], key: str = "id", vect
 
 def core_distances(df: DataFrame, min_samples: int, key: str = "id", vector: str = "features") -> DataFrame:
     """(key, core): distance to the min_samples-th neighbour, the row itself not counted."""
-    near = nearest(df, df, min_samples, key, vector, exclude_self=True)
-    got = near.where(F.col("rank") == min_samples).select(key, F.col("d").alias("core"))
-    if got.count() < df.count():
+    return _core(staged(near_lists(df, df, min_samples, key, vector, exclude_self=True), "neighbours"), df.count(), min_samples, key)
+
+
+def _core(lists: DataFrame, rows: int, min_samples: int, key: str) -> DataFrame:
+    """Core distances from the lists of nearest rows (``tiles.near_lists``) of ``rows`` rows."""
+    got = lists.where(F.size("d") >= min_samples).select(key, F.col("d")[min_samples - 1].alias("core"))
+    if got.count() < rows:
         raise ValueError("min_samples must be smaller than the number of rows")
     return got
 

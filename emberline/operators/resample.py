@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import distance, seeded, seeded_unit
 from .ranks import numbered, smallest
+from .tiles import near_lists
 
 
 def _order(seed: int, key: str) -> list[Column]:
@@ -108,41 +109,10 @@ def balance_sizes(n_minority: int, n_majority: int, share: float) -> dict[str, i
 def nearest(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, rows: int = 20_000) -> DataFrame:
     """(key, near, d, rank): the k nearest rows of ``right`` for each row of ``left``, ties by smaller key.
 
-    Both sides are dealt into blocks of about ``rows`` rows by a hash. A task meets one block of
-    each and keeps k candidates a row, before candidates meet in the final ranking.
+    All blocks of about ``rows`` rows meet (``tiles``); a task keeps k candidates a row.
     """
-    import numpy as np
-    import pandas as pd
-
-    schema = left.select(key).schema[0].dataType.simpleString()
-    parts, blocks = (max(4, -(-d.count() // rows)) for d in (left, right))
-    deal = lambda salt, n: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    r = right.select(F.lit(1).alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), deal(0, blocks).alias("block"), every(parts).alias("part"))
-    l = left.select(F.lit(0).alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), every(blocks).alias("block"), deal(1, parts).alias("part"))
-
-    def task(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("k")
-        if a.empty or b.empty:
-            return pd.DataFrame({"k": a["k"][:0], "near": b["k"][:0], "d": np.empty(0)})
-        y, ids = np.stack(b["v"].to_numpy()).astype(float), b["k"].to_numpy()
-        out = []
-        step = max(1, 4_000_000 // max(1, y.size))
-        for at in range(0, len(a), step):
-            part = a.iloc[at : at + step]
-            x = np.stack(part["v"].to_numpy()).astype(float)
-            d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            if exclude_self:
-                d[part["k"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, best, axis=1)
-            got = pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), best.shape[1]), "near": ids[best].ravel(), "d": dist.ravel()})
-            out.append(got[np.isfinite(got["d"])])
-        return pd.concat(out)
-
-    found = l.unionByName(r).groupBy("block", "part").applyInPandas(task, f"k {schema}, near {schema}, d double")
-    w = Window.partitionBy("k").orderBy("d", "near")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("k").alias(key), "near", "d", "rank")
+    found = near_lists(left, right, k, key, vector, exclude_self, rows)
+    return found.select(key, F.posexplode(F.arrays_zip("near", "d")).alias("_at", "_one")).select(key, "_one.near", "_one.d", (F.col("_at") + 1).alias("rank"))
 
 
 def near_miss(df: DataFrame, label: str, minority, keep: int, key: str = "id", vector: str = "features", k: int = 3) -> DataFrame:

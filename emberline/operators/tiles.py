@@ -122,3 +122,36 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, key: s
             yield kernel(*[x for s in sides for x in (s["k"].to_numpy(), np.stack(s["v"].to_numpy()).astype(float), s["c"].to_numpy())])
 
     return both.repartitionById(n, F.col("tile")).mapInPandas(task, schema)
+
+
+def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, rows: int = 20_000) -> DataFrame:
+    """(key, near, d): keys and distances of the k nearest rows of ``right``, ties by smaller key; rows with none are left out."""
+    import pandas as pd
+
+    kind = left.select(key).schema[0].dataType.simpleString()
+
+    def kernel(ak, x, _, bk, y, __):
+        most = k + exclude_self
+        order = np.argsort(bk, kind="stable")
+        order = order[copy_number(y[order]) < most]  # of more copies of a vector none can be among the k nearest
+        bk, y = bk[order], y[order]
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for at, sq, error in squares(x, y):
+            r, c = np.nonzero(sq <= edge(sq, most)[:, None] + 2 * error)
+            d = exact(x[at + r], y[c])
+            keep = np.isfinite(d)
+            if exclude_self:
+                keep &= ak[at + r] != bk[c]
+            r, c, d = r[keep], c[keep], d[keep]
+            order = np.lexsort((c, d, r))
+            r, c, d = r[order], c[order], d[order]
+            keep = run_position(r) < k
+            found.append((at + r[keep], c[keep], d[keep]))
+        r, c, d = (np.concatenate(t) for t in zip(*found, strict=True))
+        first = np.flatnonzero(run_position(r) == 0)
+        near, far = (np.split(t, first[1:]) if len(first) else [] for t in (bk[c], d))
+        return pd.DataFrame({"k": ak[r[first]], "near": near, "d": far})
+
+    found = tiled(left, right, kernel, f"k {kind}, near array<{kind}>, d array<double>", key, vector, rows=rows)
+    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d", "near")))), 1, k)
+    return found.groupBy("k").agg(best.alias("_best")).select(F.col("k").alias(key), F.col("_best.near").alias("near"), F.col("_best.d").alias("d"))

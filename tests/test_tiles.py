@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import cluster
+from emberline import session
+from emberline.operators import cluster, resample, tiles
 
 
 def rows(df, *order):
@@ -47,3 +48,31 @@ def test_links_do_not_grow_with_pairs(spark):
     links = cluster.links_within(d, 1.0)  # links all 4.5 million pairs
     assert links.count() <= 10 * 2 * 3000
     assert {r["cluster"] for r in cluster.components_at(links, d, 1.0).collect()} == {0}
+
+
+@pytest.mark.parametrize("k, own", [(1, True), (5, True), (40, True), (3, False)])
+def test_nearest_in_tiles(awkward, k, own):
+    x, d = awkward
+    dist = brute(x)
+    if own:
+        np.fill_diagonal(dist, np.inf)
+    got = {}
+    for r in resample.nearest(d, d, k, exclude_self=own, rows=30).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["near"], r["d"]))
+    for i, row in enumerate(dist):
+        order = np.lexsort((np.arange(len(x)), row))[:k]
+        assert sorted(got[i]) == [(n + 1, j, row[j]) for n, j in enumerate(order)]
+
+
+def test_squares_of_odd_vectors():
+    x = np.array([[1e200, 0.0], [1e200, 3.0], [np.nan, 0.0], [np.inf, 0.0], [0.0, 4.0]])
+    (at, sq, error), = tiles.squares(x, x)
+    assert (at, error, sq[0, 1], sq[4, 4]) == (0, 0.0, 9.0, 0.0) and np.isinf(sq[2]).all() and np.isinf(sq[0, 4])
+
+
+def test_core_distances_meet_rows_once(spark, awkward, monkeypatch):
+    x, d = awkward
+    made = []
+    monkeypatch.setattr(cluster, "staged", lambda df, name: made.append(name) or session.staged(df, name))
+    got = {r["id"]: r["core"] for r in cluster.core_distances(d, 4).collect()}
+    assert made == ["neighbours"] and all(got[i] == v for i, v in enumerate(np.sort(brute(x), axis=1)[:, 4]))
