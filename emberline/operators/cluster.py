@@ -14,7 +14,7 @@ from ..session import staged
 from . import metrics
 from .ranks import numbered
 from .resample import sample_n
-from .tiles import exact, near_lists, run_position, squares, tiled
+from .tiles import copy_number, exact, near_lists, run_position, squares, tiled
 
 
 def _points(df: DataFrame, rows: list[list[float]]) -> DataFrame:
@@ -289,59 +289,141 @@ def components_at(edges: DataFrame, nodes: DataFrame, eps: float, min_size: int
     return label.join(named, F.col("l") == F.col("_l"), "left").select(F.col("n").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def minimum_spanning_tree(df: DataFrame, core: DataFrame, key: str = "id", vector: str = "features", k: int = 16) -> list[tuple]:
+def minimum_spanning_tree(df: DataFrame, core: DataFrame, key: str = "id", vector: str = "features", k: int = 16, lists: DataFrame | None = None) -> list[tuple]:
     """Edges (a, b, w) of the mutual-reachability minimum spanning tree, by Boruvka rounds.
 
-    Each round finds, for every component, its cheapest outgoing edge (ties by smaller ids), exactly:
-    blocks of rows meet in Arrow tasks that return one candidate for each component and block.
+    Each round takes the cheapest outgoing edge (ties by smaller ids) of components, exactly. It
+    is looked for in the lists of the ``k`` nearest rows (``lists``, if they are known): what they
+    leave out is no closer than their last row, so a component whose listed edge is cheaper than
+    that is settled. Where too few are, the rows in doubt of all components but the largest meet
+    all rows, in tiles that return one candidate a component. The driver holds a component number
+    and a core distance a row.
     """
     import pandas as pd
 
     spark = df.sparkSession
-    base = df.join(core.select(F.col(key).alias("_k"), "core"), F.col(key) == F.col("_k")).select(F.col(key).alias("k"), F.col(vector).alias("v"), "core").cache()
-    ids = [r[0] for r in base.select("k").orderBy("k").collect()]
-    blocks = max(1, -(-len(ids) // 2000))
-    comp = {i: i for i in ids}
-    out: list[tuple] = []
-
-    def find(x):
-        while comp[x] != x:
-            comp[x] = comp[comp[x]]
-            x = comp[x]
-        return x
-
-    def task(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("k")
-        empty = pd.DataFrame({"c": a["k"][:0], "a": a["k"][:0], "b": b["k"][:0], "w": np.empty(0)})
-        if a.empty or b.empty:
-            return empty
-        x, y = (np.stack(t["v"].to_numpy()).astype(float) for t in (a, b))
-        best = []
-        for s in range(0, len(x), 128):
-            d = np.sqrt(((x[s : s + 128, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            d = np.maximum(np.maximum(d, a["core"].to_numpy()[s : s + 128, None]), b["core"].to_numpy()[None, :])
-            d[a["c"].to_numpy()[s : s + 128, None] == b["c"].to_numpy()[None, :]] = np.inf
-            j = d.argmin(axis=1)
-            best.append(pd.DataFrame({"c": a["c"].to_numpy()[s : s + 128], "a": a["k"].to_numpy()[s : s + 128], "b": b["k"].to_numpy()[j], "w": d[np.arange(len(j)), j]}))
-        got = pd.concat(best)
-        got = got[np.isfinite(got["w"])].assign(lo=lambda t: t[["a", "b"]].min(axis=1), hi=lambda t: t[["a", "b"]].max(axis=1))
-        return got.sort_values(["c", "w", "lo", "hi"]).groupby("c", as_index=False).first()[["c", "a", "b", "w"]]
-
-    kind = dict(df.dtypes)[key]
-    while len(out) < len(ids) - 1:
-        names = spark.createDataFrame([(i, find(i)) for i in ids], f"_i {kind}, c {kind}")
-        d = base.join(names, F.col("k") == F.col("_i")).drop("_i").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-        left = d.select("k", "v", "core", "c", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(0).alias("side"))
-        right = d.select("k", "v", "core", "c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))
-        cand = left.unionByName(right).groupBy("i", "j").applyInPandas(task, f"c {kind}, a {kind}, b {kind}, w double")
-        best = cand.groupBy("c").agg(F.min(F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("e")).select("e.*").collect()
-        for r in sorted(best, key=lambda r: (r["w"], r["lo"], r["hi"])):
-            a, b = find(r["lo"]), find(r["hi"])
+    if lists is None:
+        lists = near_lists(df, df, k, key, vector, exclude_self=True)
+    known = core.select(key, "core").orderBy(key).toArrow()
+    ids, cores = (known[c].to_numpy() for c in (key, "core"))
+    n = len(ids)
+    if n < 2:
+        return []
+    sent = spark.sparkContext.broadcast((ids, cores))
+
+    def number(frames):
+        for f in frames:
+            at = [np.searchsorted(sent.value[0], x).astype(np.int32) for x in f["near"]]
+            yield pd.DataFrame({"i": np.searchsorted(sent.value[0], f["k"].to_numpy()).astype(np.int32), "v": f["v"], "near": at, "d": f["d"]})
+
+    both = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).join(lists.select(F.col(key).alias("_k"), "near", "d"), F.col("k") == F.col("_k"))
+    rows = staged(both.select("k", "v", "near", "d").mapInPandas(number, "i int, v array<double>, near array<int>, d array<double>"), "tree")
+
+    def listed(f, comp):
+        """Rows, their listed edges out of their component (row, other, w), and what any other edge weighs at least."""
+        cores = sent.value[1]
+        i, size = f["i"].to_numpy(), f["d"].map(len).to_numpy()
+        near, d, row = np.concatenate(f["near"].to_numpy()), np.concatenate(f["d"].to_numpy()), np.repeat(np.arange(len(i)), size)
+        end = np.cumsum(size) - 1
+        w = np.maximum(np.maximum(d, cores[i[row]]), cores[near])
+        bound = np.maximum(d[end], cores[i])
+        out = comp[near] != comp[i[row]]
+        # a list of copies only: what it leaves out at the same distance has larger ids
+        tied = np.zeros(len(i), bool)
+        tied[row[out & (w == bound[row])]] = True
+        tied &= (d[end + 1 - size] == d[end]) & (cores[i] <= d[end])
+        bound[tied | (size < min(k, n - 1)) | (size >= n - 1)] = np.inf
+        return i, row[out], near[out], w[out], bound
+
+    def cheapest(comp, a, b, w):
+        """The first edge of each component by (w, lo, hi)."""
+        c, lo, hi = comp[a], np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((hi, lo, w, c))
+        order = order[run_position(c[order]) == 0]
+        return pd.DataFrame({"c": c[order], "w": w[order], "lo": lo[order], "hi": hi[order]})
+
+    edge = F.min(F.struct("w", "lo", "hi")).alias("e")
+    comp, out = np.arange(n, dtype=np.int32), []
+    while len(out) < n - 1:
+        now = spark.sparkContext.broadcast(comp)
+
+        def from_lists(frames, now=now):
+            for f in frames:
+                if not len(f):
+                    continue
+                i, row, near, w, bound = listed(f, now.value)
+                yield cheapest(now.value, i[row], near, w).assign(bound=np.inf)
+                least = pd.Series(bound).groupby(now.value[i]).min()
+                yield pd.DataFrame({"c": least.index.astype(np.int32), "w": np.inf, "lo": np.int32(-1), "hi": np.int32(-1), "bound": least.to_numpy()})
+
+        found = rows.select("i", "near", "d").mapInPandas(from_lists, "c int, w double, lo int, hi int, bound double")
+        got = found.groupBy("c").agg(edge, F.min("bound").alias("bound")).select("c", "e.*", "bound").toArrow()  # a row a component
+        c, w, lo, hi, bound = (got[x].to_numpy().copy() for x in ("c", "w", "lo", "hi", "bound"))
+        sure = np.isfinite(w) & (w < bound)
+        if sure.sum() * 4 < len(c):
+            limit = np.full(n, -1.0)  # of a row: what its component has found; -1: not looked for
+            limit[c[~sure]] = w[~sure]
+            limit[np.bincount(comp, minlength=n).argmax()] = -1
+            limit = limit[comp]
+            asked = spark.sparkContext.broadcast(limit)
+
+            def doubtful(frames, now=now, asked=asked):
+                for f in frames:
+                    if len(f):
+                        i, *_, bound = listed(f, now.value)
+                        yield pd.DataFrame({"i": i, "v": f["v"].to_numpy()})[bound <= asked.value[i]]
+
+            def cut(a, x, _, b, y, __, now=now, asked=asked):
+                comp, cores = now.value, sent.value[1]
+                b_order = np.argsort(b)
+                b_order = b_order[copy_number(np.column_stack([y, comp[b], cores[b]])[b_order]) == 0]
+                b, y = b[b_order], y[b_order]
+                bc, most = cores[b], np.maximum(asked.value[a], 0)
+                found = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))]
+                for at, sq, error in squares(x, y):
+                    mine = slice(at, at + len(sq))
+                    np.maximum(sq, (bc * bc)[None, :], out=sq)
+                    np.copyto(sq, np.inf, where=comp[a[mine]][:, None] == comp[b][None, :])
+                    error += 4 * np.finfo(float).eps * float(max((bc * bc).max(), (cores[a[mine]] ** 2).max()))
+                    least = np.minimum(np.maximum(sq.min(axis=1), cores[a[mine]] ** 2), most[mine] ** 2 * (1 + 1e-12))
+                    r, c = np.nonzero((sq <= least[:, None] + 2 * error) & np.isfinite(sq))
+                    r = at + r
+                    found.append((a[r], b[c], np.maximum(np.maximum(exact(x[r], y[c]), cores[a[r]]), bc[c])))
+                return cheapest(comp, *(np.concatenate(t) for t in zip(*found, strict=True)))
+
+            left = staged(rows.mapInPandas(doubtful, "i int, v array<double>"), "doubtful")
+            more = tiled(left, rows, cut, "c int, w double, lo int, hi int", "i", "v").groupBy("c").agg(edge).select("c", "e.*").toArrow()
+            place = np.full(n, -1)
+            place[c] = np.arange(len(c))
+            looked = limit[c] != -1
+            for x, mw, ml, mh in zip(*(more[x].to_pylist() for x in ("c", "w", "lo", "hi")), strict=True):
+                j = place[x]
+                w[j], lo[j], hi[j] = min((w[j], lo[j], hi[j]), (mw, ml, mh))
+            sure |= looked & np.isfinite(w)
+            asked.unpersist()
+        now.unpersist()
+        if not sure.any():
+            raise ValueError("some rows have no finite distance to the others")
+        parent = np.arange(n)
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        order = np.lexsort((hi, lo, w))
+        for j in order[sure[order]]:
+            a, b = find(comp[lo[j]]), find(comp[hi[j]])
             if a != b:
-                comp[max(a, b)] = min(a, b)
-                out.append((r["lo"], r["hi"], r["w"]))
-    base.unpersist()
-    return sorted(out, key=lambda e: (e[2], e[0], e[1]))
+                parent[max(a, b)] = min(a, b)
+                out.append((int(lo[j]), int(hi[j]), float(w[j])))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        comp = parent[comp].astype(np.int32)
+    sent.unpersist()
+    names = known[key].to_pylist()
+    return [(names[a], names[b], w) for a, b, w in sorted(out, key=lambda e: (e[2], e[0], e[1]))]
 
 
 def condense(ids: list, tree: list[tuple], min_cluster_size: int) -> dict:
@@ -428,7 +510,9 @@ class Hdbscan:
         ids = [r[0] for r in d.select(self.key).orderBy(self.key).limit(self.most_rows + 1).collect()]
         if len(ids) > self.most_rows:
             raise ValueError("too many rows for the driver's tree; cluster a sample")
-        tree = minimum_spanning_tree(d, core_distances(d, self.min_samples, self.key, self.vector), self.key, self.vector)
+        k = max(16, self.min_samples)
+        lists = staged(near_lists(d, d, k, self.key, self.vector, exclude_self=True), "neighbours")
+        tree = minimum_spanning_tree(d, _core(lists, len(ids), self.min_samples, self.key), self.key, self.vector, k, lists)
         label = condense(ids, tree, self.min_cluster_size)
         kind = dict(df.dtypes)[self.key]
         made = df.sparkSession.createDataFrame([(i, c, 0.0 if c < 0 else 1.0) for i, c in label.items()], f"{self.key} {kind}, cluster int, probability double")

@@ -76,3 +76,36 @@ def test_core_distances_meet_rows_once(spark, awkward, monkeypatch):
     monkeypatch.setattr(cluster, "staged", lambda df, name: made.append(name) or session.staged(df, name))
     got = {r["id"]: r["core"] for r in cluster.core_distances(d, 4).collect()}
     assert made == ["neighbours"] and all(got[i] == v for i, v in enumerate(np.sort(brute(x), axis=1)[:, 4]))
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in ((0, 0), (5, 5), (0, 5))])
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").cache()
+
+
+@pytest.mark.parametrize("k", [2, 5, 40])
+def test_spanning_tree_is_the_first_by_weight_and_ids(awkward, k, min_samples=2):
+    x, d = awkward
+    dist = brute(x)
+    core = np.sort(dist, axis=1)[:, min_samples]
+    w = np.maximum(np.maximum(dist, core[:, None]), core[None, :])
+    root, want = list(range(len(x))), []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for v, a, b in sorted((w[a, b], a, b) for a in range(len(x)) for b in range(a + 1, len(x))):  # Kruskal
+        if find(a) != find(b):
+            root[find(b)] = find(a)
+            want.append((a, b, v))
+    assert cluster.minimum_spanning_tree(d, cluster.core_distances(d, min_samples), k=k) == want
+
+
+def test_spanning_tree_of_named_rows(spark, blobs):
+    named = blobs.limit(40).select(F.format_string("k%03d", "id").alias("id"), "features")
+    plain = cluster.minimum_spanning_tree(blobs.limit(40), cluster.core_distances(blobs.limit(40), 3))
+    assert cluster.minimum_spanning_tree(named, cluster.core_distances(named, 3)) == [(f"k{a:03d}", f"k{b:03d}", w) for a, b, w in plain]
