@@ -233,6 +233,36 @@ def mutual_reachability(df: DataFrame, core: DataFrame, pairs: DataFrame, key: s
     return pairs.join(ca, F.col("a") == F.col("_a")).join(cb, F.col("b") == F.col("_b")).select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
 
 
+def reachability_range(df: DataFrame, core: DataFrame, key: str = "id", vector: str = "features") -> DataFrame:
+    """(key, least, most): smallest and largest mutual reachability of each row, over all other rows."""
+    import pandas as pd
+
+    d = staged(df.select(key, vector).join(core.select(F.col(key).alias("_k"), "core"), F.col(key) == F.col("_k")).select(key, vector, "core"), "reachability")
+
+    def kernel(ak, x, ac, bk, y, bc):
+        most = np.maximum(ac, bc.max())
+        order = np.lexsort((bk, bc))
+        order = order[copy_number(y[order]) < 2]  # the row itself and another
+        bk, y, bc = bk[order], y[order], bc[order]
+        by_key = np.argsort(bk, kind="stable")
+        own = by_key[np.minimum(np.searchsorted(bk[by_key], ak), len(bk) - 1)]
+        least, far = np.full(len(x), np.inf), np.zeros(len(x))
+        for at, sq, error in squares(x, y):
+            r, c = np.nonzero(sq >= sq.max(axis=1)[:, None] - 2 * error)
+            np.maximum.at(far, at + r, exact(x[at + r], y[c]))
+            np.maximum(sq, (bc * bc)[None, :], out=sq)
+            error += 4 * np.finfo(float).eps * float((bc * bc).max())
+            here = np.arange(len(sq))
+            me = own[at : at + len(sq)]
+            sq[here[bk[me] == ak[at : at + len(sq)]], me[bk[me] == ak[at : at + len(sq)]]] = np.inf
+            r, c = np.nonzero((sq <= sq.min(axis=1)[:, None] + 2 * error) & np.isfinite(sq))
+            np.minimum.at(least, at + r, np.maximum(exact(x[at + r], y[c]), bc[c]))
+        return pd.DataFrame({"k": ak, "least": np.maximum(least, ac), "most": np.maximum(most, far)})
+
+    kind = dict(df.dtypes)[key]
+    return tiled(d, d, kernel, f"k {kind}, least double, most double", key, vector, "core").groupBy(F.col("k").alias(key)).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def links_within(df: DataFrame, eps: float, key: str = "id", vector: str = "features") -> DataFrame:
     """(a, b, w): links between rows at most ``eps`` apart, enough of them to join all rows that links join.
 

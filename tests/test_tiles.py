@@ -109,3 +109,12 @@ def test_spanning_tree_of_named_rows(spark, blobs):
     named = blobs.limit(40).select(F.format_string("k%03d", "id").alias("id"), "features")
     plain = cluster.minimum_spanning_tree(blobs.limit(40), cluster.core_distances(blobs.limit(40), 3))
     assert cluster.minimum_spanning_tree(named, cluster.core_distances(named, 3)) == [(f"k{a:03d}", f"k{b:03d}", w) for a, b, w in plain]
+
+
+def test_reachability_range_is_that_of_all_pairs(spark, awkward):
+    x, d = awkward
+    n = len(x)
+    dist, core = brute(x), cluster.core_distances(d, 5)
+    pairs = spark.createDataFrame([(i, j, float(dist[i, j])) for i in range(n) for j in range(n) if i != j], "a long, b long, d double")
+    want = cluster.mutual_reachability(d, core, pairs).groupBy(F.col("a").alias("id")).agg(F.min("w").alias("least"), F.max("w").alias("most"))
+    assert rows(cluster.reachability_range(d, core), "id") == rows(want, "id")
