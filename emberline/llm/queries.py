@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed_dup, html_text, langid, lm, mixing, near_dup, packing, quality, secrets
+from . import chat, embed_dup, html_text, infill, langid, lm, mixing, near_dup, packing, quality, secrets
 from ._store import table
 
 
@@ -60,6 +60,10 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_language_id,
     op2_mixing,
@@ -71,6 +75,7 @@ _QUERIES = (
     op8_minhash_near_dup,
     op9_secret_scans,
     op10_embedding_near_dup,
+    op13_fill_in_middle,
 )
 
 
@@ -79,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.ORACLE_SQL, "op8_minhash_near_dup": near_dup.ORACLE_SQL, "op10_embedding_near_dup": embed_dup.ORACLE_SQL}
+    return {"op6_chat_formatting": chat.ORACLE_SQL, "op8_minhash_near_dup": near_dup.ORACLE_SQL, "op10_embedding_near_dup": embed_dup.ORACLE_SQL, "op13_fill_in_middle": infill.ORACLE_SQL}
