@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed_dup, html_text, infill, langid, lm, mixing, near_dup, packing, quality, secrets
+from . import chat, embed_dup, html_text, infill, langid, lm, mixing, near_dup, packing, periodic, quality, secrets
 from ._store import table
 
 
@@ -60,6 +60,10 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ _QUERIES = (
     op8_minhash_near_dup,
     op9_secret_scans,
     op10_embedding_near_dup,
+    op11_periodic_runs,
     op13_fill_in_middle,
 )
 
