@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed_dup, html_text, infill, langid, lm, mixing, near_dup, packing, periodic, quality, secrets
+from . import chat, embed_dup, grouping, html_text, infill, langid, lm, mixing, near_dup, packing, periodic, quality, secrets
 from ._store import table
 
 
@@ -64,6 +64,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ _QUERIES = (
     op9_secret_scans,
     op10_embedding_near_dup,
     op11_periodic_runs,
+    op12_best_fit_packing,
     op13_fill_in_middle,
 )
 
