@@ -10,7 +10,7 @@ move a multiple of the input, so lengths are added up in two steps, both relatio
    unit lengths, and the row of the requested ordinal gives the cut's place.
 3. Places are aggregated a document and join the texts, which ``substring`` cuts.
 
-Texts are shuffled once. Whatever a text's length, a window's rows are small and can spill, and
+Texts that are cut are shuffled once, others not at all. Whatever a text's length, a window's rows are small and can spill, and
 nothing but the text itself has to fit a task.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._store import pick
 
 #: Units of a block.
-BLOCK = 32
+BLOCK = 64
 #: Fixed values of the format: the marks of prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
@@ -58,7 +58,7 @@ def unit_places(texts: DataFrame, requests: DataFrame) -> DataFrame:
     asked = requests.withColumn("block", (F.col("ordinal") / BLOCK).cast("int"))
     hit = asked.join(placed.select(*_KEY, "block", "before", "part"), [*_KEY, "block"])
     units = hit.select(*_KEY, "cut", "ordinal", "block", "before", F.posexplode(F.regexp_extract_all("part", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
-    inside = Window.partitionBy(*_KEY, "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*_KEY, "block", "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = units.withColumn("ends", F.col("before") + F.sum(F.length("unit")).over(inside))
     return summed.where(F.col("block") * BLOCK + F.col("at") == F.col("ordinal")).select(*_KEY, "cut", F.col("ends").alias("chars"))
 
@@ -88,7 +88,9 @@ def fill_in_middle(docs: DataFrame, plain_from: int = 90, spm_below: int = 20, s
     block_of = lambda c: F.when(F.col(c) >= 0, F.col(c) / BLOCK).cast("int")
     places = unit_places(cut.select(*_KEY, "text", F.array(block_of("lo"), block_of("hi")).alias("blocks")), requests)
     wide = places.groupBy(*[F.col(k).alias(f"{k}_") for k in _KEY]).agg(*[F.max(F.when(F.col("cut") == c, F.col("chars"))).alias(f"at_{c}") for c in ("lo", "hi")])
-    joined = base.join(wide.hint("shuffle_hash"), [F.col(k) == F.col(f"{k}_") for k in _KEY], "left")
+    # Only texts that are cut are shuffled.
+    joined = base.where("form <> 'plain'").join(wide.hint("shuffle_hash"), [F.col(k) == F.col(f"{k}_") for k in _KEY], "left")
+    joined = joined.unionByName(base.where("form = 'plain'"), allowMissingColumns=True)
     whole, first, second = F.col("text"), F.coalesce("at_lo", F.lit(0)).cast("int"), F.coalesce("at_hi", F.lit(0)).cast("int")
     held = lambda c: F.when(F.col("form") != "plain", c)
     parts = joined.select(
