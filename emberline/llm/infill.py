@@ -42,25 +42,28 @@ def draw(doc_id: Column, seed: str, i: int) -> Column:
     return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
 
 
-def unit_places(texts: DataFrame, requests: DataFrame) -> DataFrame:
-    """(key, cut, chars): the characters before unit ``ordinal`` of each request's text.
+def unit_places(texts: DataFrame) -> DataFrame:
+    """(key, cut, chars): the characters of a text up to the end of the unit of each cut request.
 
-    ``texts`` has the key columns, ``text`` and ``blocks``: the ordinals of the blocks that
-    requests name. An ordinal equal to the number of units stands for the end of the text and
-    needs a request of the unit before it, see ``fill_in_middle``. ``requests`` has the key columns, cut and
-    ordinal, once each. Rows that repeat a key have equal texts and count once.
+    ``texts`` has the key columns, ``text`` and ``ordinals``, a map from the name of a cut to the
+    ordinal of a unit. Rows that repeat a key have equal texts and count once.
     """
     matched = F.regexp_extract_all("text", F.lit(f"(?:{_UNIT}){{1,{BLOCK}}}+"), F.lit(0))
-    rows = texts.withColumn("_row", F.monotonically_increasing_id()).select(*_KEY, "_row", "blocks", F.posexplode(matched).alias("block", "part"))
-    rows = rows.select(*_KEY, "_row", "block", F.length("part").alias("size"), F.when(F.array_contains("blocks", F.col("block")), F.col("part")).alias("part"))
+    named = F.array_distinct(F.transform(F.map_values("ordinals"), lambda o: (o / BLOCK).cast("int")))
+    # Rows are numbered before blocks are exploded: a row of repeats has sums of its own.
+    cut = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("blocks", matched).withColumn("named", named)
+    asked = cut.select(*_KEY, "ordinals", "blocks", F.explode("named").alias("block"))
+    asked = asked.groupBy(*_KEY, "block").agg(F.first(F.get("blocks", F.col("block"))).alias("part"), F.first("ordinals").alias("ordinals"))
+    rows = cut.select(*_KEY, "_row", "named", F.posexplode(F.transform("blocks", F.length)).alias("block", "size"))
+    rows = rows.select(*_KEY, "_row", "block", "size", F.array_contains("named", F.col("block")).alias("named"))
     before = Window.partitionBy(*_KEY, "_row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where("part is not null").dropDuplicates([*_KEY, "block"])
-    asked = requests.withColumn("block", (F.col("ordinal") / BLOCK).cast("int"))
-    hit = asked.join(placed.select(*_KEY, "block", "before", "part"), [*_KEY, "block"])
-    units = hit.select(*_KEY, "cut", "ordinal", "block", "before", F.posexplode(F.regexp_extract_all("part", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
-    inside = Window.partitionBy(*_KEY, "block", "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = units.withColumn("ends", F.col("before") + F.sum(F.length("unit")).over(inside))
-    return summed.where(F.col("block") * BLOCK + F.col("at") == F.col("ordinal")).select(*_KEY, "cut", F.col("ends").alias("chars"))
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where("named").groupBy(*_KEY, "block").agg(F.max("before").alias("before"))
+    hit = asked.join(placed, [*_KEY, "block"]).withColumn("wanted", F.map_values("ordinals"))
+    units = hit.select(*_KEY, "ordinals", "wanted", "block", "before", F.posexplode(F.regexp_extract_all("part", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
+    inside = Window.partitionBy(*_KEY, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = units.withColumn("ends", F.col("before") + F.sum(F.length("unit")).over(inside)).withColumn("unit", (F.col("block") * BLOCK + F.col("at")).cast("long"))
+    found = summed.where(F.array_contains("wanted", F.col("unit"))).select(*_KEY, "unit", "ends", F.explode("ordinals").alias("cut", "ordinal"))
+    return found.where("unit = ordinal").select(*_KEY, "cut", F.col("ends").alias("chars"))
 
 
 def fill_in_middle(docs: DataFrame, plain_from: int = 90, spm_below: int = 20, seed: str = "1") -> DataFrame:
@@ -83,10 +86,8 @@ def fill_in_middle(docs: DataFrame, plain_from: int = 90, spm_below: int = 20, s
     lo, hi = F.least(h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)), F.greatest(h1 % (F.col("n") + 1), h2 % (F.col("n") + 1))
     base = base.select("doc_id", "_a", "_b", "text", "n", form.alias("form"), lo.alias("lo"), hi.alias("hi"))
     # A cut after k > 0 units lies where unit k - 1 ends; one after none lies at 0 and asks for nothing.
-    cut = base.where("form <> 'plain'").select(*_KEY, "text", (F.col("lo") - 1).alias("lo"), (F.col("hi") - 1).alias("hi"))
-    requests = cut.select(*_KEY, F.explode(F.create_map(F.lit("lo"), F.col("lo"), F.lit("hi"), F.col("hi"))).alias("cut", "ordinal")).where("ordinal >= 0").distinct()
-    block_of = lambda c: F.when(F.col(c) >= 0, F.col(c) / BLOCK).cast("int")
-    places = unit_places(cut.select(*_KEY, "text", F.array(block_of("lo"), block_of("hi")).alias("blocks")), requests)
+    ordinals = F.map_filter(F.create_map(F.lit("lo"), F.col("lo") - 1, F.lit("hi"), F.col("hi") - 1), lambda _, ordinal: ordinal >= 0)
+    places = unit_places(base.where("form <> 'plain'").select(*_KEY, "text", ordinals.alias("ordinals")))
     wide = places.groupBy(*[F.col(k).alias(f"{k}_") for k in _KEY]).agg(*[F.max(F.when(F.col("cut") == c, F.col("chars"))).alias(f"at_{c}") for c in ("lo", "hi")])
     # Only texts that are cut are shuffled.
     joined = base.where("form <> 'plain'").join(wide.hint("shuffle_hash"), [F.col(k) == F.col(f"{k}_") for k in _KEY], "left")
