@@ -52,8 +52,8 @@ def unit_places(texts: DataFrame) -> DataFrame:
     named = F.array_distinct(F.transform(F.map_values("ordinals"), lambda o: (o / BLOCK).cast("int")))
     # Rows are numbered before blocks are exploded: a row of repeats has sums of its own.
     cut = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("blocks", matched).withColumn("named", named)
-    asked = cut.select(*_KEY, "ordinals", "blocks", F.explode("named").alias("block"))
-    asked = asked.groupBy(*_KEY, "block").agg(F.first(F.get("blocks", F.col("block"))).alias("part"), F.first("ordinals").alias("ordinals"))
+    asked = cut.select(*_KEY, "ordinals", "blocks", F.explode("named").alias("block")).withColumn("part", F.get("blocks", F.col("block")))
+    asked = asked.select(*_KEY, "ordinals", "block", "part").groupBy(*_KEY, "block").agg(F.first("part").alias("part"), F.first("ordinals").alias("ordinals"))
     rows = cut.select(*_KEY, "_row", "named", F.posexplode(F.transform("blocks", F.length)).alias("block", "size"))
     rows = rows.select(*_KEY, "_row", "block", "size", F.array_contains("named", F.col("block")).alias("named"))
     before = Window.partitionBy(*_KEY, "_row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
