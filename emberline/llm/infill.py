@@ -52,18 +52,18 @@ def unit_places(texts: DataFrame) -> DataFrame:
     named = F.array_distinct(F.transform(F.map_values("ordinals"), lambda o: (o / BLOCK).cast("int")))
     # Rows are numbered before blocks are exploded: a row of repeats has sums of its own.
     cut = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("blocks", matched).withColumn("named", named)
-    asked = cut.select(*_KEY, "ordinals", "blocks", F.explode("named").alias("block")).withColumn("part", F.get("blocks", F.col("block")))
-    asked = asked.select(*_KEY, "ordinals", "block", "part").groupBy(*_KEY, "block").agg(F.first("part").alias("part"), F.first("ordinals").alias("ordinals"))
+    parts = F.transform("named", lambda b: F.struct(b.alias("block"), F.get("blocks", b).alias("part")))
+    asked = cut.select(*_KEY, "ordinals", F.inline(parts)).groupBy(*_KEY, "block").agg(F.first("part").alias("part"), F.first("ordinals").alias("ordinals"))
     rows = cut.select(*_KEY, "_row", "named", F.posexplode(F.transform("blocks", F.length)).alias("block", "size"))
     rows = rows.select(*_KEY, "_row", "block", "size", F.array_contains("named", F.col("block")).alias("named"))
     before = Window.partitionBy(*_KEY, "_row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where("named").groupBy(*_KEY, "block").agg(F.max("before").alias("before"))
-    hit = asked.join(placed, [*_KEY, "block"]).withColumn("wanted", F.map_values("ordinals"))
-    units = hit.select(*_KEY, "ordinals", "wanted", "block", "before", F.posexplode(F.regexp_extract_all("part", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
-    inside = Window.partitionBy(*_KEY, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = units.withColumn("ends", F.col("before") + F.sum(F.length("unit")).over(inside)).withColumn("unit", (F.col("block") * BLOCK + F.col("at")).cast("long"))
-    found = summed.where(F.array_contains("wanted", F.col("unit"))).select(*_KEY, "unit", "ends", F.explode("ordinals").alias("cut", "ordinal"))
-    return found.where("unit = ordinal").select(*_KEY, "cut", F.col("ends").alias("chars"))
+    hit = asked.join(placed, [*_KEY, "block"]).select(*_KEY, "block", "part", "before", F.explode("ordinals").alias("cut", "ordinal"))
+    hit = hit.withColumn("at", (F.col("ordinal") - F.col("block") * BLOCK).cast("int")).where(F.col("at").between(0, BLOCK - 1))
+    units = hit.select(*_KEY, "block", "before", "cut", F.col("at").alias("asked"), F.posexplode(F.regexp_extract_all("part", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
+    inside = Window.partitionBy(*_KEY, "block", "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = units.select(*_KEY, "block", "before", "cut", "asked", "at", F.length("unit").alias("size")).withColumn("ends", F.col("before") + F.sum("size").over(inside))
+    return summed.where("at = asked").select(*_KEY, "cut", F.col("ends").alias("chars"))
 
 
 def fill_in_middle(docs: DataFrame, plain_from: int = 90, spm_below: int = 20, seed: str = "1") -> DataFrame:
