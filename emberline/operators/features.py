@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import profile
+from .information import neighbour_information
 
 COORDINATES = ("latitude", "longitude")
 
@@ -74,7 +75,7 @@ def drop_correlated(corr: dict[tuple[str, str], float], target: dict[str, float]
 def binned_mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 16) -> DataFrame:
     """Mutual information (nats) of equal-width bins of each column with a class label.
 
-    A deterministic stand-in for the nearest-neighbour estimator.
+    A quick look; ``information.neighbour_information`` needs no bins.
     """
     ends = profile.per_column(df, columns, {"lo": lambda c: F.min(c).cast("double"), "hi": lambda c: F.max(c).cast("double")})
     tall = df.select(F.col(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("y", "r.*").dropna()
@@ -100,7 +101,7 @@ def supervised_reduction(df: DataFrame, target: str, var_threshold: float = 0.01
     with_target = {r["column_name"]: r["abs_corr"] for r in profile.target_correlation(df, columns, target).collect()} if columns else {}
     columns = drop_correlated(corr, with_target, columns, corr_threshold)
     if method == "MI":
-        rank = {r["column_name"]: r["mi"] for r in binned_mutual_information(df, columns, target).collect()}
+        rank = {r["column_name"]: r["mi"] for r in neighbour_information(df, columns, target).collect()}
     else:
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import VectorAssembler

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import clean, cluster, features, learn, metrics, profile, raster, resample, spatial
+from ..operators import clean, cluster, features, information, learn, metrics, profile, raster, resample, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -546,6 +546,20 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.binned_mutual_information(feat_columns(spark, sf_dir), _F, "y")
 
 
+def _psi(x: str) -> str:
+    y = f"({x} + 8)"
+    series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8)) - 1 / (132 * pow({y}, 10))"
+    return f"({series} - {' - '.join(f'1.0::DOUBLE / ({x} + {i})' for i in range(8))})"
+
+
+@query(f"""WITH {FEAT}, t AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, id, {c} AS v, c AS y FROM feat" for c in _F)}), s AS (SELECT *, count(*) OVER (PARTITION BY column_name, y) AS n FROM t), u AS (SELECT * FROM s WHERE n > 1),
+    p AS (SELECT a.column_name, a.id, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.column_name, a.id ORDER BY abs(a.v - b.v)) AS r, least(3, a.n - 1) AS k FROM u a JOIN u b ON a.column_name = b.column_name AND a.y = b.y AND a.id <> b.id),
+    q AS (SELECT column_name, id, d, k FROM p WHERE r = k), m AS (SELECT a.column_name, a.id, a.n, q.k, count(*) AS m FROM u a JOIN q ON q.column_name = a.column_name AND q.id = a.id JOIN u b ON b.column_name = a.column_name AND (abs(a.v - b.v) < q.d OR a.v = b.v) GROUP BY 1, 2, 3, 4)
+    SELECT column_name, round(greatest(0, {_psi("count(*)")} + avg({_psi("k")}) - avg({_psi("n")}) - avg({_psi("m")})), 6) AS mi FROM m GROUP BY 1""")
+def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return information.neighbour_information(feat_columns(spark, sf_dir), _F, "c")
+
+
 @query()
 def supervised_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.supervised_reduction(feat_columns(spark, sf_dir).drop("id", "c"), "y", var_threshold=0.0, method="MI", top_k=2)
