@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import profile
+from .compress import Autoencoder
 from .information import neighbour_information
 
 COORDINATES = ("latitude", "longitude")
@@ -130,9 +131,10 @@ def cluster_features(corr: np.ndarray, names: list[str], limit: float = 0.3) ->
     return [names[i] for i in sorted(keep)]
 
 
-def unsupervised_reduction(df: DataFrame, drop: tuple[str, ...] = ("fire",), var_threshold: float = 0.01, cluster_distance: float = 0.3, components: int | None = None) -> DataFrame:
+def unsupervised_reduction(df: DataFrame, drop: tuple[str, ...] = ("fire",), var_threshold: float = 0.01, cluster_distance: float = 0.3, components: int | None = None, compression: str = "autoencoder", **settings) -> DataFrame:
     """Coordinates and one representative of each cluster of correlated features, or ``components``
-    principal components of them (a linear stand-in for an autoencoder), named ae_feature_0, ..."""
+    numbers that compress them, named ae_feature_0, ...: codes of an autoencoder (with ``settings``) or, as
+    ``compression`` "pca", principal components, whose rows need all features."""
     columns = profile.numeric_columns(df, exclude=(*drop, *COORDINATES))
     var = {r["column_name"]: r["var_pop"] for r in profile.variances(df, columns).collect()}
     columns = [c for c in columns if (var[c] or 0) > var_threshold]
@@ -145,6 +147,9 @@ def unsupervised_reduction(df: DataFrame, drop: tuple[str, ...] = ("fire",), var
     ids = [c for c in COORDINATES if c in df.columns]
     if components is None:
         return df.select(*ids, *keep)
+    if compression == "autoencoder":
+        model = Autoencoder(components, **settings).fit(df, keep)
+        return model.encode(df.select(*ids, *keep)).select(*ids, *[f"ae_feature_{i}" for i in range(components)])
     from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 

@@ -572,7 +572,12 @@ def feature_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.unsupervised_reduction(feat_columns(spark, sf_dir).drop("id", "c", "y"), var_threshold=0.0, components=2)
+    return features.unsupervised_reduction(feat_columns(spark, sf_dir).drop("id", "c", "y"), var_threshold=0.0, components=2, compression="pca")
+
+
+@query(places=4)
+def autoencoder_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.unsupervised_reduction(feat_columns(spark, sf_dir).drop("id", "c", "y"), var_threshold=0.0, components=10, epochs=20, steps=4)
 
 
 # ---- resampling --------------------------------------------------------------------------

@@ -61,10 +61,10 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP = 16 << 20
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here, and a lost
-    executor costs one re-read."""
+    executor costs one re-read. Filters on the columns ``by`` read their own folders only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberline/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
