@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import distance, seeded, squared_distance
+from ..functions.expr import distance, seeded, seeded_unit, squared_distance
 from ..session import staged
 from . import metrics
+from .hierarchy import condensed_labels, positions, spanning_tree, spread
 from .ranks import numbered
 from .resample import sample_n
-from .tiles import copy_number, exact, near_lists, run_position, squares, tiled
+from .tiles import copy_number, exact, has_whole, near_lists, run_position, squares, tiled, whole
 
 
 def _points(df: DataFrame, rows: list[list[float]]) -> DataFrame:
@@ -45,17 +46,91 @@ def kmeans_step(df: DataFrame, centres: list[list[float]], key: str = "id", vect
     return [c if c[0] is not None else centres[k] for k, c in enumerate(new)]
 
 
+def nearest(df: DataFrame, centres: list[list[float]], key: str = "id", vector: str = "features") -> DataFrame:
+    """(key, cluster, d): nearest of many centres (squared distance), the first on ties; centres go to the tasks as one matrix."""
+    import pandas as pd
+
+    at = np.array(centres, float)
+
+    def task(frames):
+        for f in frames:
+            for s in range(0, len(f), 1024):
+                part = f.iloc[s : s + 1024]
+                x = np.stack(part[vector].to_numpy()).astype(float)
+                d = np.stack([((x - c) ** 2).sum(axis=1) for c in at], axis=1)
+                yield pd.DataFrame({key: part[key], "cluster": d.argmin(axis=1).astype(np.int32), "d": d.min(axis=1)})
+
+    return df.select(key, vector).mapInPandas(task, f"{key} {dict(df.dtypes)[key]}, cluster int, d double")
+
+
+def weighted_starts(x: np.ndarray, weight: np.ndarray, k: int, seed: int, tries: int = 8) -> np.ndarray:
+    """k centres of weighted points: drawn one by one by weight and squared distance, then moved to their means; the best of some tries."""
+    rng, best = np.random.default_rng(seed), (math.inf, x[:k])
+    for _ in range(tries):
+        chosen = [int(rng.choice(len(x), p=weight / weight.sum()))]
+        far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            p = far * weight
+            chosen.append(int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else next(i for i in range(len(x)) if i not in chosen))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        at = x[chosen].copy()
+        for _ in range(20):
+            label = ((x[:, None, :] - at[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+            for c in range(k):
+                if (label == c).any():
+                    at[c] = np.average(x[label == c], axis=0, weights=weight[label == c])
+        cost = float((((x[:, None, :] - at[None, :, :]) ** 2).sum(axis=2).min(axis=1) * weight).sum())
+        if cost < best[0]:
+            best = (cost, at)
+    return best[1]
+
+
+def oversampled_starts(d: DataFrame, k: int, seed: int = 42, key: str = "id", vector: str = "features", rounds: int = 5, factor: int = 2) -> list[list[float]]:
+    """k starting centres, far apart in proportion to cost, by parallel oversampling.
+
+    From one row on, each round draws every row with probability ``factor * k * d / cost``, where d is its
+    squared distance to the rows drawn so far and cost the sum of d: about ``factor * k`` rows a round reach
+    the driver. All rows then count for the drawn row that is nearest, and the drawn rows, weighted so, are
+    clustered in one place. Draws follow the hash of the key.
+    """
+    drawn = [[float(x) for x in r[vector]] for r in sample_n(d, key, 1, seed).collect()]
+    for i in range(rounds):
+        far = nearest(d, drawn, key, vector).select(F.col(key).alias("_k"), "d")
+        cost = far.agg(F.sum("d")).first()[0] or 0.0
+        if cost <= 0:
+            break
+        lucky = far.where(seeded_unit(seed * 1000 + i + 1, F.col("_k")) * cost < F.col("d") * (factor * k))
+        drawn += [[float(x) for x in r[vector]] for r in d.join(lucky, F.col(key) == F.col("_k")).orderBy(key).select(vector).collect()]
+    counts = {r["cluster"]: r["n"] for r in nearest(d, drawn, key, vector).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    points = np.array([drawn[c] for c in sorted(counts)])
+    if len(points) < k:  # fewer different rows than clusters
+        points = np.array([r[vector] for r in sample_n(d, key, k, seed).orderBy(key).collect()], float)
+        return points.tolist()
+    return weighted_starts(points, np.array([counts[c] for c in sorted(counts)], float), k, seed).tolist()
+
+
 class KMeans:
-    """Lloyd's algorithm from hash-seeded starts; the best of ``n_init`` by inertia."""
+    """Lloyd's algorithm until it settles; the best of ``n_init`` starts by inertia.
+
+    ``init`` is "k-means++" (``oversampled_starts``) or "random" (rows in hash order). Rows whose vector
+    is null or holds a null take no part.
+    """
 
-    def __init__(self, n_clusters: int = 8, max_iter: int = 300, n_init: int = 10, random_state: int = 42, key: str = "id", vector: str = "features") -> None:
-        self.n_clusters, self.max_iter, self.n_init, self.random_state, self.key, self.vector = n_clusters, max_iter, n_init, random_state, key, vector
+    def __init__(self, n_clusters: int = 8, max_iter: int = 300, n_init: int = 10, random_state: int = 42, key: str = "id", vector: str = "features", init: str = "k-means++") -> None:
+        self.n_clusters, self.max_iter, self.n_init, self.random_state, self.key, self.vector, self.init = n_clusters, max_iter, n_init, random_state, key, vector, init
+
+    def _start(self, d: DataFrame, seed: int) -> list[list[float]]:
+        if self.init not in ("k-means++", "random"):
+            raise ValueError(f"unknown init {self.init}")
+        if self.init == "k-means++":
+            return oversampled_starts(d, self.n_clusters, seed, self.key, self.vector)
+        return [list(r[self.vector]) for r in sample_n(d, self.key, self.n_clusters, seed).orderBy(self.key).collect()]
 
     def fit(self, df: DataFrame) -> KMeans:
-        d = df.select(self.key, self.vector).cache()
+        d = whole(df, self.vector).select(self.key, self.vector).cache()
         best = math.inf
         for i in range(self.n_init):
-            centres = [list(r[self.vector]) for r in sample_n(d, self.key, self.n_clusters, self.random_state + i).orderBy(self.key).collect()]
+            centres = self._start(d, self.random_state + i)
             if len(centres) < self.n_clusters:
                 raise ValueError("fewer rows than clusters")
             for _ in range(self.max_iter):
@@ -215,8 +290,8 @@ def medoid_cost(df: DataFrame, medoids: list[list[float]], key: str = "id", vect
 
 
 def core_distances(df: DataFrame, min_samples: int, key: str = "id", vector: str = "features") -> DataFrame:
-    """(key, core): distance to the min_samples-th neighbour, the row itself not counted."""
-    return _core(staged(near_lists(df, df, min_samples, key, vector, exclude_self=True), "neighbours"), df.count(), min_samples, key)
+    """(key, core): distance to the min_samples-th neighbour, the row itself not counted; none for rows without a whole vector."""
+    return _core(staged(near_lists(df, df, min_samples, key, vector, exclude_self=True), "neighbours"), whole(df, vector).count(), min_samples, key)
 
 
 def _core(lists: DataFrame, rows: int, min_samples: int, key: str) -> DataFrame:
@@ -300,253 +375,49 @@ def links_within(df: DataFrame, eps: float, key: str = "id", vector: str = "feat
 def components_at(edges: DataFrame, nodes: DataFrame, eps: float, min_size: int = 1, key: str = "id") -> DataFrame:
     """(key, cluster) by links of weight at most eps: 0, 1, ... by smallest member, -1 under min_size.
 
-    Minimum labels spread along links with pointer jumping until nothing changes.
+    See ``hierarchy.spread``.
     """
-    links = edges.where(F.col("w") <= eps).select("a", "b")
-    links = staged(links.union(links.select("b", "a")).distinct(), "links")
-    label = nodes.select(F.col(key).alias("n"), F.col(key).alias("l"))
-    while True:
-        near = links.join(label, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
-        new = label.join(near, F.col("n") == F.col("a"), "left").select("n", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
-        top = label.select(F.col("n").alias("t"), F.col("l").alias("u"))
-        new = new.join(top, F.col("l") == F.col("t"), "left").select("n", "old", F.least("l", F.coalesce("u", "l")).alias("l"))
-        new = staged(new, "components")
-        label = new.select("n", "l")
-        if new.where("l <> old").isEmpty():
-            break
+    label = spread(edges.where(F.col("w") <= eps), nodes.select(F.col(key).alias("n")))
     size = label.groupBy("l").agg(F.count("*").alias("s")).where(F.col("s") >= min_size)
     named = numbered(size, "l", "cluster").select(F.col("l").alias("_l"), "cluster")
     return label.join(named, F.col("l") == F.col("_l"), "left").select(F.col("n").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def minimum_spanning_tree(df: DataFrame, core: DataFrame, key: str = "id", vector: str = "features", k: int = 16, lists: DataFrame | None = None) -> list[tuple]:
-    """Edges (a, b, w) of the mutual-reachability minimum spanning tree, by Boruvka rounds.
+def _numbered(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(i, key, v): rows with a whole vector, numbered by key."""
+    return staged(positions(whole(df, vector).select(key, F.col(vector).cast("array<double>").alias("v")), [key], "i"), "rows")
 
-    Each round takes the cheapest outgoing edge (ties by smaller ids) of components, exactly. It
-    is looked for in the lists of the ``k`` nearest rows (``lists``, if they are known): what they
-    leave out is no closer than their last row, so a component whose listed edge is cheaper than
-    that is settled. Where too few are, the rows in doubt of all components but the largest meet
-    all rows, in tiles that return one candidate a component. The driver holds a component number
-    and a core distance a row.
-    """
-    import pandas as pd
 
-    spark = df.sparkSession
-    if lists is None:
-        lists = near_lists(df, df, k, key, vector, exclude_self=True)
-    known = core.select(key, "core").orderBy(key).toArrow()
-    ids, cores = (known[c].to_numpy() for c in (key, "core"))
-    n = len(ids)
-    if n < 2:
-        return []
-    sent = spark.sparkContext.broadcast((ids, cores))
-
-    def number(frames):
-        for f in frames:
-            at = [np.searchsorted(sent.value[0], x).astype(np.int32) for x in f["near"]]
-            yield pd.DataFrame({"i": np.searchsorted(sent.value[0], f["k"].to_numpy()).astype(np.int32), "v": f["v"], "near": at, "d": f["d"]})
-
-    both = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).join(lists.select(F.col(key).alias("_k"), "near", "d"), F.col("k") == F.col("_k"))
-    rows = staged(both.select("k", "v", "near", "d").mapInPandas(number, "i int, v array<double>, near array<int>, d array<double>"), "tree")
-
-    def listed(f, comp):
-        """Rows, their listed edges out of their component (row, other, w), and what any other edge weighs at least."""
-        cores = sent.value[1]
-        i, size = f["i"].to_numpy(), f["d"].map(len).to_numpy()
-        near, d, row = np.concatenate(f["near"].to_numpy()), np.concatenate(f["d"].to_numpy()), np.repeat(np.arange(len(i)), size)
-        end = np.cumsum(size) - 1
-        w = np.maximum(np.maximum(d, cores[i[row]]), cores[near])
-        bound = np.maximum(d[end], cores[i])
-        out = comp[near] != comp[i[row]]
-        # a list of copies only: what it leaves out at the same distance has larger ids
-        tied = np.zeros(len(i), bool)
-        tied[row[out & (w == bound[row])]] = True
-        tied &= (d[end + 1 - size] == d[end]) & (cores[i] <= d[end])
-        bound[tied | (size < min(k, n - 1)) | (size >= n - 1)] = np.inf
-        return i, row[out], near[out], w[out], bound
-
-    def cheapest(comp, a, b, w):
-        """The first edge of each component by (w, lo, hi)."""
-        c, lo, hi = comp[a], np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((hi, lo, w, c))
-        order = order[run_position(c[order]) == 0]
-        return pd.DataFrame({"c": c[order], "w": w[order], "lo": lo[order], "hi": hi[order]})
-
-    edge = F.min(F.struct("w", "lo", "hi")).alias("e")
-    comp, out = np.arange(n, dtype=np.int32), []
-    while len(out) < n - 1:
-        now = spark.sparkContext.broadcast(comp)
-
-        def from_lists(frames, now=now):
-            for f in frames:
-                if not len(f):
-                    continue
-                i, row, near, w, bound = listed(f, now.value)
-                yield cheapest(now.value, i[row], near, w).assign(bound=np.inf)
-                least = pd.Series(bound).groupby(now.value[i]).min()
-                yield pd.DataFrame({"c": least.index.astype(np.int32), "w": np.inf, "lo": np.int32(-1), "hi": np.int32(-1), "bound": least.to_numpy()})
-
-        found = rows.select("i", "near", "d").mapInPandas(from_lists, "c int, w double, lo int, hi int, bound double")
-        got = found.groupBy("c").agg(edge, F.min("bound").alias("bound")).select("c", "e.*", "bound").toArrow()  # a row a component
-        c, w, lo, hi, bound = (got[x].to_numpy().copy() for x in ("c", "w", "lo", "hi", "bound"))
-        sure = np.isfinite(w) & (w < bound)
-        if sure.sum() * 4 < len(c):
-            limit = np.full(n, -1.0)  # of a row: what its component has found; -1: not looked for
-            limit[c[~sure]] = w[~sure]
-            limit[np.bincount(comp, minlength=n).argmax()] = -1
-            limit = limit[comp]
-            asked = spark.sparkContext.broadcast(limit)
-
-            def doubtful(frames, now=now, asked=asked):
-                for f in frames:
-                    if len(f):
-                        i, *_, bound = listed(f, now.value)
-                        yield pd.DataFrame({"i": i, "v": f["v"].to_numpy()})[bound <= asked.value[i]]
-
-            def cut(a, x, _, b, y, __, now=now, asked=asked):
-                comp, cores = now.value, sent.value[1]
-                b_order = np.argsort(b)
-                b_order = b_order[copy_number(np.column_stack([y, comp[b], cores[b]])[b_order]) == 0]
-                b, y = b[b_order], y[b_order]
-                bc, most = cores[b], np.maximum(asked.value[a], 0)
-                found = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))]
-                for at, sq, error in squares(x, y):
-                    mine = slice(at, at + len(sq))
-                    np.maximum(sq, (bc * bc)[None, :], out=sq)
-                    np.copyto(sq, np.inf, where=comp[a[mine]][:, None] == comp[b][None, :])
-                    error += 4 * np.finfo(float).eps * float(max((bc * bc).max(), (cores[a[mine]] ** 2).max()))
-                    least = np.minimum(np.maximum(sq.min(axis=1), cores[a[mine]] ** 2), most[mine] ** 2 * (1 + 1e-12))
-                    r, c = np.nonzero((sq <= least[:, None] + 2 * error) & np.isfinite(sq))
-                    r = at + r
-                    found.append((a[r], b[c], np.maximum(np.maximum(exact(x[r], y[c]), cores[a[r]]), bc[c])))
-                return cheapest(comp, *(np.concatenate(t) for t in zip(*found, strict=True)))
-
-            left = staged(rows.mapInPandas(doubtful, "i int, v array<double>"), "doubtful")
-            more = tiled(left, rows, cut, "c int, w double, lo int, hi int", "i", "v").groupBy("c").agg(edge).select("c", "e.*").toArrow()
-            place = np.full(n, -1)
-            place[c] = np.arange(len(c))
-            looked = limit[c] != -1
-            for x, mw, ml, mh in zip(*(more[x].to_pylist() for x in ("c", "w", "lo", "hi")), strict=True):
-                j = place[x]
-                w[j], lo[j], hi[j] = min((w[j], lo[j], hi[j]), (mw, ml, mh))
-            sure |= looked & np.isfinite(w)
-            asked.unpersist()
-        now.unpersist()
-        if not sure.any():
-            raise ValueError("some rows have no finite distance to the others")
-        parent = np.arange(n)
-
-        def find(x, parent=parent):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        order = np.lexsort((hi, lo, w))
-        for j in order[sure[order]]:
-            a, b = find(comp[lo[j]]), find(comp[hi[j]])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(lo[j]), int(hi[j]), float(w[j])))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        comp = parent[comp].astype(np.int32)
-    sent.unpersist()
-    names = known[key].to_pylist()
-    return [(names[a], names[b], w) for a, b, w in sorted(out, key=lambda e: (e[2], e[0], e[1]))]
-
-
-def condense(ids: list, tree: list[tuple], min_cluster_size: int) -> dict:
-    """Excess-of-mass labels from the edges of a minimum spanning tree: id -> cluster (-1: noise).
-
-    The single-linkage tree is condensed (a split counts only if both sides have
-    min_cluster_size rows), each cluster's stability is sum(lambda_row - lambda_birth), and a
-    cluster is kept where it is more stable than the kept ones below it. The root is never kept.
-    """
-    n = len(ids)
-    at = {i: k for k, i in enumerate(ids)}
-    parent = list(range(2 * n - 1))
-    size, left, right, height = [1] * n + [0] * (n - 1), [-1] * (2 * n - 1), [-1] * (2 * n - 1), [0.0] * (2 * n - 1)
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for k, (a, b, w) in enumerate(tree):
-        new, x, y = n + k, find(at[a]), find(at[b])
-        parent[x] = parent[y] = new
-        left[new], right[new], height[new], size[new] = x, y, w, size[x] + size[y]
-
-    def leaves(x):
-        stack = [x]
-        while stack:
-            y = stack.pop()
-            if y < n:
-                yield y
-            else:
-                stack += [left[y], right[y]]
-
-    inverse = lambda w: 1 / w if w > 0 else math.inf
-    clusters = [{"birth": 0.0, "stability": 0.0, "children": [], "rows": []}]
-    todo = [(2 * n - 2, 0)] if n > 1 else []
-    while todo:
-        node, c = todo.pop()
-        if node < n:
-            continue
-        lam = inverse(height[node])
-        sides = [left[node], right[node]]
-        big = [s for s in sides if size[s] >= min_cluster_size]
-        gain = lambda k, lam=lam, c=c: k * (min(lam, 1e12) - clusters[c]["birth"])
-        if len(big) == 2:
-            clusters[c]["stability"] += gain(size[node])
-            for s in sides:
-                clusters.append({"birth": min(lam, 1e12), "stability": 0.0, "children": [], "rows": []})
-                clusters[c]["children"].append(len(clusters) - 1)
-                clusters[-1]["top"] = s
-                todo.append((s, len(clusters) - 1))
-            continue
-        for s in sides:
-            if s in big:
-                todo.append((s, c))
-            else:
-                clusters[c]["stability"] += gain(size[s])
-                clusters[c]["rows"] += list(leaves(s))
-    chosen: dict[int, list[int]] = {}
-    total: dict[int, float] = {}
-    for c in range(len(clusters) - 1, -1, -1):
-        below = sum(total[k] for k in clusters[c]["children"])
-        if clusters[c]["children"] and (c == 0 or below > clusters[c]["stability"]):
-            chosen[c], total[c] = [x for k in clusters[c]["children"] for x in chosen[k]], below
-        else:
-            chosen[c], total[c] = ([c] if c else []), clusters[c]["stability"]
-    label = {i: -1 for i in ids}
-    tops = sorted(chosen[0], key=lambda c: min(leaves(clusters[c]["top"])))
-    for name, c in enumerate(tops):
-        for row in leaves(clusters[c]["top"]):
-            label[ids[row]] = name
-    return label
+def minimum_spanning_tree(df: DataFrame, core: DataFrame, key: str = "id", vector: str = "features", k: int = 16) -> DataFrame:
+    """(a, b, w): edges of the spanning tree that is least by mutual reachability, then by keys; a < b. See ``hierarchy.spanning_tree``."""
+    rows = _numbered(df, key, vector)
+    lists = staged(near_lists(rows, rows, k, "i", "v", exclude_self=True), "neighbours")
+    known = staged(rows.join(core.select(F.col(key).alias("_k"), "core"), F.col(key) == F.col("_k")).select("i", "v", "core"), "rows")
+    tree = spanning_tree(known, lists, k)
+    name = lambda c: rows.select(F.col("i").alias(f"_{c}"), F.col(key).alias(c))
+    return tree.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "w").join(name("a"), "_a").join(name("b"), "_b").select("a", "b", "w")
 
 
 class Hdbscan:
-    """Density clustering by hierarchy. Distances and the spanning tree come from Spark; the tree's N - 1 edges are condensed on the driver."""
+    """Density clustering by hierarchy: spanning tree, condensed tree and labels are tables (``hierarchy``).
 
-    def __init__(self, min_cluster_size: int = 5, min_samples: int | None = None, key: str = "id", vector: str = "features", most_rows: int = 1_000_000) -> None:
-        self.min_cluster_size, self.min_samples, self.key, self.vector, self.most_rows = min_cluster_size, min_samples or min_cluster_size, key, vector, most_rows
+    Rows whose vector is null or holds a null are noise. Ties between edges go by keys, so that the
+    result does not depend on partitions.
+    """
+
+    def __init__(self, min_cluster_size: int = 5, min_samples: int | None = None, key: str = "id", vector: str = "features", most_clusters: int = 1_000_000) -> None:
+        self.min_cluster_size, self.min_samples, self.key, self.vector, self.most_clusters = min_cluster_size, min_samples or min_cluster_size, key, vector, most_clusters
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
-        d = df.select(self.key, self.vector)
-        ids = [r[0] for r in d.select(self.key).orderBy(self.key).limit(self.most_rows + 1).collect()]
-        if len(ids) > self.most_rows:
-            raise ValueError("too many rows for the driver's tree; cluster a sample")
-        k = max(16, self.min_samples)
-        lists = staged(near_lists(d, d, k, self.key, self.vector, exclude_self=True), "neighbours")
-        tree = minimum_spanning_tree(d, _core(lists, len(ids), self.min_samples, self.key), self.key, self.vector, k, lists)
-        label = condense(ids, tree, self.min_cluster_size)
-        kind = dict(df.dtypes)[self.key]
-        made = df.sparkSession.createDataFrame([(i, c, 0.0 if c < 0 else 1.0) for i, c in label.items()], f"{self.key} {kind}, cluster int, probability double")
-        return made
+        rows = _numbered(df, self.key, self.vector)
+        n, k = rows.count(), max(16, self.min_samples)
+        lists = staged(near_lists(rows, rows, k, "i", "v", exclude_self=True), "neighbours")
+        core = _core(lists, n, self.min_samples, "i").select(F.col("i").alias("_i"), "core")
+        tree = spanning_tree(staged(rows.join(core, F.col("i") == F.col("_i")).select("i", "v", "core"), "rows"), lists, k)
+        labels = condensed_labels(tree, n, self.min_cluster_size, most_clusters=self.most_clusters)
+        made = rows.join(labels, "i").select(self.key, "cluster")
+        odd = df.where(~has_whole(self.vector)).select(self.key, F.lit(-1).alias("cluster"))
+        return made.unionByName(odd).withColumn("probability", F.when(F.col("cluster") < 0, 0.0).otherwise(1.0))
 
 
 def cluster(df: DataFrame, algorithm: str, key: str = "id", vector: str = "features", evaluate: bool = True, sampling: str = "stratified", silhouette_size: int = 50_000, silhouette_repeats: int = 5, **params) -> tuple[DataFrame, dict]:

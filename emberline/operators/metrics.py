@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import distance, squared_distance
 from .resample import sample_n, stratified_sample
+from .tiles import whole
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -100,9 +101,10 @@ def silhouette(df: DataFrame, key: str = "id", cluster: str = "cluster", vector:
     """Mean Euclidean silhouette of all rows given (draw a sample first); a singleton counts 0.
 
     Block products: a task meets one block of rows with another and returns the sums of distances
-    by row and cluster, so no task holds more than two blocks.
+    by row and cluster, so no task holds more than two blocks. Rows whose vector is null or holds a
+    null take no part.
     """
-    d = df if include_noise else df.where(F.col(cluster) != -1)
+    d = whole(df if include_noise else df.where(F.col(cluster) != -1), vector)
     n = max(d.count(), 1)
     blocks = max(blocks, -(-n // 4000))
     kind = dict(d.dtypes)

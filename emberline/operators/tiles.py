@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pairs whose squared distances a task holds at once.
@@ -85,6 +85,15 @@ def edge(sq: np.ndarray, n: int) -> np.ndarray:
     return np.partition(sq, n - 1, axis=1)[:, n - 1]
 
 
+def has_whole(vector: str) -> Column:
+    """Whether a row's vector is there without a null in it. Others are near no row."""
+    return F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, lambda x: x.isNull()), F.lit(False))
+
+
+def whole(df: DataFrame, vector: str) -> DataFrame:
+    return df.where(has_whole(vector))
+
+
 Kernel = Callable[..., "object"]
 
 
@@ -92,10 +101,12 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, key: s
     """What ``kernel(keys, vectors, extras, keys, vectors, extras)`` returns for each tile.
 
     Both sides are dealt into blocks of about ``rows`` rows by a hash; a tile has a partition of
-    its own. ``mirrored``: both sides are the same rows, and each two blocks meet once.
+    its own. ``mirrored``: both sides are the same rows, and each two blocks meet once. Rows
+    whose vector is null or holds a null take no part.
     """
     import pandas as pd
 
+    left, right = whole(left, vector), whole(right, vector)
     parts, blocks = (max(4, -(-d.count() // rows)) for d in (left, right))
     pick = lambda d: d.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(extra).cast("double") if extra else F.lit(0.0)).alias("c"))
     deal = lambda salt, n: F.pmod(F.xxhash64("k", F.lit(salt)), F.lit(n)).cast("int")
@@ -150,7 +161,7 @@ def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vecto
         r, c, d = (np.concatenate(t) for t in zip(*found, strict=True))
         first = np.flatnonzero(run_position(r) == 0)
         near, far = (np.split(t, first[1:]) if len(first) else [] for t in (bk[c], d))
-        return pd.DataFrame({"k": ak[r[first]], "near": near, "d": far})
+        return pd.DataFrame({"k": ak[r[first]], "near": pd.Series(near, dtype=object), "d": pd.Series(far, dtype=object)})
 
     found = tiled(left, right, kernel, f"k {kind}, near array<{kind}>, d array<double>", key, vector, rows=rows)
     best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d", "near")))), 1, k)

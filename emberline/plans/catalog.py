@@ -795,7 +795,7 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = feats(spark, sf_dir)
-    return cluster.KMeans(3, max_iter=5, n_init=1).fit(d).predict(d)
+    return cluster.KMeans(3, n_init=1).fit(d).predict(d)
 
 
 @query()

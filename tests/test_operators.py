@@ -304,7 +304,7 @@ def test_map_rows(spark):
 
 def test_spanning_tree_weight(spark, blobs):
     d = blobs.limit(25)
-    tree = cluster.minimum_spanning_tree(d, cluster.core_distances(d, 2))
+    tree = cluster.minimum_spanning_tree(d, cluster.core_distances(d, 2)).collect()
     x = np.array([r["features"] for r in d.orderBy("id").collect()])
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     core = np.sort(dist, axis=1)[:, 2]

@@ -102,13 +102,17 @@ def test_spanning_tree_is_the_first_by_weight_and_ids(awkward, k, min_samples=2)
         if find(a) != find(b):
             root[find(b)] = find(a)
             want.append((a, b, v))
-    assert cluster.minimum_spanning_tree(d, cluster.core_distances(d, min_samples), k=k) == want
+    assert edges(cluster.minimum_spanning_tree(d, cluster.core_distances(d, min_samples), k=k)) == want
+
+
+def edges(tree):
+    return sorted((tuple(r) for r in tree.collect()), key=lambda e: (e[2], e[0], e[1]))
 
 
 def test_spanning_tree_of_named_rows(spark, blobs):
     named = blobs.limit(40).select(F.format_string("k%03d", "id").alias("id"), "features")
-    plain = cluster.minimum_spanning_tree(blobs.limit(40), cluster.core_distances(blobs.limit(40), 3))
-    assert cluster.minimum_spanning_tree(named, cluster.core_distances(named, 3)) == [(f"k{a:03d}", f"k{b:03d}", w) for a, b, w in plain]
+    plain = edges(cluster.minimum_spanning_tree(blobs.limit(40), cluster.core_distances(blobs.limit(40), 3)))
+    assert edges(cluster.minimum_spanning_tree(named, cluster.core_distances(named, 3))) == [(f"k{a:03d}", f"k{b:03d}", w) for a, b, w in plain]
 
 
 def test_reachability_range_is_that_of_all_pairs(spark, awkward):
@@ -118,3 +122,14 @@ def test_reachability_range_is_that_of_all_pairs(spark, awkward):
     pairs = spark.createDataFrame([(i, j, float(dist[i, j])) for i in range(n) for j in range(n) if i != j], "a long, b long, d double")
     want = cluster.mutual_reachability(d, core, pairs).groupBy(F.col("a").alias("id")).agg(F.min("w").alias("least"), F.max("w").alias("most"))
     assert rows(cluster.reachability_range(d, core), "id") == rows(want, "id")
+
+
+def test_null_vectors_are_near_nothing(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [0.0, 2.0])]
+    d = spark.createDataFrame(rows, "id long, features array<double>")
+    near = {r["id"]: r["near"] for r in tiles.near_lists(d, d, 4, exclude_self=True).collect()}
+    assert near == {1: [2, 5], 2: [1, 5], 5: [1, 2]}
+    assert {(r["a"], r["b"]) for r in cluster.links_within(d, 1.5).collect()} in ({(1, 2)}, {(2, 1)})
+    assert {r["id"] for r in cluster.core_distances(d, 2).collect()} == {1, 2, 5}
+    got = {r["id"]: (r["cluster"], r["probability"]) for r in cluster.Hdbscan(2, 1).fit_predict(d).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[3] == got[4] == (-1, 0.0)
