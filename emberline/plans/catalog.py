@@ -6,6 +6,7 @@ both sides (``_SQL`` for DuckDB, functions here for Spark).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,7 +143,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.quality_report(_holes(spark, sf_dir))
 
 
-@query("SELECT 'one' AS column_name, 1::BIGINT AS n_unique")
+@query(f"WITH {HOLES}, u AS (" + _each(["c_custkey", "segment", "balance", "one"], "holes", "count(DISTINCT @) AS n_unique") + ") SELECT * FROM u WHERE n_unique <= 1")
 def constant_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.constant_columns(_holes(spark, sf_dir))
 
@@ -348,14 +349,26 @@ def season_row_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- spatial -----------------------------------------------------------------------------
 
 
-@query("SELECT round(2 + j * 0.05::DOUBLE, 9) AS longitude, round(34 + i * 0.05::DOUBLE, 9) AS latitude FROM range(31) b(j), range(21) a(i)", places=9)
+#: Grid over the detections, as fine as leaves about one of them to a point.
+_MESH = f"""WITH {DET}, b AS (SELECT min(longitude) AS x0, min(latitude) AS y0, max(longitude) AS x1, max(latitude) AS y1, sqrt((max(longitude) - min(longitude)) * (max(latitude) - min(latitude)) / count(*)) AS s FROM det),
+    m AS (SELECT x0 + i * s AS x, y0 + j * s AS y, b.* FROM b, range(3000) a(i), range(3000) c(j) WHERE i < floor((x1 - x0 + 1e-12) / s) + 1 AND j < floor((y1 - y0 + 1e-12) / s) + 1)"""
+
+
+def _mesh(spark: SparkSession, sf_dir: str) -> tuple[float, float, float, float, float]:
+    d = detections(spark, sf_dir).agg(F.min("longitude"), F.min("latitude"), F.max("longitude"), F.max("latitude"), F.count("*")).first()
+    x0, y0, x1, y1, n = d
+    return x0, y0, x1, y1, math.sqrt((x1 - x0) * (y1 - y0) / n)
+
+
+@query(f"{_MESH} SELECT round(x, 9) AS longitude, round(y, 9) AS latitude FROM m", places=9)
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.grid_points(spark, 2.0, 34.0, 3.5, 35.0, 0.05)
+    return spatial.grid_points(spark, *_mesh(spark, sf_dir))
 
 
-@query("SELECT round(2 + j * 0.05::DOUBLE, 9) AS longitude, round(34 + i * 0.05::DOUBLE, 9) AS latitude FROM range(31) b(j), range(21) a(i) WHERE 34 + i * 0.05::DOUBLE BETWEEN 34.32 AND 34.68", places=9)
+@query(f"{_MESH} SELECT round(x, 9) AS longitude, round(y, 9) AS latitude FROM m WHERE y BETWEEN y0 + 0.3::DOUBLE * (y1 - y0) AND y0 + 0.7::DOUBLE * (y1 - y0)", places=9)
 def grid_lat_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.grid_points(spark, 2.0, 34.0, 3.5, 35.0, 0.05, 34.32, 34.68)
+    x0, y0, x1, y1, step = _mesh(spark, sf_dir)
+    return spatial.grid_points(spark, x0, y0, x1, y1, step, y0 + 0.3 * (y1 - y0), y0 + 0.7 * (y1 - y0))
 
 
 @query(f"""WITH {DET}, {GRID}, p AS (SELECT DISTINCT latitude, longitude FROM det WHERE type = 0),
@@ -392,55 +405,73 @@ def geo_impute_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.impute_by_zones(d, "v", category=True, base=0.02, least=6, most=0.07).select("k", "ln", "v")
 
 
-#: Two polygons: an L shape, and a square with a square hole; they overlap.
-POLY = [(1, [[(2.0, 34.0), (3.0, 34.0), (3.0, 34.4), (2.4, 34.4), (2.4, 34.9), (2.0, 34.9)]]), (2, [[(2.2, 34.2), (3.2, 34.2), (3.2, 34.8), (2.2, 34.8)], [(2.5, 34.5), (2.9, 34.5), (2.9, 34.7), (2.5, 34.7)]])]
+#: Places of the detections on a lattice of thousandths, so that some lie on borders.
+PLACE = "place AS (SELECT DISTINCT 34 + (l_orderkey * 7 % 970) / 1000.0::DOUBLE AS latitude, 2 + (l_partkey * 13 % 1430) / 1000.0::DOUBLE AS longitude FROM lineitem)"
+#: Rings of a polygon in hundredths of a degree from its corner: an L for even keys, a square with a square hole for odd ones.
+SHAPES = ([[(0, 0), (40, 0), (40, 15), (15, 15), (15, 30), (0, 30)]], [[(0, 0), (30, 0), (30, 30), (0, 30)], [(10, 10), (20, 10), (20, 20), (10, 20)]])
+_XY = ["latitude", "longitude"]
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").selectExpr("34 + (l_orderkey * 7 % 970) / 1000D AS latitude", "2 + (l_partkey * 13 % 1430) / 1000D AS longitude").distinct()
 
 
-def polygons(spark: SparkSession) -> DataFrame:
-    rows = [(i, f"zone{i}", [[{"x": x, "y": y} for x, y in r] for r in rings]) for i, rings in POLY]
-    return spark.createDataFrame(rows, f"pid int, name string, rings {spatial.RINGS}")
+def polygons(spark: SparkSession, sf_dir: str, table: str = "nation") -> DataFrame:
+    """A layer of one overlapping polygon a row of a table, on a mesh of five by five corners."""
+    key = f"{table[0]}_{table[:4] + 'key' if table != 'nation' else 'nationkey'}"
+    shape = lambda rings: "array(" + ", ".join("array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in r) + ")" for r in rings) + ")"
+    rings = f"if({key} % 2 = 0, {shape(SHAPES[0])}, {shape(SHAPES[1])})"
+    place = f"transform({rings}, r -> transform(r, p -> named_struct('x', 2 + (25 * ({key} % 5) + p.x) / 100D, 'y', 34 + (18 * ({key} div 5 % 5) + p.y) / 100D)))"
+    return _t(spark, sf_dir, table).selectExpr(f"{key} AS pid", f"concat('zone', {key}) AS name", f"{place} AS rings")
 
 
-_EDGES = ", ".join(f"({i}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, rings in POLY for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True))
-PIP = f"""e AS (SELECT pid, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (VALUES {_EDGES}) t(pid, x1, y1, x2, y2)),
+def _edges(table: str, key: str) -> str:
+    rows = ", ".join(f"({i}, {n}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, rings in enumerate(SHAPES) for n, r in enumerate(rings) for a, b in zip(r, r[1:] + r[:1], strict=True))
+    at = lambda c, step, corner: f"{34 if step == 18 else 2} + ({step} * ({corner}) + {c}) / 100.0::DOUBLE"
+    x, y = lambda c: at(c, 25, f"{key} % 5"), lambda c: at(c, 18, f"{key} // 5 % 5")
+    return f"e AS (SELECT {key} AS pid, ring, {x('px')} AS x1, {y('py')} AS y1, {x('qx')} AS x2, {y('qy')} AS y2 FROM {table} JOIN (VALUES {rows}) t(odd, ring, px, py, qx, qy) ON {key} % 2 = odd)"
+
+
+PIP = f"""{_edges("nation", "n_nationkey")},
     t AS (SELECT latitude, longitude, pid, sum(CASE WHEN (y1 > latitude) <> (y2 > latitude) AND longitude < (x2 - x1) * (latitude - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) AS n,
-    bool_or((x2 - x1) * (latitude - y1) - (y2 - y1) * (longitude - x1) = 0 AND longitude BETWEEN least(x1, x2) AND greatest(x1, x2) AND latitude BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge FROM grid, e GROUP BY 1, 2, 3)"""
-_XY = ["latitude", "longitude"]
+    bool_or((x2 - x1) * (latitude - y1) - (y2 - y1) * (longitude - x1) = 0 AND longitude BETWEEN least(x1, x2) AND greatest(x1, x2) AND latitude BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge FROM place, e GROUP BY 1, 2, 3)"""
+_LAYER = f"WITH {_edges('supplier', 's_suppkey')}"
 
 
-@query(f"WITH {GRID}, {PIP} SELECT latitude, longitude, pid FROM t WHERE n % 2 = 1 OR edge", places=None)
+@query(f"WITH {PLACE}, {PIP} SELECT latitude, longitude, pid FROM t WHERE n % 2 = 1 OR edge", places=None)
 def point_in_polygon_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.point_in_polygon(grid(spark), polygons(spark), _XY, "pid")
+    return spatial.point_in_polygon(places(spark, sf_dir), polygons(spark, sf_dir), _XY, "pid")
 
 
-@query(f"WITH {GRID}, {PIP} SELECT g.latitude, g.longitude, CASE WHEN pid IS NULL THEN NULL ELSE 'zone' || pid END AS name FROM grid g LEFT JOIN (SELECT * FROM t WHERE n % 2 = 1 OR edge) t ON t.latitude = g.latitude AND t.longitude = g.longitude", places=None)
+@query(f"WITH {PLACE}, {PIP} SELECT g.latitude, g.longitude, CASE WHEN pid IS NULL THEN NULL ELSE 'zone' || pid END AS name FROM place g LEFT JOIN (SELECT * FROM t WHERE n % 2 = 1 OR edge) t ON t.latitude = g.latitude AND t.longitude = g.longitude", places=None)
 def point_in_polygon_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.spatial_join(grid(spark), polygons(spark), _XY, "pid", ["name"])
+    return spatial.spatial_join(places(spark, sf_dir), polygons(spark, sf_dir), _XY, "pid", ["name"])
 
 
-@query(f"WITH {GRID}, {PIP} SELECT DISTINCT latitude, longitude FROM t WHERE n % 2 = 1 AND NOT edge", places=None)
+@query(f"WITH {PLACE}, {PIP} SELECT DISTINCT latitude, longitude FROM t WHERE n % 2 = 1 AND NOT edge", places=None)
 def point_in_polygon_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.within_union(grid(spark), polygons(spark), _XY, "pid")
+    return spatial.within_union(places(spark, sf_dir), polygons(spark, sf_dir), _XY, "pid")
 
 
-@query("SELECT * FROM (VALUES (2.0::DOUBLE, 34.0::DOUBLE, 3.2::DOUBLE, 34.9::DOUBLE)) t(min_x, min_y, max_x, max_y)")
+@query(f"{_LAYER} SELECT min(x1) AS min_x, min(y1) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM e")
 def total_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.total_bounds(polygons(spark), "pid")
+    return spatial.total_bounds(polygons(spark, sf_dir, "supplier"), "pid")
 
 
-@query("SELECT * FROM (VALUES (2::BIGINT, 3::BIGINT, 14::BIGINT, 2.0::DOUBLE, 34.0::DOUBLE, 3.2::DOUBLE, 34.9::DOUBLE)) t(n_polygons, n_rings, n_vertices, min_x, min_y, max_x, max_y)")
+@query(f"{_LAYER} SELECT count(DISTINCT pid) AS n_polygons, count(DISTINCT (pid, ring)) AS n_rings, count(*) AS n_vertices, min(x1) AS min_x, min(y1) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM e")
 def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.layer_summary(polygons(spark), "pid")
+    return spatial.layer_summary(polygons(spark, sf_dir, "supplier"), "pid")
 
 
-@query("SELECT * FROM (VALUES (1, 2.0::DOUBLE, 34.45::DOUBLE, 2.4::DOUBLE, 34.9::DOUBLE), (2, 2.2::DOUBLE, 34.45::DOUBLE, 3.2::DOUBLE, 34.8::DOUBLE)) t(pid, min_x, min_y, max_x, max_y)")
+@query(f"""{_LAYER}, v AS (SELECT pid, x1 AS x, y1 AS y FROM e WHERE y1 >= 34.45 UNION ALL SELECT pid, x1 + (x2 - x1) * (34.45::DOUBLE - y1) / (y2 - y1), 34.45::DOUBLE FROM e WHERE (y1 >= 34.45) <> (y2 >= 34.45))
+    SELECT pid, round(min(x), 6) AS min_x, round(min(y), 6) AS min_y, round(max(x), 6) AS max_x, round(max(y), 6) AS max_y FROM v GROUP BY 1""")
 def clip_north(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.bounds(spatial.north_of(polygons(spark), "pid", 34.45), "pid")
+    return spatial.bounds(spatial.north_of(polygons(spark, sf_dir, "supplier"), "pid", 34.45), "pid")
 
 
-@query(f"WITH {GRID} SELECT round(radians(longitude) * 6378137.0, 4) AS longitude, round(ln(tan(0.7853981633974483 + radians(latitude) / 2)) * 6378137.0, 4) AS latitude FROM grid", places=4)
+@query(f"WITH {DET} SELECT k, ln, round(radians(longitude) * 6378137.0, 4) AS longitude, round(ln(tan(0.7853981633974483 + radians(latitude) / 2)) * 6378137.0, 4) AS latitude FROM det", places=4)
 def reproject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.reproject(grid(spark), 4326, 3857).select("longitude", "latitude")
+    return spatial.reproject(detections(spark, sf_dir), 4326, 3857).select("k", "ln", "longitude", "latitude")
 
 
 CELLS = "cells AS (SELECT 'r' AS raster_id, r::INT AS row, c::INT AS col, CASE WHEN (r * 15 + c) % 17 = 0 THEN -9999 ELSE (r * 31 + c * 7) % 100 END::DOUBLE AS value FROM range(10) a(r), range(15) b(c))"
@@ -452,6 +483,16 @@ def cells(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return c, spark.createDataFrame(HEAD, "raster_id string, a double, b double, c double, d double, e double, f double, width int, height int, nodata double")
 
 
+#: A raster with a cell an order, forty to a row, that grows with the table.
+ORDER_CELLS = "cells AS (SELECT (o_orderkey // 40)::INT AS row, (o_orderkey % 40)::INT AS col, CASE WHEN o_custkey % 17 = 0 THEN -9999 ELSE o_custkey % 100 END::DOUBLE AS value FROM orders)"
+
+
+def order_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = _t(spark, sf_dir, "orders").selectExpr("'r' AS raster_id", "cast(o_orderkey div 40 AS int) AS row", "cast(o_orderkey % 40 AS int) AS col", "double(if(o_custkey % 17 = 0, -9999, o_custkey % 100)) AS value")
+    h = c.groupBy("raster_id").agg(F.expr("max(row) + 1").alias("height"))
+    return c, h.selectExpr("raster_id", "0.0375D AS a", "0D AS b", "2D AS c", "0D AS d", "-0.001D AS e", "35D AS f", "40 AS width", "height", "-9999D AS nodata")
+
+
 @query(f"""WITH {DET}, {CELLS}, p AS (SELECT k, ln, latitude, longitude, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM det)
     SELECT k, ln, CASE WHEN value <> -9999 THEN value END AS elevation FROM p LEFT JOIN cells USING (row, col)""")
 def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,32 +500,32 @@ def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.sample(detections(spark, sf_dir), c, h, "elevation").select("k", "ln", "elevation")
 
 
-@query(f"WITH {CELLS} SELECT row, col, round(2.0::DOUBLE + 0.1::DOUBLE * (col + 0.5), 6) AS longitude, round(35.0::DOUBLE - 0.1::DOUBLE * (row + 0.5), 6) AS latitude, value AS v FROM cells WHERE value <> -9999")
+@query(f"WITH {ORDER_CELLS} SELECT row, col, round(2.0::DOUBLE + 0.0375::DOUBLE * (col + 0.5), 6) AS longitude, round(35.0::DOUBLE - 0.001::DOUBLE * (row + 0.5), 6) AS latitude, value AS v FROM cells WHERE value <> -9999")
 def raster_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.to_points(*cells(spark), "v").drop("raster_id")
+    return raster.to_points(*order_cells(spark, sf_dir), "v").drop("raster_id")
 
 
-@query(f"WITH {CELLS} SELECT row, col, n_name AS name FROM cells LEFT JOIN nation ON value = n_nationkey")
+@query(f"WITH {ORDER_CELLS} SELECT row, col, n_name AS name FROM cells LEFT JOIN nation ON value = n_nationkey")
 def raster_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.recode(cells(spark)[0], _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name"), "id", "name").drop("raster_id")
+    return raster.recode(order_cells(spark, sf_dir)[0], _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name"), "id", "name").drop("raster_id")
 
 
-@query(f"WITH {CELLS} SELECT CAST(row // 3 AS BIGINT) AS row, CAST(col // 3 AS BIGINT) AS col, round(avg(value), 6) AS value FROM cells GROUP BY 1, 2")
+@query(f"WITH {ORDER_CELLS} SELECT CAST(row // 3 AS BIGINT) AS row, CAST(col // 3 AS BIGINT) AS col, round(avg(value), 6) AS value FROM cells GROUP BY 1, 2")
 def raster_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.downsample(cells(spark)[0], 3).drop("raster_id")
+    return raster.downsample(order_cells(spark, sf_dir)[0], 3).drop("raster_id")
 
 
-@query(f"WITH {CELLS} SELECT 15 AS width, 10 AS height, 2.0::DOUBLE AS \"left\", 35.0::DOUBLE AS top, 3.5::DOUBLE AS \"right\", 34.0::DOUBLE AS bottom, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM cells")
+@query(f"WITH {ORDER_CELLS} SELECT 40 AS width, (max(row) + 1)::INT AS height, 2.0::DOUBLE AS \"left\", 35.0::DOUBLE AS top, 3.5::DOUBLE AS \"right\", round(35.0 + -0.001::DOUBLE * (max(row) + 1), 6) AS bottom, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM cells")
 def raster_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.describe_raster(*cells(spark)).drop("raster_id")
+    return raster.describe_raster(*order_cells(spark, sf_dir)).drop("raster_id")
 
 
-_CENTRES = "grid AS (SELECT DISTINCT 35.0::DOUBLE + 0.0::DOUBLE * (col + 0.5) + -0.1::DOUBLE * (row + 0.5) AS latitude, 2.0::DOUBLE + 0.1::DOUBLE * (col + 0.5) + 0.0::DOUBLE * (row + 0.5) AS longitude, row, col, value FROM cells)"
+_CENTRES = "place AS (SELECT 35.0::DOUBLE + 0.0::DOUBLE * (col + 0.5) + -0.001::DOUBLE * (row + 0.5) AS latitude, 2.0::DOUBLE + 0.0375::DOUBLE * (col + 0.5) + 0.0::DOUBLE * (row + 0.5) AS longitude, row, col, value FROM cells)"
 
 
-@query(f"WITH {CELLS}, {_CENTRES}, {PIP}, i AS (SELECT DISTINCT latitude, longitude FROM t WHERE n % 2 = 1 OR edge), k AS (SELECT g.* FROM grid g JOIN i USING (latitude, longitude)) SELECT row - (SELECT min(row) FROM k) AS row, col - (SELECT min(col) FROM k) AS col, CASE WHEN value <> -9999 THEN value END AS value FROM k")
+@query(f"WITH {ORDER_CELLS}, {_CENTRES}, {PIP}, i AS (SELECT DISTINCT latitude, longitude FROM t WHERE n % 2 = 1 OR edge), k AS (SELECT g.* FROM place g JOIN i USING (latitude, longitude)) SELECT row - (SELECT min(row) FROM k) AS row, col - (SELECT min(col) FROM k) AS col, CASE WHEN value <> -9999 THEN value END AS value FROM k")
 def raster_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.clip(*cells(spark), polygons(spark), "pid")[0].drop("raster_id")
+    return raster.clip(*order_cells(spark, sf_dir), polygons(spark, sf_dir), "pid")[0].drop("raster_id")
 
 
 @query(f"""WITH {DET}, p AS (SELECT DISTINCT latitude, longitude, year FROM det), m AS (SELECT p.*, mo::INT AS mo, floor((longitude - 2.0::DOUBLE) / 0.1::DOUBLE)::INT AS col, floor((latitude - 35.0::DOUBLE) / -0.1::DOUBLE)::INT AS row FROM p, range(1, 13) r(mo) WHERE NOT (year = 1997 AND mo = 7)),
@@ -616,9 +657,11 @@ def bootstrap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap(feats(spark, sf_dir).select("id", "y"), 500, "id")
 
 
-@query("SELECT 411870::BIGINT AS majority, 138429::BIGINT AS minority, 550299::BIGINT AS \"all\"")
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS n, count(*) FILTER (WHERE l_returnflag <> 'R') AS m FROM lineitem), t AS (SELECT *, least(floor(greatest(n + m, ceil(n / 0.35::DOUBLE)) * (1 - 0.35::DOUBLE)), m)::BIGINT AS majority FROM c),
+    u AS (SELECT *, greatest(ceil(0.35::DOUBLE * greatest(ceil(n / 0.35::DOUBLE), n + majority)), n)::BIGINT AS minority FROM t) SELECT majority, minority, majority + minority AS "all" FROM u""")
 def resample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = resample.balance_sizes(49_560, 538_826, 0.3)
+    n, m = _t(spark, sf_dir, "lineitem").agg(F.count(F.expr("if(l_returnflag = 'R', 1, null)")), F.count(F.expr("if(l_returnflag <> 'R', 1, null)"))).first()
+    s = resample.balance_sizes(n, m, 0.35)
     return spark.createDataFrame([(s["majority"], s["minority"], s["majority"] + s["minority"])], "majority long, minority long, all long")
 
 
