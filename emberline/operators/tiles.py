@@ -1,4 +1,4 @@
-"""All pairs of two sets of vectors, in tiles: a task meets one block of rows of either side.
+"""Pairs of two sets of vectors, in tiles: a task meets one block of rows of either side.
 
 Inside a tile a matrix product gives squared distances and a bound on their error. They only say
 which pairs can matter; distances that are returned or compared come from differences, added
@@ -104,8 +104,6 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, key: s
     its own. ``mirrored``: both sides are the same rows, and each two blocks meet once. Rows
     whose vector is null or holds a null take no part.
     """
-    import pandas as pd
-
     left, right = whole(left, vector), whole(right, vector)
     parts, blocks = (max(4, -(-d.count() // rows)) for d in (left, right))
     pick = lambda d: d.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(extra).cast("double") if extra else F.lit(0.0)).alias("c"))
@@ -122,6 +120,13 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, key: s
         tile, n = part * blocks + block, parts * blocks
     both = l.withColumn("side", F.lit(0)).unionByName(r.withColumn("side", F.lit(1))).select(tile.cast("int").alias("tile"), "side", "k", "v", "c")
 
+    return meet(both, n, kernel, schema)
+
+
+def meet(both: DataFrame, tiles: int, kernel: Kernel, schema: str) -> DataFrame:
+    """The kernel's rows for each ``tile`` of rows (tile, side, k, v, c); a tile has a partition of its own."""
+    import pandas as pd
+
     def task(frames):
         got = [f for f in frames if len(f)]
         if not got:
@@ -132,15 +137,13 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, key: s
                 continue
             yield kernel(*[x for s in sides for x in (s["k"].to_numpy(), np.stack(s["v"].to_numpy()).astype(float), s["c"].to_numpy())])
 
-    return both.repartitionById(n, F.col("tile")).mapInPandas(task, schema)
+    return both.repartitionById(tiles, F.col("tile")).mapInPandas(task, schema)
 
 
-def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, rows: int = 20_000) -> DataFrame:
-    """(key, near, d): keys and distances of the k nearest rows of ``right``, ties by smaller key; rows with none are left out."""
+def _near_kernel(k: int, exclude_self: bool) -> Kernel:
+    """Kernel of a tile: the k nearest rows of the right side for each of the left."""
     import pandas as pd
 
-    kind = left.select(key).schema[0].dataType.simpleString()
-
     def kernel(ak, x, _, bk, y, __):
         most = k + exclude_self
         order = np.argsort(bk, kind="stable")
@@ -163,6 +166,25 @@ def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vecto
         near, far = (np.split(t, first[1:]) if len(first) else [] for t in (bk[c], d))
         return pd.DataFrame({"k": ak[r[first]], "near": pd.Series(near, dtype=object), "d": pd.Series(far, dtype=object)})
 
-    found = tiled(left, right, kernel, f"k {kind}, near array<{kind}>, d array<double>", key, vector, rows=rows)
+    return kernel
+
+
+def _best(found: DataFrame, k: int, key: str) -> DataFrame:
+    """(key, near, d) from partial lists (k, near, d)."""
     best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d", "near")))), 1, k)
     return found.groupBy("k").agg(best.alias("_best")).select(F.col("k").alias(key), F.col("_best.near").alias("near"), F.col("_best.d").alias("d"))
+
+
+def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, rows: int = 20_000) -> DataFrame:
+    """(key, near, d): keys and distances of the k nearest rows of ``right``, ties by smaller key; rows with none are left out.
+
+    Up to ``2 * rows`` rows of ``right`` meet all rows of ``left`` in tiles. More are cut into balls
+    (``balls.near_lists``), which gives the same lists and leaves out what cannot be near.
+    """
+    if whole(right, vector).limit(2 * rows + 1).count() > 2 * rows:
+        from . import balls
+
+        return balls.near_lists(left, right, k, key, vector, exclude_self, rows)
+    kind = left.select(key).schema[0].dataType.simpleString()
+    found = tiled(left, right, _near_kernel(k, exclude_self), f"k {kind}, near array<{kind}>, d array<double>", key, vector, rows=rows)
+    return _best(found, k, key)
