@@ -6,8 +6,9 @@
 3. It then visits every other ball whose centre is no farther than that bound and the ball's radius
    together, by the triangle inequality (with a margin for rounding). Partial lists are merged.
 
-On rows in clusters a row visits a few balls; on rows without any it visits most, which costs
-what all pairs cost. Centres and a radius a ball are all that the driver holds.
+On rows in clusters a row visits a few balls. On rows without any it would visit most; where one
+row in ``SHARE``, taken by a hash, says so, all pairs meet in the larger tiles of ``tiles``, which are cheaper then. The
+lists are the same either way. Centres and a radius a ball are all that the driver holds.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .tiles import _best, _near_kernel, exact, meet, squares, whole
+from .tiles import _best, _near_kernel, all_pairs, exact, meet, squares, whole
 
 #: Most centres; more rows make larger balls, in parts.
 CENTRES = 4096
+#: Rows of which one is asked how many balls it would visit, and the share of balls from which all pairs are cheaper.
+SHARE, DENSE = 16, 0.5
 
 
 def _met(lefts: DataFrame, rights: DataFrame, parts: dict[int, int], rows: int, k: int, exclude_self: bool, kind: str) -> DataFrame:
@@ -92,5 +95,9 @@ def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vecto
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "v": part["v"].to_numpy(), "ball": b.astype(np.int32)})
 
     bounded = asking.join(best, F.col("k") == F.col("_k"), "left").select("k", "v", "ball", "bound")
+    some = bounded.where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(SHARE)) == 0)
+    seen = some.mapInPandas(visits, f"k {kind}, v array<double>, ball int").count()
+    if seen > DENSE * some.count() * len(stats):
+        return all_pairs(left, right, k, key, vector, exclude_self, rows)
     more = staged(bounded.mapInPandas(visits, f"k {kind}, v array<double>, ball int"), "visits")
     return _best(own.unionByName(_met(more, rights, parts, rows, k, exclude_self, kind)), k, key)

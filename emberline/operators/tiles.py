@@ -185,6 +185,11 @@ def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vecto
         from . import balls
 
         return balls.near_lists(left, right, k, key, vector, exclude_self, rows)
+    return all_pairs(left, right, k, key, vector, exclude_self, rows)
+
+
+def all_pairs(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "features", exclude_self: bool = False, rows: int = 20_000) -> DataFrame:
+    """``near_lists`` from all pairs."""
     kind = left.select(key).schema[0].dataType.simpleString()
     found = tiled(left, right, _near_kernel(k, exclude_self), f"k {kind}, near array<{kind}>, d array<double>", key, vector, rows=rows)
     return _best(found, k, key)

@@ -25,15 +25,18 @@ def awkward():
 
 
 @pytest.mark.parametrize(("k", "itself"), [(1, True), (5, True), (5, False), (100, True)])
-def test_as_all_pairs(spark, awkward, k, itself):
+def test_as_all_pairs(spark, awkward, monkeypatch, k, itself):
+    monkeypatch.setattr(balls, "DENSE", 2.0)  # always by balls
     d = table(spark, awkward)
     assert lists(balls.near_lists(d, d, k, exclude_self=itself, rows=30)) == lists(tiles.near_lists(d, d, k, exclude_self=itself))
 
 
-def test_two_tables_and_choice(spark, awkward):
+def test_two_tables_and_choice(spark, awkward, monkeypatch):
     left, right = table(spark, awkward[::7], 10_000), table(spark, awkward)
     want = lists(tiles.near_lists(left, right, 3))
     assert lists(balls.near_lists(left, right, 3, rows=40)) == want == lists(tiles.near_lists(left, right, 3, rows=40))
+    monkeypatch.setattr(balls, "DENSE", -1.0)  # never by balls
+    assert lists(balls.near_lists(left, right, 3, rows=40)) == want
     assert lists(balls.near_lists(left, right.limit(0), 3)) == {} == lists(balls.near_lists(left.limit(0), right, 3, rows=40))
 
 
