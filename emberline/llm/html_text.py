@@ -39,6 +39,7 @@ HIDDEN = frozenset("head script style template noscript noembed noframes title m
 RAW = frozenset("script style xmp iframe noembed noframes noscript plaintext".split())
 RAW_REFERENCES = frozenset("title textarea".split())
 #: Kinds of input whose value is shown.
+HINTED_INPUT = frozenset(["", *"text search email url tel number password".split()])
 SHOWN_INPUT = frozenset(["", *"button submit reset text search email url tel number date time month week datetime-local".split()])
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body address article aside center dd details dialog div dt figcaption footer form header hgroup legend li main menu nav section summary tr caption option".split())
@@ -71,8 +72,46 @@ _NAME = re.compile(r"[ \t\n\f/]*([^ \t\n\f/>][^ \t\n\f/>=]*)?[ \t\n\f]*(=?)[ \t\
 _BARE = re.compile(r"[^ \t\n\f>]*")
 _COMMENT_END = re.compile(r"--!?>")
 _LONG_REFERENCE = re.compile(r"&#[0-9]{20,}")
-_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: What a declaration is made of: comments, strings, an escaped character, brackets, the signs that matter, the rest.
+_CSS = re.compile(r"""/\*.*?(?:\*/|$)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|\\.|[][(){};:]|[^][(){};:"'/\\]+|/""", re.S)
+# Fixed values of the style language: what display and visibility can be.
+_VALUES = {
+    "display": frozenset(
+        "none contents block inline flow flow-root flex grid table ruby math list-item inline-block inline-flex inline-grid inline-table table-row-group table-header-group table-footer-group table-row table-cell"
+        " table-column-group table-column table-caption ruby-base ruby-text ruby-base-container ruby-text-container run-in -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex".split()
+    ),
+    "visibility": frozenset("visible hidden collapse".split()),
+}
+_EVERYWHERE = frozenset("inherit initial unset revert revert-layer".split())
+
+
+def stated(style: str) -> dict[str, str]:
+    """Values of display and visibility that the declarations of a style attribute leave: the last valid one, important ones first."""
+    found: dict[str, tuple[bool, str]] = {}
+    part: list[str] = []
+    depth = 0
+    for token in (*_CSS.findall(style), ";"):
+        if token.startswith("/*"):
+            part.append(" ")
+            continue
+        if token in "([{":
+            depth += 1
+        elif token in ")]}":
+            depth = max(0, depth - 1)
+        elif token == ";" and not depth:
+            name, colon, value = "".join(part).partition(":")
+            name, value = name.strip().lower(), value.strip().lower()
+            important = re.search(r"!\s*important$", value)
+            value = value[: important.start()].strip() if important else value
+            if colon and name in _VALUES:
+                words = value.split()
+                valid = len(words) == 1 and value in _EVERYWHERE or words and len(words) <= (3 if name == "display" else 1) and all(w in _VALUES[name] for w in words) and (len(words) == 1 or "none" not in words)
+                if valid and (important or not found.get(name, (False, ""))[0]):
+                    found[name] = (bool(important), value)
+            part = []
+            continue
+        part.append(token)
+    return {name: value for name, (_, value) in found.items()}
 _NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})")
 
 
@@ -219,10 +258,12 @@ class TreeBuilder:
         if tag == "body" and self.count["body"]:
             return
         above = self.open[-1]
-        style = attributes.get("style", "")
-        hidden = tag in HIDDEN or tag in UNDRAWN.get(above.space, ()) or "hidden" in attributes or bool(style and _NONE.search(style)) or tag == "object" and "data" in attributes
-        stated = _VISIBILITY.search(style) if style else None
-        seen = stated[1].lower() == "visible" if stated else above.seen
+        style = stated(attributes["style"]) if attributes.get("style") else {}
+        display, visibility = style.get("display", "revert"), style.get("visibility", "inherit")
+        closed = above.tag == "details" and "open" not in above.attributes and (tag != "summary" or any(isinstance(c, Node) and c.tag == "summary" for c in above.children))
+        unshown = "hidden" in attributes or tag == "rp" or tag == "dialog" and "open" not in attributes
+        hidden = tag in HIDDEN or tag in UNDRAWN.get(above.space, ()) or closed or display == "none" or unshown and display.startswith("revert") or tag in ("progress", "meter") or tag == "object" and "data" in attributes
+        seen = visibility in ("visible", "initial") if visibility in ("visible", "initial", "hidden", "collapse") else above.seen
         space = above.space
         if space == "html":
             space = tag if tag in ("svg", "math") else "html"
@@ -248,6 +289,8 @@ class TreeBuilder:
     def _put(self, item: Node | str) -> None:
         """Adds a child to the open element; between the parts of a table, before the table."""
         parent = self.open[-1]
+        if isinstance(item, str) and parent.tag == "details" and "open" not in parent.attributes:
+            return  # of a closed one only the summary shows
         if parent.tag in PARTS and (isinstance(item, str) or item.tag not in CONTEXT) and (k := self._within({"table"}, HIDDEN)) is not None:
             self.open[k - 1].children.insert(-1, item)  # an open table is its parent's last child
         else:
@@ -459,8 +502,10 @@ def render_lines(root: Node, kept: bool = False) -> list[str]:
             if item.seen:
                 out.text(item.attributes.get("alt", ""))
         elif tag == "input":
-            if item.seen and item.attributes.get("type", "").lower() in SHOWN_INPUT and item.attributes.get("value"):
-                out.text(f" {item.attributes['value']} ")
+            kind = item.attributes.get("type", "").lower()
+            shown = item.attributes.get("value") if kind in SHOWN_INPUT else None
+            if item.seen and (shown := shown or (item.attributes.get("placeholder") if kind in HINTED_INPUT else None)):
+                out.text(f" {shown} ")
         elif tag == "select":
             if kept:
                 out.kept(" ".join(_choices(item)))
@@ -493,6 +538,8 @@ def render_lines(root: Node, kept: bool = False) -> list[str]:
             down(item, kept)
         elif tag in ("pre", "textarea", "listing", "xmp", "plaintext"):
             out.line(tag != "textarea")
+            if tag == "textarea" and item.seen and not any(item.children):
+                out.text(item.attributes.get("placeholder", ""))
             if item.children and isinstance(item.children[0], str):
                 item.children[0] = item.children[0].lstrip("\n")
             if item.children and isinstance(item.children[-1], str):
