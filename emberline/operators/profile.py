@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.expr import MISSING_TEXT, parse_date, percent_text, season, season_order
+from .quantiles import quantiles
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -72,10 +73,9 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         "mean": F.avg,
         "std": F.stddev_samp,
         "min": lambda c: F.min(c).cast("double"),
-        "q": lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))),
         "max": lambda c: F.max(c).cast("double"),
     }
-    got = per_column(df, columns, measures)
+    got = per_column(df, columns, measures).join(quantiles(df, columns, [0.25, 0.5, 0.75]), "column_name")
     return got.select("column_name", "n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
@@ -114,7 +114,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 def fences(df: DataFrame, column: str, factor: float = 1.5, by: list[str] | None = None) -> DataFrame:
     """Quartiles and the outlier fences below and above them."""
-    got = df.groupBy(*(by or [])).agg(*[F.percentile(F.col(column).cast("double"), F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    got = quantiles(df, [column], [0.25, 0.5, 0.75], by).select(*(by or []), *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "q2", "q3"))])
     return got.withColumn("low", F.col("q1") - factor * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
 
 
@@ -126,8 +126,7 @@ def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
 
 def iqr_outlier_share(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Percentage of outliers by column; NULL rows count in the denominator."""
-    q = lambda p: lambda c: F.percentile(F.col(c).cast("double"), F.lit(p))
-    quart = per_column(df, columns, {"q1": q(0.25), "q3": q(0.75)})
+    quart = quantiles(df, columns, [0.25, 0.75]).select("column_name", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*")
     low, high = F.expr(f"q1 - {factor} * (q3 - q1)"), F.expr(f"q3 + {factor} * (q3 - q1)")
     out = F.coalesce((F.col("v") < low) | (F.col("v") > high), F.lit(False))

@@ -86,7 +86,7 @@ def table(spark, tree):
 
 
 @pytest.mark.parametrize(("kind", "n", "m", "leaf", "small"), [
-    ("any", 200, 5, 1000, 1000), ("bushy", 300, 4, 1000, 1000), ("blobs", 300, 6, 60, 1000), ("chain", 120, 3, 30, 0), ("star", 150, 3, 40, 1000), ("ties", 120, 4, 1000, 1000), ("blobs", 90, 5, 20, 0),
+    ("any", 200, 5, 1000, 1000), ("blobs", 300, 6, 80, 1000), ("chain", 120, 3, 60, 0), ("star", 150, 3, 80, 1000), ("ties", 120, 4, 1000, 1000),
 ])
 def test_labels_of_random_trees(spark, kind, n, m, leaf, small):
     rng = random.Random(f"{kind}{n}{m}")
