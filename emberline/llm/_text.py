@@ -137,3 +137,24 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     for i in range(width):
         acc += words[i : n - width + 1 + i] * _COEF[i % 5] ^ np.uint64(i // 5)
     return np.unique(mix(acc))
+
+
+#: Elements of a block, code points of a chunk.
+_BLOCK, _CHUNK = 64, 4096
+
+
+def blocks_sql(items: str) -> str:
+    """SQL for the array ``items`` as blocks of 64 elements; adding to an array copies it, so long ones are built by block."""
+    return f"transform(sequence(0, cast((size({items}) - 1) / {_BLOCK} as int)), b -> slice({items}, b * {_BLOCK} + 1, {_BLOCK}))"
+
+
+def chunks_sql(text: str) -> str:
+    """SQL for ``text`` in chunks that ``cut_sql`` cuts: a substring counts from the start of its text, however long."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{_CHUNK}}}', 0)"
+
+
+def cut_sql(chunks: str, low: str, high: str) -> str:
+    """SQL for the code points from ``low`` to ``high`` (exclusive) of a text in chunks."""
+    part = f"substring({chunks}[c], greatest({low} - c * {_CHUNK}, 0) + 1, {high} - greatest({low}, c * {_CHUNK}))"
+    span = f"sequence(cast(floor({low} / {_CHUNK}) as int), cast(floor(({high} - 1) / {_CHUNK}) as int))"
+    return f"if({low} >= {high}, '', array_join(transform({span}, c -> {part}), ''))"
