@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import pick
+from ._text import blocks_sql, chunks_sql, cut_sql
 
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
@@ -122,14 +123,20 @@ def unescape(sql: str) -> str:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Adds ``formatted`` and ``loss_mask`` (start and end, in code points, of each assistant text) from ``turns``."""
+    """Adds ``formatted`` and ``loss_mask`` (start and end, in code points, of each assistant text) from ``turns``.
+
+    Null roles and texts are empty; time grows with the number of turns and the length of their texts.
+    """
     d = turns.withColumn(
         "_p", F.expr(f"transform(turns, t -> struct(coalesce(t.role, '') as role, concat('{START}', {escape("coalesce(t.role, '')")}, '{MIDDLE}') as head, {escape("coalesce(t.text, '')")} as body))")
     )
     d = d.withColumn("formatted", F.expr(f"array_join(flatten(transform(_p, t -> array(t.head, t.body, '{END}'))), '')"))
-    mask = f"""aggregate(_p, struct(0 as at, cast(array() as array<struct<s:int,e:int>>) as out), (a, t) -> struct(
-        a.at + length(t.head) + length(t.body) + {len(END)} as at,
+    size = f"length(t.head) + length(t.body) + {len(END)}"
+    starts = f"aggregate(bs, array(0), (a, b) -> concat(a, array(a[size(a) - 1] + aggregate(b, 0, (n, t) -> n + {size}))))"
+    block = f"""aggregate(b, struct(at as at, cast(array() as array<struct<s:int,e:int>>) as out), (a, t) -> struct(
+        a.at + {size} as at,
         if(t.role = 'assistant', concat(a.out, array(struct(a.at + length(t.head) as s, a.at + length(t.head) + length(t.body) as e))), a.out) as out), a -> a.out)"""
+    mask = f"transform(array({blocks_sql('_p')}), bs -> flatten(zip_with(bs, slice({starts}, 1, size(bs)), (b, at) -> {block})))[0]"
     return d.withColumn("loss_mask", F.expr(mask)).drop("_p")
 
 
@@ -138,7 +145,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parts = f"filter(split(formatted, {_quoted(END.replace('|', chr(92) + '|'))}), p -> p <> '')"
     d = formatted.withColumn("_s", F.expr(f"transform({parts}, p -> split(substring(p, {len(START) + 1}), {_quoted(MIDDLE.replace('|', chr(92) + '|'))}))"))
     d = d.withColumn("read_turns", F.expr(f"transform(_s, p -> struct({unescape('p[0]')} as role, {unescape('p[1]')} as text))"))
-    loss = f"array_join(transform(loss_mask, m -> {unescape('substring(formatted, m.s + 1, m.e - m.s)')}), '')"
+    loss = f"""transform(array(struct({chunks_sql('formatted')} as t, loss_mask as masks)), v ->
+        array_join(transform(v.masks, m -> {unescape(cut_sql("v.t", "m.s", "m.e"))}), ''))[0]"""
     return d.withColumn("loss_text", F.expr(loss)).drop("_s")
 
 
@@ -173,11 +181,13 @@ def chat_format(rows: DataFrame) -> DataFrame:
     """``digest`` of all conversations of ``rows`` plus conversation -1, whose two texts hold control strings.
 
     An empty table gives conversation -1 alone; rows that already have conv_id -1 join it;
-    other columns are ignored.
+    other columns are ignored. conv_id may be of any type that -1 can be cast to, turn of any type
+    that 0 and 1 can, strings included.
     """
     spark = rows.sparkSession
     d = pick(rows, "conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = probe.select(*[F.col(c).cast(d.schema[c].dataType) for c in d.columns])
     return digest(format_turns(conversations(d.unionByName(probe))))
 
 
