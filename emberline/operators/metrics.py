@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance, squared_distance
+from .pareto import SMALL, undominated
 from .resample import sample_n, stratified_sample
 from .tiles import whole
 
@@ -159,10 +160,16 @@ def noise_summary(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     )
 
 
-def pareto_front(results: DataFrame, directions: dict[str, str]) -> DataFrame:
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def pareto_front(results: DataFrame, directions: dict[str, str], small: int = SMALL) -> DataFrame:
     """Rows that no other row dominates: at least as good in all metrics and better in one.
 
-    A NULL metric is never worse and never better; equal rows are all kept.
+    A NULL metric is never worse and never better; equal rows are all kept, NaN counts as the
+    largest number. An empty table gives no rows; other columns stay. See ``pareto``: fronts of at
+    most ``small`` rows are broadcast; beyond, rows meet those of cells that can dominate them.
     """
     missing = [m for m in directions if m not in results.columns]
     if missing:
@@ -170,14 +177,25 @@ def pareto_front(results: DataFrame, directions: dict[str, str]) -> DataFrame:
     bad = [d for d in directions.values() if d not in ("max", "min")]
     if bad:
         raise ValueError(f"unknown directions {bad}")
-    rows = results.select(*[F.col(m).alias(f"_o_{m}") for m in directions]).distinct()
-    sign = lambda a, b, d: (a > b) if d == "max" else (a < b)
-    not_worse, better = F.lit(True), F.lit(False)
-    for m, d in directions.items():
-        mine, other = F.col(m), F.col(f"_o_{m}")
-        not_worse = not_worse & F.coalesce(~sign(mine, other, d), F.lit(True))
-        better = better | F.coalesce(sign(other, mine, d), F.lit(False))
-    return results.join(rows, not_worse & better, "left_anti")
+    # Rows by which metrics they hold: two rows are compared on those that both hold.
+    held = F.expr("+".join(f"if({_name(m)} is null, 0, {1 << i})" for i, m in enumerate(directions)) or "0")
+    kinds = sorted(r[0] for r in results.select(held.alias("held")).distinct().collect())  # at most 2 to the number of metrics
+    names = lambda k: [m for i, m in enumerate(directions) if k >> i & 1]
+    out = None
+    for kind in kinds:
+        kept = results.where(held == kind)
+        for other in kinds:
+            shared = names(kind & other)
+            if shared:
+                columns = [F.col(_name(m)).alias(f"_v{i}") for i, m in enumerate(shared)]
+                ways = {f"_v{i}": directions[m] for i, m in enumerate(shared)}
+                mine = results.where(held == kind).select(*columns)
+                rivals = mine if kind == other else results.where(held == other).select(*columns)
+                good = undominated(mine, rivals, ways, small)
+                same = [kept[_name(m)] == good[f"_v{i}"] for i, m in enumerate(shared)]
+                kept = kept.join(good, same, "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+    return results.limit(0) if out is None else out
 
 
 def filter_noise(results: DataFrame, max_noise_ratio: float) -> DataFrame:
