@@ -168,8 +168,9 @@ def pareto_front(results: DataFrame, directions: dict[str, str], small: int = SM
     """Rows that no other row dominates: at least as good in all metrics and better in one.
 
     A NULL metric is never worse and never better; equal rows are all kept, NaN counts as the
-    largest number. An empty table gives no rows; other columns stay. See ``pareto``: fronts of at
-    most ``small`` rows are broadcast; beyond, rows meet those of cells that can dominate them.
+    largest number. An empty table gives no rows; other columns stay. Up to ``small``
+    distinct rows are broadcast; beyond, see ``pareto``: so are fronts of as many rows, and rows
+    meet those of cells that can dominate them.
     """
     missing = [m for m in directions if m not in results.columns]
     if missing:
@@ -177,6 +178,14 @@ def pareto_front(results: DataFrame, directions: dict[str, str], small: int = SM
     bad = [d for d in directions.values() if d not in ("max", "min")]
     if bad:
         raise ValueError(f"unknown directions {bad}")
+    rows = results.select(*[F.col(_name(m)).alias(f"_o{i}") for i, m in enumerate(directions)]).distinct()
+    if rows.count() <= small:
+        not_worse, better = F.lit(True), F.lit(False)
+        for i, (m, way) in enumerate(directions.items()):
+            mine, other = F.col(_name(m)), F.col(f"_o{i}")
+            up, down = (other > mine, mine > other) if way == "max" else (other < mine, mine < other)
+            not_worse, better = not_worse & F.coalesce(~down, F.lit(True)), better | F.coalesce(up, F.lit(False))
+        return results.join(F.broadcast(rows), not_worse & better, "left_anti")
     # Rows by which metrics they hold: two rows are compared on those that both hold.
     held = F.expr("+".join(f"if({_name(m)} is null, 0, {1 << i})" for i, m in enumerate(directions)) or "0")
     kinds = sorted(r[0] for r in results.select(held.alias("held")).distinct().collect())  # at most 2 to the number of metrics

@@ -24,7 +24,7 @@ def _brute(rows, ways):
 
 def _check(spark, rows, ways, types="double"):
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, " + ", ".join(f"`m.{i}` {types}" for i in range(len(ways)))).repartition(4)
-    for small in (0, 1000):
+    for small in (0, 30, 1000):
         got = metrics.pareto_front(d, {f"m.{i}": w for i, w in enumerate(ways)}, small)
         assert got.columns == d.columns
         assert sorted(r.id for r in got.collect()) == _brute(rows, ways)
