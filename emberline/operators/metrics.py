@@ -5,14 +5,14 @@ from __future__ import annotations
 import secrets
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance, squared_distance
+from ..session import staged
 from .pareto import SMALL, undominated
 from .resample import sample_n, stratified_sample
-from .tiles import whole
+from .tiles import distance_sums, whole
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -99,38 +99,24 @@ def wcss(df: DataFrame, cluster: str = "cluster", vector: str = "features") -> D
 
 
 def silhouette(df: DataFrame, key: str = "id", cluster: str = "cluster", vector: str = "features", include_noise: bool = True, blocks: int = 8) -> DataFrame:
-    """Mean Euclidean silhouette of all rows given (draw a sample first); a singleton counts 0.
+    """Mean Euclidean silhouette of all rows given (draw a sample first); a singleton or a row without cluster counts 0.
 
-    Block products: a task meets one block of rows with another and returns the sums of distances
-    by row and cluster, so no task holds more than two blocks. Rows whose vector is null or holds a
-    null take no part.
+    Equal vectors of a cluster are one point that counts for all of them. Each two blocks of points meet in one
+    task (``tiles.distance_sums``), which returns sums of distances by point and cluster for both; it holds no
+    more than two blocks. Rows whose vector is null or holds a null take no part.
     """
-    d = whole(df if include_noise else df.where(F.col(cluster) != -1), vector)
-    n = max(d.count(), 1)
-    blocks = max(blocks, -(-n // 4000))
-    kind = dict(d.dtypes)
-    base = d.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    left = base.select("k", "c", "v", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(0).alias("side"))
-    right = base.select("k", "c", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))
-
-    def task(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"k": a["k"][:0], "c": a["c"][:0], "other": b["c"][:0], "total": np.empty(0)})
-        x, y = (np.stack(t["v"].to_numpy()).astype(float) for t in (a, b))
-        names, code = np.unique(b["c"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(b), len(names)))
-        member[np.arange(len(b)), code] = 1
-        sums = np.concatenate([np.sqrt(((x[s : s + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ member for s in range(0, len(x), 64)])
-        return pd.DataFrame({"k": np.repeat(a["k"].to_numpy(), len(names)), "c": np.repeat(a["c"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "total": sums.ravel()})
-
-    sums = left.unionByName(right).groupBy("i", "j").applyInPandas(task, f"k {kind[key]}, c {kind[cluster]}, other {kind[cluster]}, total double")
-    size = d.groupBy(F.col(cluster).alias("other")).agg(F.count("*").alias("n"))
-    mean = sums.groupBy("k", "c", "other").agg(F.sum("total").alias("total")).join(size, "other")
+    d = whole(df if include_noise else df.where(F.col(cluster) != -1), vector).select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    points = staged(d.groupBy("c", "v").agg(F.count("*").alias("w")).select(F.monotonically_increasing_id().alias("k"), "c", "v", "w"), "points")
+    kind = dict(points.dtypes)["c"]
+    clustered = points.where("c is not null")
+    size = clustered.groupBy(F.col("c").alias("other")).agg(F.sum("w").alias("n"))
+    mean = distance_sums(clustered, kind, blocks).groupBy("k", "c", "other").agg(F.sum("total").alias("total"), F.max("w").alias("w")).join(size, "other")
     own = F.max(F.when(F.col("c") == F.col("other"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)))).alias("a")
     far = F.min(F.when(F.col("c") != F.col("other"), F.col("total") / F.col("n"))).alias("b")
-    s = mean.groupBy("k").agg(own, far).select(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
-    return s.agg(F.when(F.count("*") > 0, F.avg(F.coalesce("s", F.lit(0.0)))).alias("silhouette"))
+    s = mean.groupBy("k").agg(own, far, F.max("w").alias("w")).select("w", F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("s"))
+    rows = points.agg(F.sum("w").alias("n"))
+    total = s.agg(F.sum(F.col("w") * F.coalesce("s", F.lit(0.0))).alias("s"))
+    return rows.crossJoin(total).select((F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("silhouette"))
 
 
 def sampled_silhouette(df: DataFrame, key: str = "id", cluster: str = "cluster", vector: str = "features", size: int = 50_000, repeats: int = 5, seed: int = 42, include_noise: bool = True, sampling: str = "stratified") -> dict[str, float | None]:

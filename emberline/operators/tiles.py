@@ -193,3 +193,118 @@ def all_pairs(left: DataFrame, right: DataFrame, k: int, key: str = "id", vector
     kind = left.select(key).schema[0].dataType.simpleString()
     found = tiled(left, right, _near_kernel(k, exclude_self), f"k {kind}, near array<{kind}>, d array<double>", key, vector, rows=rows)
     return _best(found, k, key)
+
+
+#: Squared distances below this many times the error of their product are taken again from differences.
+CLOSE = 1e6
+
+
+def _distances(x: np.ndarray, y: np.ndarray, aa: np.ndarray, bb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of some rows to some others by a product, the close ones and those that overflow from differences."""
+    error = float(8 * (x.shape[1] + 8) * np.finfo(float).eps * (aa.max() + bb.max()))
+    if not np.isfinite(error):
+        return exact(np.repeat(x, len(y), axis=0), np.tile(y, (len(x), 1))).reshape(len(x), len(y))
+    sq = a @ b
+    if sq.min() < CLOSE * error:
+        r, c = np.nonzero(sq < CLOSE * error)
+        sq[r, c] = exact(x[r], y[c]) ** 2
+    return np.sqrt(sq, out=sq)
+
+
+def _runs(code: np.ndarray, at: int, to: int) -> list[tuple[int, int, int]]:
+    """(code, first, end) of the runs of equal codes in a stretch, counted from its start."""
+    first = np.flatnonzero(np.r_[True, code[at + 1 : to] != code[at : to - 1]])
+    return list(zip(code[at + first].tolist(), first.tolist(), [*first[1:].tolist(), to - at], strict=True))
+
+
+def cluster_sums(x: np.ndarray, cx: np.ndarray, wx: np.ndarray, y: np.ndarray, cy: np.ndarray, wy: np.ndarray, both: bool, step: tuple[int, int] = (128, 2048)) -> Iterator[tuple[bool, np.ndarray, int, np.ndarray]]:
+    """(of the left, rows, cluster, sums): weighted sums of distances from rows of one side to a cluster of the other.
+
+    Rows come in the order of their clusters ``cx`` and ``cy``. ``both``: sums of the right side's rows come as well.
+    """
+    with np.errstate(all="ignore"):
+        fine = np.isfinite(y).all(axis=1)
+        centre = y[fine].mean(axis=0) if fine.any() else np.zeros(y.shape[1])
+        p, q = x - centre, y - centre
+        aa, bb = (p * p).sum(axis=1), (q * q).sum(axis=1)
+        p, q = np.column_stack([-2 * p, aa, np.ones(len(p))]), np.column_stack([q, np.ones(len(q)), bb]).T.copy()
+        waiting: dict[int, np.ndarray] = {}
+        stretches = [(s, min(s + step[1], len(y)), _runs(cy, s, min(s + step[1], len(y)))) for s in range(0, len(y), step[1])]
+        for at in range(0, len(x), step[0]):
+            to = min(at + step[0], len(x))
+            mine, left = _runs(cx, at, to), {}
+            for s, e, theirs in stretches:
+                d = _distances(x[at:to], y[s:e], aa[at:to], bb[s:e], p[at:to], q[:, s:e])
+                for c, i, j in theirs:
+                    got = d[:, i:j] @ wy[s + i : s + j]
+                    left[c] = left[c] + got if c in left else got
+                if both:
+                    for c, i, j in mine:
+                        if c not in waiting:
+                            waiting[c] = np.zeros(len(y))
+                        waiting[c][s:e] += wx[at + i : at + j] @ d[i:j]
+            rows = np.arange(at, to)
+            for c, sums in left.items():
+                yield True, rows, c, sums
+            for c in [c for c in waiting if to == len(x) or c != cx[to]]:
+                yield False, np.arange(len(y)), c, waiting.pop(c)
+
+
+def distance_sums(points: DataFrame, kind: str, blocks: int = 8, rows: int = 50_000) -> DataFrame:
+    """(k, c, w, other, total): for points (k, c, v, w), the sum over the points of each cluster of w times the distance.
+
+    Points are dealt into blocks of about ``rows`` by a hash, at least ``blocks``; each two blocks meet once, in a
+    partition of their own. A point comes with one row for each block and cluster in it.
+    """
+    import pyarrow as pa
+
+    blocks = max(blocks, -(-points.count() // rows))
+    mine, other = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    dealt = points.withColumn("mine", mine).withColumn("other", other).select((high * (high + 1) / 2 + low).cast("int").alias("tile"), side.alias("side"), "k", "c", "w", "v")
+
+    def task(batches):
+        parts: dict[int, list] = {}
+        for batch in batches:
+            if batch.num_rows:
+                where = batch.column("side").to_numpy()
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                k, c, w = batch.column("k").to_numpy(), batch.column("c"), batch.column("w").to_numpy()
+                for s in np.unique(where):
+                    at = np.flatnonzero(where == s)
+                    parts.setdefault(int(s), []).append((k[at], c.take(pa.array(at)), w[at], v[at]))
+
+        def joined(s):
+            k, c, w, v = zip(*parts.pop(s), strict=True)
+            c = pa.chunked_array(c).combine_chunks().dictionary_encode()
+            code = c.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            return np.concatenate(k)[order], c.dictionary, code[order], np.concatenate(w)[order].astype(float), np.concatenate(v)[order]
+
+        if 2 in parts:
+            l = r = joined(2)
+            both = False
+        elif 0 in parts and 1 in parts:
+            l, r, both = joined(0), joined(1), True
+        else:
+            return
+        held, n = [], 0
+
+        def frame():
+            k, c, w, o, t = zip(*held, strict=True)
+            columns = [pa.array(np.concatenate(k)), pa.concat_arrays(c), pa.array(np.concatenate(w).astype(np.int64)), pa.concat_arrays(o), pa.array(np.concatenate(t))]
+            return pa.RecordBatch.from_arrays(columns, ["k", "c", "w", "other", "total"])
+
+        for of_left, at, c, sums in cluster_sums(l[4], l[2], l[3], r[4], r[2], r[3], both):
+            (k, names, code, w, _), (_, others, _, _, _) = (l, r) if of_left else (r, l)
+            held.append((k[at], names.take(pa.array(code[at])), w[at], others.take(pa.array(np.full(len(at), c))), sums))
+            n += len(at)
+            if n >= 50_000:
+                yield frame()
+                held.clear()
+                n = 0
+        if held:
+            yield frame()
+
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, F.col("tile")).drop("tile").mapInArrow(task, f"k long, c {kind}, w long, other {kind}, total double")
