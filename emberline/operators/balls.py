@@ -25,6 +25,8 @@ from .tiles import _best, _near_kernel, all_pairs, exact, meet, squares, whole
 CENTRES = 4096
 #: Rows of which one is asked how many balls it would visit, and the share of balls from which all pairs are cheaper.
 SHARE, DENSE = 16, 0.5
+#: Places of a matrix of rows and balls, and rows that a task gives at once.
+PIECE, GIVEN = 1_000_000, 10_000
 
 
 def _met(lefts: DataFrame, rights: DataFrame, parts: dict[int, int], rows: int, k: int, exclude_self: bool, kind: str) -> DataFrame:
@@ -78,25 +80,35 @@ def near_lists(left: DataFrame, right: DataFrame, k: int, key: str = "id", vecto
     own = staged(_met(asking.select("k", "v", "ball"), rights, parts, rows, k, exclude_self, kind), "own")
     best = _best(own, k, "k").select(F.col("k").alias("_k"), F.when(F.size("d") >= k, F.element_at("d", -1)).alias("bound"))
 
-    def visits(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            x, ball = np.stack(f["v"].to_numpy()).astype(float), f["ball"].to_numpy()
-            reach = f["bound"].fillna(np.inf).to_numpy()[:, None] + radius[None, :]
-            for at, sq, error in squares(x, centres):
-                mine = slice(at, at + len(sq))
-                near = np.sqrt(np.maximum(sq - error, 0)) <= reach[mine] * (1 + 1e-9)
+    def near_balls(f):
+        """(first row, balls to visit) of some rows of a frame at a time: a matrix of at most ``PIECE`` places."""
+        x, ball = np.stack(f["v"].to_numpy()).astype(float), f["ball"].to_numpy()
+        bound = f["bound"].fillna(np.inf).to_numpy()
+        piece = max(1, PIECE // len(radius))
+        for start in range(0, len(x), piece):
+            for at, sq, error in squares(x[start : start + piece], centres):
+                mine = slice(start + at, start + at + len(sq))
+                near = np.sqrt(np.maximum(sq - error, 0)) <= (bound[mine, None] + radius[None, :]) * (1 + 1e-9)
                 near |= np.isinf(sq) | np.isinf(radius)[None, :]
                 near &= radius[None, :] >= 0
                 near[np.arange(len(sq)), ball[mine]] = False
+                yield start + at, near
+
+    def visits(frames):
+        for f in frames:
+            for at, near in near_balls(f) if len(f) else ():
                 r, b = np.nonzero(near)
-                part = f.iloc[at + r]
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "v": part["v"].to_numpy(), "ball": b.astype(np.int32)})
+                for s in range(0, len(r), GIVEN):
+                    part = f.iloc[at + r[s : s + GIVEN]]
+                    yield pd.DataFrame({"k": part["k"].to_numpy(), "v": part["v"].to_numpy(), "ball": b[s : s + GIVEN].astype(np.int32)})
+
+    def counted(frames):
+        for f in frames:
+            yield pd.DataFrame({"n": [sum(int(near.sum()) for _, near in near_balls(f))] if len(f) else []}, dtype="int64")
 
     bounded = asking.join(best, F.col("k") == F.col("_k"), "left").select("k", "v", "ball", "bound")
     some = bounded.where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(SHARE)) == 0)
-    seen = some.mapInPandas(visits, f"k {kind}, v array<double>, ball int").count()
+    seen = some.mapInPandas(counted, "n long").agg(F.sum("n")).first()[0] or 0
     if seen > DENSE * some.count() * len(stats):
         return all_pairs(left, right, k, key, vector, exclude_self, rows)
     more = staged(bounded.mapInPandas(visits, f"k {kind}, v array<double>, ball int"), "visits")
