@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pairs whose squared distances a task holds at once.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,17 +125,17 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, key: s
 
 def meet(both: DataFrame, tiles: int, kernel: Kernel, schema: str) -> DataFrame:
     """The kernel's rows for each ``tile`` of rows (tile, side, k, v, c); a tile has a partition of its own."""
-    import pandas as pd
-
     def task(frames):
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        for _, met in pd.concat(got, ignore_index=True).groupby("tile"):
-            sides = [met[met["side"] == s] for s in (0, 1)]
-            if any(s.empty for s in sides):
-                continue
-            yield kernel(*[x for s in sides for x in (s["k"].to_numpy(), np.stack(s["v"].to_numpy()).astype(float), s["c"].to_numpy())])
+        held: dict[tuple[int, int], list] = {}
+        for f in frames:  # vectors are kept as one matrix a frame, not as an object a row
+            for at, part in f.groupby(["tile", "side"]):
+                held.setdefault(at, []).append((part["k"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float), part["c"].to_numpy()))
+        for t in sorted({t for t, _ in held}):
+            sides = [held.pop((t, s), None) for s in (0, 1)]
+            if all(sides):
+                met = [np.concatenate(x) for s in sides for x in zip(*s, strict=True)]
+                del sides
+                yield kernel(*met)
 
     return both.repartitionById(tiles, F.col("tile")).mapInPandas(task, schema)
 
