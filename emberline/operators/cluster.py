@@ -33,15 +33,40 @@ def assign(df: DataFrame, centres: list[list[float]], key: str = "id", vector: s
 
 
 def kmeans_step(df: DataFrame, centres: list[list[float]], key: str = "id", vector: str = "features") -> list[list[float]]:
-    """Means of the rows nearest to each centre; an empty cluster takes the row that is farthest from its own."""
-    a = assign(df, centres, key, vector)
-    sums = a.select("cluster", F.posexplode(vector).alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("m")).collect()  # k x dimensions rows
+    """Means of the rows nearest to each centre; an empty cluster takes the row that is farthest from its own.
+
+    A partition gives k sums and counts, so what is shuffled does not grow with the rows.
+    """
+    import pyarrow as pa
+
+    at = np.array(centres, float)
+
+    def task(batches):
+        n, sums = np.zeros(len(at), np.int64), np.zeros(at.shape)
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, at.shape[1])
+                down = np.ascontiguousarray(x.T)
+                far = np.zeros((len(at), len(x)))
+                for c, centre in enumerate(at):  # component by component, as ``assign`` adds them
+                    for i, m in enumerate(centre):
+                        apart = down[i] - m
+                        far[c] += apart * apart
+                label = np.where(np.isnan(far), np.inf, far).argmin(axis=0)
+                for c in np.unique(label):
+                    n[c] += (label == c).sum()
+                    sums[c] += x[label == c].sum(axis=0)
+        got = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int32)), pa.array(n[got]), pa.array(sums[got].tolist(), pa.list_(pa.float64()))], ["cluster", "n", "sums"])
+
+    parts = whole(df, vector).select(F.col(vector).cast("array<double>")).mapInArrow(task, "cluster int, n long, sums array<double>")
+    means = parts.select("cluster", "n", F.posexplode("sums").alias("i", "v")).groupBy("cluster", "i").agg((F.sum("v") / F.sum("n")).alias("m")).collect()  # k x dimensions rows
     new = [[None] * len(centres[0]) for _ in centres]
-    for r in sums:
+    for r in means:
         new[r["cluster"]][r["i"]] = r["m"]
     empty = [k for k, c in enumerate(new) if c[0] is None]
     if empty:
-        for k, r in zip(empty, a.orderBy(F.desc("d"), key).limit(len(empty)).collect(), strict=False):
+        for k, r in zip(empty, assign(whole(df, vector), centres, key, vector).orderBy(F.desc("d"), key).limit(len(empty)).collect(), strict=False):
             new[k] = list(r[vector])
     return [c if c[0] is not None else centres[k] for k, c in enumerate(new)]
 

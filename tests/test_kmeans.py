@@ -57,3 +57,17 @@ def test_silhouette_leaves_out_null_vectors(spark):
     make = lambda r: spark.createDataFrame(r, "id long, cluster int, features array<double>")
     got, want = (metrics.silhouette(make(r)).first() for r in (rows + more, rows))
     assert tuple(got) == tuple(want)
+
+
+def test_step_shuffles_sums_and_takes_null_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 3))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(900, None), (901, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>").repartition(3)
+    centres = [[1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], [1.0, 0.0, 0.0]]  # the third ties with the first and stays empty
+    label = ((x[:, None] - np.array(centres)[None]) ** 2).sum(axis=2).argmin(axis=1)
+    far = ((x[:, None] - np.array(centres)[None]) ** 2).sum(axis=2).min(axis=1)
+    got = cluster.kmeans_step(df, centres)
+    for c in (0, 1):
+        assert np.allclose(got[c], x[label == c].mean(axis=0), rtol=1e-12)
+    assert got[2] == x[far.argmax()].tolist()
