@@ -62,7 +62,7 @@ def _kth(x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
 _COUNTS = "c int, y string, v double, n long, total long, r int"
 
 
-def neighbour_information(df: DataFrame, columns: list[str], target: str, k: int = 3, rows: int = 500_000) -> DataFrame:
+def neighbour_information(df: DataFrame, columns: list[str], target: str, k: int = 3, rows: int = 100_000) -> DataFrame:
     """(column_name, mi): information of each column about the class ``target`` in nats, at least 0.
 
     Rows without a class, and values that are null or not finite, are left out of their column; so are

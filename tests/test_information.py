@@ -66,3 +66,9 @@ def test_informative_column_leads(spark):
     mi = {r["column_name"]: r["mi"] for r in information.neighbour_information(df, ["a", "b", "c"], "fire").collect()}
     assert mi["b"] > 0.3 > 0.1 > max(mi["a"], mi["c"])
     assert features.supervised_reduction(df, "fire", method="MI", top_k=1).columns == ["b", "fire"]
+
+
+def test_ranges_of_the_default_size_are_small():
+    import inspect
+
+    assert inspect.signature(information.neighbour_information).parameters["rows"].default <= 100_000
