@@ -30,11 +30,12 @@ class WordTokenizer:
     """Token ids of whole texts, as little-endian uint32 bytes.
 
     The tokenizer turns any run of white space into a cut that no token spans, cuts between a
-    letter or digit and punctuation, and lower-cases. So texts are lower-cased (ASCII only),
-    spaces go before punctuation that follows an ASCII letter or digit, and the chunks between
-    spaces are looked up; new ones are encoded many at a time and kept in a table of bounded
-    size. A text that could hold a special token, or a mark that combines with the letter before
-    it (a composed capital need not have a composed small letter), is cut at white space only.
+    letter or digit and punctuation, and lower-cases. So texts are lower-cased (ASCII only) and
+    cut into chunks, at white space and before punctuation that follows an ASCII letter or digit.
+    The different chunks of a block of texts are looked up; new ones are encoded many at a time and
+    kept in a table of bounded size. A text that could hold a special token, or a mark that combines with the letter
+    before it (a composed capital need not have a composed small letter), is cut at white space only.
+    Chunks of letters need no regular expressions to be cut and normalised, so lean encoders of the same model take them.
 
     All this follows from one kind of vocabulary file (``_cuts_words``); with any other, whole
     texts are encoded as they are.
@@ -44,18 +45,22 @@ class WordTokenizer:
     KEPT = 40 << 20
     ENTRY = 160
     #: Bytes of text whose new chunks are encoded in one go.
-    BLOCK = 1 << 20
+    BLOCK = 1 << 21
     _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
     _SMALL = bytes.maketrans(b"\t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 5 + b"abcdefghijklmnopqrstuvwxyz")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._encoder = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self._by_word = _cuts_words(json.load(f))
-        self._known: dict[bytes, bytes] = {b"": b""}
+        self._ascii, self._latin = Tokenizer(self._encoder.model), Tokenizer(self._encoder.model)
+        self._ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._latin.normalizer = normalizers.Lowercase()
+        self._latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._known: dict[bytes, bytes] = {}
         self._held = 0
         self._last = np.zeros(self._encoder.get_vocab_size(), bool)
         self._last[[i for t, i in self._encoder.get_vocab().items() if t.endswith("</w>")]] = True
@@ -63,45 +68,74 @@ class WordTokenizer:
         self._word[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
         self._mark[list(b".,;:!?%$&#*)|")] = True
 
-    def _chunks(self, data: bytes) -> list[bytes]:
-        if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
-            return data.translate(self._SPACES).split(b" ")
-        data = data.translate(self._SMALL)
-        b = np.frombuffer(data, np.uint8)
-        at = np.flatnonzero(self._mark[b[1:]] & self._word[b[:-1]])
-        return (np.insert(b, at + 1, 32).tobytes() if len(at) else data).split(b" ")
+    def _chunks(self, texts: list[bytes], whole: bool) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of some texts, and where those of each text begin (and the last ends); ``whole``: cut at white space only."""
+        b = np.frombuffer(b"".join(texts).translate(self._SPACES if whole else self._SMALL), np.uint8)
+        begin = np.cumsum([0, *map(len, texts)])
+        inside = b != 32
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        if not whole:
+            first[1:] |= self._mark[b[1:]] & self._word[b[:-1]]
+        edge = begin[begin < len(b)]
+        first[edge] = inside[edge]
+        chars = b[inside]
+        offsets = np.append(np.flatnonzero(first[inside]), len(chars))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
+        return chunks, np.searchsorted(np.flatnonzero(first), begin)
 
     @staticmethod
     def _one_word(chunk: bytes) -> bool:
         """Letters only, all below U+0250, where composing changes nothing and (but for U+0130) a small letter is one character."""
-        if chunk.isalpha():
-            return True
         text = chunk.decode("utf-8", "replace")
         return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks joined by spaces. A chunk of plain letters is one word and ends with a
         word-end token; for any other, a token belongs to the chunk that its offset lies in."""
-        plain, other = [], []
+        plain, latin, other = [], [], []
         for c in chunks:
-            (plain if self._one_word(c) else other).append(c)
-        for kind in (plain, other):
+            (plain if c.isalpha() else latin if self._one_word(c) else other).append(c)
+        for encoder, kind in ((self._ascii, plain), (self._latin, latin), (None, other)):
             for at in range(0, len(kind), 20_000):
                 some = kind[at : at + 20_000]
-                words = b" ".join(some).decode("utf-8", "replace")
+                words = b" ".join(some)
                 cut: list[int] = []
-                if kind is plain:
-                    ids = np.array(self._encoder.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
+                if encoder is not None:
+                    ids = np.array(encoder.encode_batch_fast([words.lower().decode()], add_special_tokens=False)[0].ids, "<u4")
                     cut = [0, *(4 * np.flatnonzero(self._last[ids]) + 4).tolist()]
                 if len(cut) != len(some) + 1:
-                    got = self._encoder.encode(words, add_special_tokens=False)
+                    text = words.decode("utf-8", "replace")
+                    got = self._encoder.encode(text, add_special_tokens=False)
                     ids = np.array(got.ids, "<u4")
-                    starts = np.cumsum([0] + [len(w) + 1 for w in words.split(" ")])
+                    starts = np.cumsum([0] + [len(w) + 1 for w in text.split(" ")])
                     cut = (4 * np.searchsorted(np.fromiter((first for first, _ in got.offsets), np.int64), starts)).tolist()
                 data = ids.tobytes()
                 self._held += len(data) + sum(map(len, some)) + self.ENTRY * len(some)
                 self._known.update(zip(some, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
 
+    def _block(self, texts: list[bytes], whole: bool) -> list[bytes]:
+        """Ids of each text of a block: looked up once for each different chunk, then taken chunk by chunk into one buffer."""
+        chunks, begin = self._chunks(texts, whole)
+        if not len(chunks):
+            return [b""] * len(texts)
+        coded = chunks.dictionary_encode()
+        met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self._known.get, met))
+        if new := [c for c, i in zip(met, found, strict=True) if i is None]:
+            if self._held > self.KEPT:
+                # Words met first are mostly the frequent ones: they stay.
+                self._known = dict(islice(self._known.items(), len(self._known) // 3))
+                self._held = sum(len(c) + len(i) + self.ENTRY for c, i in self._known.items())
+                new = [c for c in met if c not in self._known]
+            self._learn(new)
+            found = list(map(self._known.__getitem__, met))
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        cut = np.frombuffer(offsets, np.int64, len(ids) + 1)[begin].tolist()
+        view = memoryview(data or b"")
+        return [bytes(view[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text (UTF-8 bytes; None is empty), worked on in blocks of a few megabytes."""
         if not self._by_word:
@@ -111,38 +145,34 @@ class WordTokenizer:
             return
         at = 0
         while at < len(texts):
-            part, size = [], 0
+            kinds: tuple[list[bytes], list[bytes]] = [], []
+            order, size = [], 0
             while at < len(texts) and size < self.BLOCK:
                 text = texts[at] or b""
-                part.append(self._chunks(text))
+                whole = b"<|" in text or b"\xcc" in text or b"\xcd" in text
+                kinds[whole].append(text)
+                order.append(whole)
                 size += len(text)
                 at += 1
-            need = set().union(*part)
-            new = need - self._known.keys()
-            if new:
-                if self._held > self.KEPT:
-                    # Words met first are mostly the frequent ones: they stay.
-                    self._known = dict(islice(self._known.items(), len(self._known) // 3))
-                    self._held = sum(len(c) + len(i) + self.ENTRY for c, i in self._known.items())
-                    new = need - self._known.keys()
-                self._learn(list(new))
-            find = self._known.__getitem__
-            for chunks in part:
-                yield b"".join(map(find, chunks))
+            found = [iter(self._block(kind, k == 1)) for k, kind in enumerate(kinds)]
+            for whole in order:
+                yield next(found[whole])
 
 
 # Fixed parts of the vocabulary file that cutting by words relies on.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 
 
 def _cuts_words(file: dict) -> bool:
     """Whether a tokenizer file lower-cases, cuts at white space and punctuation, and ends words with a mark."""
-    first = ((file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    first, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     model = file["model"]
     return (
         (file.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
         and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", _SPLIT, "Removed", True)
+        and rest == [_BYTES]
         and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
         and all(t["content"].startswith("<|") for t in file.get("added_tokens", ()))
     )
